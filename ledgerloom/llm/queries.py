@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, fingerprints, packing, sharding, token_files
+from ledgerloom.llm import exact_dedup, fingerprints, packing, secrets_scan, sharding, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbour_fingerprints(documents(spark, sf_dir))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.secret_digests(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), shards=40)
 
@@ -32,7 +36,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_fingerprints, op6_sharding, op7_exact_dedup, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_fingerprints, op5_secrets, op6_sharding, op7_exact_dedup, op8_token_files)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
