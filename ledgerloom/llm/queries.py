@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, fingerprints, packing, secrets_scan, sharding, simhash, token_files, toxicity
+from ledgerloom.llm import exact_dedup, fingerprints, kneser_ney, packing, secrets_scan, sharding, simhash, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +44,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.language_scores(documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=3)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op4_fingerprints, op5_secrets, op6_sharding, op7_exact_dedup, op8_token_files, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op4_fingerprints, op5_secrets, op6_sharding, op7_exact_dedup, op8_token_files, op9_language_model, op10_simhash)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
