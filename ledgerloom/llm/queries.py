@@ -3,23 +3,37 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, fingerprints, kneser_ney, packing, secrets_scan, sharding, simhash, token_files, toxicity
+from ledgerloom.llm import exact_dedup, fingerprints, kneser_ney, mixing, packing, secrets_scan, sharding, simhash, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
-
-
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: Target token shares: good text by language, and what is labelled as of low quality.
+SHARES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.12, "low": 0.03}
+
+
+def domain() -> Column:
+    """A labelled row's domain: its language, or "low" where its quality is 0."""
+    return F.when(F.col("quality") == 1, F.col("lang")).when(F.col("quality") == 0, F.lit("low"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(documents(spark, sf_dir), labels(spark, sf_dir), domain(), SHARES)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -52,7 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=3)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_toxicity, op4_fingerprints, op5_secrets, op6_sharding, op7_exact_dedup, op8_token_files, op9_language_model, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_toxicity, op4_fingerprints, op5_secrets, op6_sharding, op7_exact_dedup, op8_token_files, op9_language_model, op10_simhash)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
