@@ -8,6 +8,9 @@ the targets, each divided by its domain's total at rate 1, by projected gradient
 
     r <- max(floor, r - sum over d of p[d] (total[d] - target[d]) / scale[d])
 
+(and at most a ceiling, where one is set: a target that hardly any document can serve
+would otherwise ask for thousands of copies of those few).
+
 The step is that of the metric in which a document weighs its tokens; there the
 gradient's constant is 1 for these scales, so a step of 1 always descends. A round is one
 Spark aggregation of as many sums as there are domains, and the residuals of all rounds
@@ -50,6 +53,7 @@ class Settings:
     rounds: int = 60
     tolerance: float = 1e-4
     floor: float = 0.0
+    ceiling: float | None = None
     budget: float | str | None = None
 
 
@@ -144,6 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
 class Mixture:
     classifier: Classifier
     floor: float
+    ceiling: float
     targets: np.ndarray
     totals: np.ndarray
     steps: list[np.ndarray] = field(default_factory=list)
@@ -152,7 +157,7 @@ class Mixture:
         """Rates from posteriors, by the steps of all rounds."""
         r = np.full(len(p), max(1.0, self.floor))
         for v in self.steps:
-            r = np.maximum(self.floor, r - p @ v)
+            r = np.clip(r - p @ v, self.floor, self.ceiling)
         return r
 
 
@@ -189,7 +194,8 @@ def solve(predicted: DataFrame, classifier: Classifier, targets: dict[str, float
         budget = max((settings.floor * n / s for n, s in zip(natural, share, strict=True) if s > 0), default=0.0)
     else:
         budget = natural.sum() if settings.budget is None else float(settings.budget)
-    mixture = Mixture(classifier, settings.floor, share * budget, now)
+    ceiling = np.inf if settings.ceiling is None else max(settings.floor, settings.ceiling)
+    mixture = Mixture(classifier, settings.floor, ceiling, share * budget, now)
     scale = np.maximum(natural, 1e-9 * max(1.0, natural.sum()))
     for k_round in range(1, settings.rounds + 1):
         if not natural.sum() > 0:
@@ -197,7 +203,7 @@ def solve(predicted: DataFrame, classifier: Classifier, targets: dict[str, float
         v = (now - mixture.targets) / scale
         mixture.steps.append(v)
         moved = F.col("rate") - sum((F.col(f"p{d}") * F.lit(float(v[d])) for d in k), F.lit(0.0))
-        rated = rated.withColumn("rate", F.greatest(F.lit(float(settings.floor)), moved))
+        rated = rated.withColumn("rate", F.least(F.lit(float(ceiling)), F.greatest(F.lit(float(settings.floor)), moved)))
         if k_round % 10 == 0:
             rated = written(rated, "rates")
         before, now = now, totals(rated)
