@@ -28,6 +28,13 @@ def test_chunks_give_the_librarys_ids(path):
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == library(path, texts)
 
 
+def test_ids_of_slices():
+    texts = [f"Text {i} É  word{i % 7}\nand more" for i in range(50)]
+    for path in (BYTES, WORDS):
+        ids, at = tokenizer(path).encode(pa.array(texts).slice(20, 10))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == library(path, texts[20:30])
+
+
 def test_slices_cover_all_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 100, "", "c"]})
     assert [s.num_rows for s in slices(batch, characters=12)] == [2, 1, 2]
