@@ -88,8 +88,12 @@ def project(scenarios: DataFrame, targets: tuple[Target, ...] = TARGETS) -> Data
 
 
 def rows(projected: DataFrame) -> DataFrame:
-    """One row for each scenario and month."""
-    return projected.select("scenario_id", F.inline("steps"))
+    """One row for each scenario and month.
+
+    The steps are exploded as whole structs: Spark would split an inlined array by field
+    and fold it anew for each.
+    """
+    return projected.select("scenario_id", F.explode("steps").alias("step")).select("scenario_id", "step.*")
 
 
 def milestones(projected: DataFrame) -> DataFrame:
