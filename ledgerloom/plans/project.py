@@ -90,10 +90,10 @@ def project(scenarios: DataFrame, targets: tuple[Target, ...] = TARGETS) -> Data
 def rows(projected: DataFrame) -> DataFrame:
     """One row for each scenario and month.
 
-    The steps are exploded as whole structs: Spark would split an inlined array by field
-    and fold it anew for each.
+    There is a step at least, so the outer explode adds no row; the plain one would push
+    a filter on the array's size, and with it the whole fold, down to the scan.
     """
-    return projected.select("scenario_id", F.explode("steps").alias("step")).select("scenario_id", "step.*")
+    return projected.select("scenario_id", F.explode_outer("steps").alias("step")).select("scenario_id", "step.*")
 
 
 def milestones(projected: DataFrame) -> DataFrame:
