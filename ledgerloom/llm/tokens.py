@@ -14,10 +14,12 @@ tokenizers library in batches, and their ids stay in a dictionary of bounded siz
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ _WHITE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}\v]"
 _WIDE = f"{_WHITE}{_WHITE}|^{_WHITE}|{_WHITE}$"
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks whose ids are kept; later ones are encoded whenever they occur.
-KEPT = 600_000
+KEPT = 250_000
 
 
 class ChunkTokenizer:
@@ -116,7 +118,22 @@ def tokenizer(path: str) -> ChunkTokenizer:
     return _open[path]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", characters: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+@cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its tasks, and shares the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", characters: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many bytes of text, each of one row at least."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
     start = 0
@@ -125,3 +142,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", characters: int = 8_000_
         end = max(start + 1, int(np.searchsorted(sizes, done + characters, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    give_back()
