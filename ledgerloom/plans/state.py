@@ -37,6 +37,13 @@ def in_range(c: Column) -> Column:
     return F.when(~F.isnan(c) & (c >= 0) & (c <= LARGEST_AMOUNT), c)
 
 
+def _over(below: Column, above: Column) -> Column:
+    """The entries of one map, and those of another whose keys it lacks; null counts as empty."""
+    none = F.create_map().cast("map<string,double>")
+    above = F.coalesce(above, none)
+    return F.map_concat(F.map_filter(F.coalesce(below, none), lambda k, _: ~F.map_contains_key(above, k)), above)
+
+
 def merge(defaults: DataFrame, saved: DataFrame) -> DataFrame:
     """Saved fields over the defaults, field by field; a field that isn't valid counts as absent."""
     s, d = saved.alias("s"), defaults.alias("d")
@@ -51,7 +58,7 @@ def merge(defaults: DataFrame, saved: DataFrame) -> DataFrame:
         elif c == "targets":
             keys = [t.key for t in TARGETS] + ["vision", "unclassified"]
             own = F.map_filter(own, lambda k, v: k.isin(keys) & (v.isNull() | in_range(v).isNotNull()))
-            picked.append(F.map_concat(F.map_filter(F.coalesce("d.targets", F.create_map()), lambda k, _, o=own: ~F.coalesce(F.map_contains_key(o, k), F.lit(False))), F.coalesce(own, F.create_map())).alias(c))
+            picked.append(_over(F.col("d.targets"), own).alias(c))
             continue
         elif c == "forecast":
             own = clean_forecast(own)
@@ -93,8 +100,7 @@ def use_observed(df: DataFrame, observed_cents: dict[str, int], energy_cents: in
     new = {k: v / 100 for k, v in observed_cents.items()} | ({} if energy_cents is None else {"energy": energy_cents / 100})
     both = F.create_map(*[x for k, v in new.items() for x in (F.lit(k), F.lit(float(v)))])
     own = F.when(F.col("health_mode") == "combined", F.map_filter(both, lambda k, _: ~k.isin("medical", "dental"))).otherwise(both)
-    kept = F.map_filter(F.coalesce("targets", F.create_map().cast("map<string,double>")), lambda k, _: ~F.map_contains_key(own, k))
-    return df.withColumn("targets", F.map_concat(kept, own))
+    return df.withColumn("targets", _over(F.col("targets"), own))
 
 
 def validated(inputs: dict) -> dict:
