@@ -29,7 +29,7 @@ _WHITE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}\v]"
 _WIDE = f"{_WHITE}{_WHITE}|^{_WHITE}|{_WHITE}$"
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks whose ids are kept; later ones are encoded whenever they occur.
-KEPT = 250_000
+KEPT = 450_000
 
 
 class ChunkTokenizer:
