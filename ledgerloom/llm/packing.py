@@ -7,7 +7,8 @@ greedily, the longest with the longest that fits, at most two in a sequence; the
 longest first, go where they leave the smallest gap. The plan works on runs of
 sequences that hold the same lengths, so it stays of bounded size for any number of
 documents. Pieces of one length are interchangeable: each is numbered within its
-length, and the number gives its sequence and place.
+length, and the number gives its sequence and place. The ids go along with their piece:
+a sequence's tokens are the `ids` of its pieces, in order of offset.
 
 Cases: null text counts as empty; every document has at least its end id, so nothing is
 left out. Repeated rows are packed each. An empty table gives no rows; other columns
@@ -16,12 +17,10 @@ are ignored.
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,7 +128,7 @@ def _key(length: np.ndarray, number: np.ndarray) -> np.ndarray:
 
 
 def pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's pieces: doc_id, piece, start, length, ids_crc32."""
+    """Each document's pieces: doc_id, piece, start, length, ids (little-endian, of 2 bytes where all fit)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(tokenizer_path)
@@ -137,6 +136,7 @@ def pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_co
             for rows in slices(batch):
                 tokens, at = coder.encode(rows.column("text"))
                 tokens = np.insert(tokens, at[1:], end_id).astype("<u4")
+                tokens = tokens.astype(coder.dtype if end_id <= np.iinfo(coder.dtype).max else "<u4")
                 ends = at[1:] + np.arange(1, len(at))
                 begins = np.concatenate([[0], ends[:-1]])
                 n = -(-(ends - begins) // capacity)
@@ -145,26 +145,35 @@ def pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_co
                 start = piece * capacity
                 a = begins[row] + start
                 b = np.minimum(a + capacity, ends[row])
-                sums = [zlib.crc32(tokens[i:j].tobytes()) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(b - a), pa.array(sums, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                ids = [tokens[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(b - a), pa.array(ids, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def packed(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
-    """All pieces with their sequence and offset in it."""
+def sequences(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+    """All pieces, with their ids (little-endian 32-bit integers), their sequence and their offset in it."""
     cut = written(pieces(df, tokenizer_path, end_id, capacity), "pieces")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     table = places(plan(counts, capacity))
     keys = _key(table["length"], table["first"])
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            at = np.searchsorted(keys, _key(rows["length"].to_numpy(), rows["__number"].to_numpy()), side="right") - 1
-            ahead = rows["__number"].to_numpy() - table["first"][at]
+            length, number = (rows.column(c).to_numpy() for c in ("length", "__number"))
+            at = np.searchsorted(keys, _key(length, number), side="right") - 1
+            ahead = number - table["first"][at]
             times = table["times"][at]
-            yield rows.drop(columns="__number").assign(sequence_id=table["sequence"][at] + ahead // times, offset=table["offset"][at] + ahead % times * rows["length"].to_numpy())
+            placed = [pa.array(table["sequence"][at] + ahead // times), pa.array(table["offset"][at] + ahead % times * length)]
+            names = ["doc_id", "piece", "start", "length"]
+            ids = [x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in zip(rows.column("ids").to_pylist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(ids, pa.binary()), *placed], names=[*names, "ids", "sequence_id", "offset"])
+
+    rows = numbered(cut.withColumn("__crc", F.crc32("ids")), ["length"], ["doc_id", "piece", "__crc"], "__number")
+    return rows.mapInArrow(place, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
 
-    rows = numbered(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "__number")
-    return rows.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+def packed(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+    """All pieces with their sequence and offset in it, and digests of their ids."""
+    return sequences(df, tokenizer_path, end_id, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

@@ -7,7 +7,7 @@ import public_tokenizers as P
 from helpers import AWKWARD, docs
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.packing import packed, plan
+from ledgerloom.llm.packing import packed, plan, sequences
 
 WORDS = P.path("word_bpe_49k.json")
 
@@ -83,3 +83,27 @@ def test_many(spark):
     r = random.Random(5)
     rows = [(i, "word " * r.choice([3, 3, 3, r.randrange(3000)])) for i in range(600)]
     check(rows, packed(docs(spark, rows).repartition(6), WORDS).collect())
+
+
+def test_sequences_hold_the_ids(spark):
+    rows = AWKWARD + [(50, "word " * 5000), (51, "w " * 2047)]
+    t = Tokenizer.from_file(WORDS)
+    t.encode_special_tokens = True
+    want = Counter((i, *t.encode(text or "", add_special_tokens=False).ids, 0) for i, text in rows if i not in (None, 8))
+    texts, held = {}, {}
+    for r in sequences(docs(spark, rows), WORDS).collect():
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.length
+        texts.setdefault(r.doc_id, {})[r.start] = ids.tolist()
+        held.setdefault(r.sequence_id, {})[r.offset] = ids
+    got = Counter((i, *(x for s in sorted(parts) for x in parts[s])) for i, parts in texts.items() if i not in (None, 8))
+    assert got == want
+    for parts in held.values():
+        assert len(np.concatenate([parts[k] for k in sorted(parts)])) <= 2048
+
+
+def test_the_pipeline_ends_in_sequences(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.pack(spark, docs(spark, AWKWARD), "")
+    assert all(len(r.ids) == 4 * r.length for r in out.collect())
