@@ -7,8 +7,11 @@ greedily, the longest with the longest that fits, at most two in a sequence; the
 longest first, go where they leave the smallest gap. The plan works on runs of
 sequences that hold the same lengths, so it stays of bounded size for any number of
 documents. Pieces of one length are interchangeable: each is numbered within its
-length, and the number gives its sequence and place. The ids go along with their piece:
-a sequence's tokens are the `ids` of its pieces, in order of offset.
+length, and the number gives its sequence and place. The task that cuts a piece numbers it
+among its own pieces of that length; prefix sums of the tasks' counts, a row for each task
+and length, shift these numbers, so that no piece is sorted, and none is shuffled while
+that table is small enough to be broadcast. The ids stay with their piece: a sequence's
+tokens are the `ids` of its pieces, in order of offset.
 
 Cases: null text counts as empty; every document has at least its end id, so nothing is
 left out. Repeated rows are packed each. An empty table gives no rows; other columns
@@ -21,11 +24,13 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import numbered, text_of, written
+from ledgerloom.llm.common import text_of, written
 from ledgerloom.llm.tokens import slices, tokenizer
 
 #: A run of sequences with the same content: how many, and ((length, times), ...) in order.
@@ -128,15 +133,19 @@ def _key(length: np.ndarray, number: np.ndarray) -> np.ndarray:
 
 
 def pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's pieces: doc_id, piece, start, length, ids (little-endian, of 2 bytes where all fit)."""
+    """Each document's pieces: doc_id, piece, start, length, ids (little-endian, of 32 bits), task and number.
+
+    `number` counts from 0 within the task and length; it holds only for one run of the
+    tasks, so it is to be written before it is used.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(tokenizer_path)
+        coder, task = tokenizer(tokenizer_path), TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for rows in slices(batch):
                 tokens, at = coder.encode(rows.column("text"))
-                tokens = np.insert(tokens, at[1:], end_id).astype("<u4")
-                tokens = tokens.astype(coder.dtype if end_id <= np.iinfo(coder.dtype).max else "<u4")
+                tokens = np.insert(tokens.astype("<u4"), at[1:], end_id)
                 ends = at[1:] + np.arange(1, len(at))
                 begins = np.concatenate([[0], ends[:-1]])
                 n = -(-(ends - begins) // capacity)
@@ -144,34 +153,41 @@ def pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_co
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 start = piece * capacity
                 a = begins[row] + start
-                b = np.minimum(a + capacity, ends[row])
-                ids = [tokens[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(b - a), pa.array(ids, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+                length = np.minimum(a + capacity, ends[row]) - a
+                order = np.argsort(length, kind="stable")
+                in_order = length[order]
+                number = np.empty(len(length), np.int64)
+                number[order] = np.arange(len(length)) - np.searchsorted(in_order, in_order) + seen[in_order]
+                seen += np.bincount(length, minlength=capacity + 1)
+                bounds = pa.array(np.append(4 * a, 4 * len(tokens)).astype(np.int32))
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, bounds.buffers()[1], pa.py_buffer(tokens)])
+                columns = [rows.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), ids, pa.array(np.full(len(row), task, np.int32)), pa.array(number)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids", "task", "number"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary, task int, number long")
 
 
 def sequences(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """All pieces, with their ids (little-endian 32-bit integers), their sequence and their offset in it."""
     cut = written(pieces(df, tokenizer_path, end_id, capacity), "pieces")
-    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    each = written(cut.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    counts = {r.length: r.n for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     table = places(plan(counts, capacity))
     keys = _key(table["length"], table["first"])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            length, number = (rows.column(c).to_numpy() for c in ("length", "__number"))
-            at = np.searchsorted(keys, _key(length, number), side="right") - 1
-            ahead = number - table["first"][at]
-            times = table["times"][at]
-            placed = [pa.array(table["sequence"][at] + ahead // times), pa.array(table["offset"][at] + ahead % times * length)]
-            names = ["doc_id", "piece", "start", "length"]
-            ids = [x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in zip(rows.column("ids").to_pylist(), length.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(ids, pa.binary()), *placed], names=[*names, "ids", "sequence_id", "offset"])
-
-    rows = numbered(cut.withColumn("__crc", F.crc32("ids")), ["length"], ["doc_id", "piece", "__crc"], "__number")
-    return rows.mapInArrow(place, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
+        length, number = length.to_numpy(np.int64), number.to_numpy(np.int64)
+        at = np.searchsorted(keys, _key(length, number), side="right") - 1
+        ahead, times = number - table["first"][at], table["times"][at]
+        return pd.DataFrame({"sequence_id": table["sequence"][at] + ahead // times, "offset": table["offset"][at] + ahead % times * length})
+
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = each.select(F.col("task").alias("__task"), F.col("length").alias("__length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rows = cut.join(bases, (F.col("task") == F.col("__task")) & (F.col("length") == F.col("__length")))
+    placed = rows.select("doc_id", "piece", "start", "length", "ids", place("length", F.col("base") + F.col("number")).alias("p"))
+    return placed.select("doc_id", "piece", "start", "length", "ids", "p.sequence_id", "p.offset")
 
 
 def packed(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:

@@ -8,8 +8,11 @@ merged again. The cuts are only made where they are exact:
   a byte-level pattern always cuts (the space belongs to the word after it);
 * "blank": at spaces and line feeds, which a pattern that drops white space ignores.
 
-Texts are cut, and their chunks told apart, in Arrow; new chunks go through the
-tokenizers library in batches, and their ids stay in a dictionary of bounded size.
+Texts are cut, and their chunks told apart, in Arrow. New chunks go through the
+tokenizers library many at a time, joined to one text whose ids are cut again: under
+"gap" at the tokens that begin with a space, under "blank" at a number sign put between
+them, which is always a token of its own. A bounded number of chunks and their ids stay
+in Arrow arrays; the others are merged again whenever a slice has them.
 """
 
 from __future__ import annotations
@@ -27,9 +30,14 @@ import pyarrow.compute as pc
 
 _WHITE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}\v]"
 _WIDE = f"{_WHITE}{_WHITE}|^{_WHITE}|{_WHITE}$"
+_ODD = f" |^{_WHITE}|{_WHITE}$"
 _GAP = re.compile(r"(?<=\S) (?=\S)")
-#: Chunks whose ids are kept; later ones are encoded whenever they occur.
+#: Chunks whose ids are kept; later ones are merged again in every slice that has them.
 KEPT = 450_000
+#: Number signs that may stand between joined chunks; the first that is one token is taken.
+_MARKS = "½²³7"
+_JOINED = 512
+_BATCH = 32 * _JOINED
 
 
 class ChunkTokenizer:
@@ -44,21 +52,73 @@ class ChunkTokenizer:
         self.vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.cut = _cut_rule(path)
-        self._kept: dict[str, bytes] = {}
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        """The ids of different chunks, from the dictionary or the library."""
-        out = [self._kept.get(c) for c in chunks]
-        new = [i for i, x in enumerate(out) if x is None]
-        for s in range(0, len(new), 16384):
-            some = new[s : s + 16384]
-            for i, e in zip(some, self._tokenizer.encode_batch_fast([chunks[i] for i in some], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, self.dtype).tobytes()
-        for i in new[: max(0, KEPT - len(self._kept))]:
-            self._kept[chunks[i]] = out[i]
-        return out
-
-    def _cut_texts(self, texts: pa.Array) -> pa.ListArray:
+        self._kept = pa.array([], pa.large_string())
+        self._ids = self._lists(np.empty(0, self.dtype), np.empty(0, np.int64))
+        self._mark, self._begins = "", np.zeros(self.vocabulary, bool)
+        if self.cut == "blank":
+            ids = {m: self._tokenizer.encode(m, add_special_tokens=False).ids for m in _MARKS}
+            self._mark = next((m for m in _MARKS if len(ids[m]) == 1), "")
+            self._begins[ids[self._mark] if self._mark else []] = True
+        elif self.cut == "gap":
+            self._begins[[i for t, i in self._tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+
+    def _lists(self, flat: np.ndarray, lengths: np.ndarray) -> pa.LargeListArray:
+        return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), flat)
+
+    def _single(self, chunks: list[str]) -> pa.LargeListArray:
+        """The ids of chunks, each for itself."""
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return self._lists(np.fromiter((i for x in found for i in x), self.dtype, lengths.sum()), lengths)
+
+    def _merged(self, chunks: pa.Array) -> pa.LargeListArray:
+        """The ids of new chunks; under "gap" each with a space before it."""
+        if self.cut == "gap":
+            odd, before, between, after = pc.match_substring_regex(chunks, _ODD), " ", " ", ""
+        elif self._mark:
+            odd, before, between, after = pc.match_substring(chunks, self._mark), "", f" {self._mark} ", f" {self._mark}"
+        else:
+            return self._batches(chunks.to_pylist())
+        odd = pc.or_(odd, pc.equal(chunks, ""))
+        plain = chunks.filter(pc.invert(odd)).to_pylist()
+        parts = []
+        for s in range(0, len(plain), _BATCH):
+            runs = [plain[i : i + _JOINED] for i in range(s, min(len(plain), s + _BATCH), _JOINED)]
+            coded = self._tokenizer.encode_batch_fast([before + between.join(r) + after for r in runs], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, self.dtype) for e in coded])
+            spots = np.flatnonzero(self._begins[ids])
+            if len(spots) != sum(map(len, runs)):
+                raise ValueError(f"joined chunks of a {self.cut} vocabulary can't be told apart")
+            if self.cut == "gap":
+                parts.append(self._lists(ids, np.diff(spots, append=len(ids))))
+            else:
+                parts.append(self._lists(np.delete(ids, spots), np.diff(spots, prepend=-1) - 1))
+        strange = [before + c for c in chunks.filter(odd).to_pylist()]
+        both = pa.concat_arrays([*parts, self._batches(strange)])
+        order = np.argsort(np.asarray(odd.to_numpy(zero_copy_only=False), bool), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return both.take(pa.array(place))
+
+    def _batches(self, chunks: list[str]) -> pa.LargeListArray:
+        parts = [self._single(chunks[s : s + _BATCH]) for s in range(0, len(chunks), _BATCH)]
+        return pa.concat_arrays(parts) if parts else self._ids[:0]
+
+    def _looked_up(self, chunks: pa.Array) -> tuple[pa.LargeListArray, np.ndarray]:
+        """Lists of ids, and where each of the different chunks has its own."""
+        at = pc.index_in(chunks, value_set=self._kept)
+        unknown = at.is_null()
+        new = chunks.filter(unknown)
+        fresh = self._merged(new)
+        lists, base = pa.concat_arrays([self._ids, fresh]), len(self._ids)
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        place[unknown.to_numpy(zero_copy_only=False)] = base + np.arange(len(new))
+        if base < KEPT:
+            self._kept = pa.concat_arrays([self._kept, new[: KEPT - base]])
+            self._ids = pa.concat_arrays([self._ids, fresh[: KEPT - base]])
+        return lists, place
+
+    def _cut_texts(self, texts: pa.Array) -> pa.LargeListArray:
         """Each text's chunks; under "gap" all but the first lack the space before them."""
         if self.cut == "blank":
             return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
@@ -74,23 +134,27 @@ class ChunkTokenizer:
         """All ids of the texts, one after the other, and each text's start (with the end)."""
         if not len(texts):
             return np.empty(0, self.dtype), np.zeros(1, np.int64)
-        lists = self._cut_texts(texts.cast(pa.large_string()))
-        at = np.asarray(lists.offsets, np.int64)
-        coded = lists.flatten().dictionary_encode()
-        codes, chunks = np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist()
-        if self.cut == "gap":
-            firsts, where = np.unique(codes[at[:-1]], return_inverse=True)
-            codes = codes.copy()
-            codes[at[:-1]] = len(chunks) + where
-            chunks = [" " + c for c in chunks] + [chunks[i] for i in firsts]
-        found = self._ids(chunks)
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        flat, starts = np.frombuffer(b"".join(found), self.dtype), np.cumsum(lengths) - lengths
-        each = lengths[codes]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        index = np.repeat(starts[codes] - ends[:-1], each)
-        index += np.arange(len(index))
-        return flat[index], ends[at]
+        cut = self._cut_texts(texts.cast(pa.large_string()))
+        at = np.asarray(cut.offsets, np.int64)
+        coded = cut.flatten().dictionary_encode()
+        codes, chunks = np.asarray(coded.indices), coded.dictionary
+        if self.cut == "gap":  # the texts' first chunks have no space before them
+            rest = np.ones(len(codes), bool)
+            rest[at[:-1]] = False
+            used = np.zeros(len(chunks), bool)
+            used[codes[rest]] = True
+            number = np.cumsum(used) - 1
+            lists, place = self._looked_up(chunks.filter(pa.array(used)))
+            firsts, where = np.unique(codes[~rest], return_inverse=True)
+            lists, base = pa.concat_arrays([lists, self._batches(chunks.take(pa.array(firsts)).to_pylist())]), len(lists)
+            index = np.empty(len(codes), np.int64)
+            index[rest] = place[number[codes[rest]]]
+            index[~rest] = base + where
+        else:
+            lists, place = self._looked_up(chunks)
+            index = place[codes]
+        ids = lists.take(pa.array(index))
+        return ids.values.to_numpy(), np.asarray(ids.offsets, np.int64)[at]
 
 
 def _cut_rule(path: str) -> str:

@@ -8,11 +8,12 @@ import pytest
 from helpers import AWKWARD, docs
 from tokenizers import Tokenizer
 
+from ledgerloom.llm import tokens
 from ledgerloom.llm.token_files import TokenFiles, token_digests, write_token_files
 from ledgerloom.llm.tokens import slices, tokenizer
 
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
-ODD = ["", "  a  b", "a\n\nb c", " x", " ", "a \n b", "don't  we'll 's", "x\x1cy z", " a b　c", "é ́e", "a\tb c\r\nd", "<|endoftext|> a", "Σας ΣΑΣ  İ", "a\x85 b", "x  ", "plain text, yes.\nAnd more", "one\x0btwo \x0b three"]
+ODD = ["", "  a  b", "a\n\nb c", " x", " ", "a \n b", "don't  we'll 's", "x\x1cy z", " a b　c", "é ́e", "a\tb c\r\nd", "<|endoftext|> a", "Σας ΣΑΣ  İ", "a\x85 b", "x  ", "plain text, yes.\nAnd more", "one\x0btwo \x0b three", "a½ ½ b 7 ²7 ³", "½", "  ½  7", "Ġa Ġ b"]
 
 
 def library(path, texts):
@@ -35,6 +36,16 @@ def test_ids_of_slices():
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == library(path, texts[20:30])
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_chunks_beyond_those_kept(path, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 20)
+    coder = tokens.ChunkTokenizer(path)
+    for k in range(3):
+        texts = [f"w{i * 7 % 50}x{k} ½ word{i} , e\u0301{i}" for i in range(1500)]
+        ids, at = coder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == library(path, texts)
+
+
 def test_slices_cover_all_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 100, "", "c"]})
     assert [s.num_rows for s in slices(batch, characters=12)] == [2, 1, 2]
