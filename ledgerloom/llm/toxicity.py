@@ -1,22 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult or threat (a lexicon learned from labels), target,
-negation, reporting word, or none; marks end clauses. Three transducers read a clause's
-symbols and are composed into one:
-
-  target    remembers whether someone is addressed or pointed at,
-  negation  rewrites an insult or threat after a negation as a negated one,
-  report    rewrites one after a reporting word or within quotes as a reported one.
-
-The composed machine's final output names the pattern that the clause matches
-(targeted insult, negated insult, reported threat, ...) and carries the largest lexicon
-weight met. A document is scored on the weights of its matched clauses by pattern, not on
-words alone; a logistic model, fitted to labels, weighs the patterns, so a
-negated or reported insult counts as much as the labels say.
+Words become symbols: insult or threat (a lexicon learned from labels, and a list of
+threats), target, negation, reporting word, quote mark, or plain word; marks end
+clauses. Three transducers read a clause's symbols and are composed into one:
+
+  negation  rewrites an insult or threat within a few words of a negation as a negated one,
+  report    rewrites one after a reporting word or within quotes as a reported one,
+  target    remembers the strongest of them, and whether someone is addressed or pointed
+            at anywhere in the clause.
+
+The state in which the composed machine ends names the clause's pattern (targeted insult,
+negated insult, reported threat, ...); the lexicon weight of the hit that decided on it is
+the match's weight. A document is scored on the weights of its matched clauses by
+pattern. A pattern counts by a fixed prior (`PRIOR`: plain above reported above
+negated, targeted above untargeted) times one learned slope, and by a learned
+departure from it, held small unless labels show it.
 
 The lexicon: words are counted by labelled documents, toxic and other, on at most
-`Settings.labelled_rows` rows; words and word beginnings that toxic texts alone have, beyond
-chance, are its entries, so unseen forms of a stem match too.
+`Settings.labelled_rows` rows; only uses outside negation and report count, so a clean
+document that quotes or denies an insult doesn't speak against the word. Words and word
+beginnings that toxic texts alone have, beyond chance, are its entries, so unseen forms
+of a stem match too. No entry that passes is left out; each needs several toxic labelled
+rows, so the rows' bound holds for the entries too.
 
 Cases: null and empty texts match nothing and get the score of no match. Labels that are
 null don't count; of repeated labels of one id the largest counts. Without labels of
@@ -48,7 +53,8 @@ NEGATIONS = "not never no none neither nor nicht nie kein keine keinen niemals p
 REPORTS = "said says say called calls quoted quotes wrote reported claims sagte sagt schrieb nannte dit disait écrit appelle dijo dice escribió llamó".split()
 THREATS = "kill killing destroy hurt burn shoot stab beat töten umbringen schlagen tuer frapper matar golpear quemar".split()
 QUOTES = "\"“”„«»"
-_END = re.compile(r"[.,;:!?…]+[\"'”»)\]]*$")
+_END = r"[.,;:!?…]+[\"'”»)\]]*$"
+_REPORTING = rf"(?i)^(?:{'|'.join(REPORTS)})[,:]$"
 _CORE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -63,8 +69,7 @@ class Settings:
     purity: float = 0.97
     surprise: float = 28.0
     stem_share: float = 0.98
-    entries: int = 5_000
-    ridge: float = 1e-3
+    ridge: float = 1e-4
 
 
 # ---- transducers
@@ -72,16 +77,20 @@ class Settings:
 
 @dataclass(frozen=True)
 class Transducer:
-    """States from 0, and (state, symbol) -> (state, output); without an entry a symbol passes unchanged."""
+    """States from 0, and (state, symbol) -> (state, output); without an entry a symbol passes unchanged.
+
+    finals: what a text that ends in a state is accepted as.
+    """
 
     states: int
     moves: dict[tuple[int, str], tuple[int, str]] = field(default_factory=dict)
+    finals: dict[int, str] = field(default_factory=dict)
 
     def step(self, state: int, symbol: str) -> tuple[int, str]:
         return self.moves.get((state, symbol), (state, symbol))
 
     def __matmul__(self, other: Transducer) -> Transducer:
-        """Composition: this one's output is read by the other."""
+        """Composition: this one's output is read by the other, which accepts."""
         symbols = {s for _, s in self.moves} | {o for _, o in self.moves.values()} | {s for _, s in other.moves}
         moves = {}
         for a, b, s in product(range(self.states), range(other.states), symbols):
@@ -89,36 +98,74 @@ class Transducer:
             q, out = other.step(b, middle)
             if (p, q, out) != (a, b, s):
                 moves[a * other.states + b, s] = (p * other.states + q, out)
-        return Transducer(self.states * other.states, moves)
-
-
-#: I insult, H threat, T target, N negation, R reporting word, Q quote mark.
-NEGATION = Transducer(2, {(0, "N"): (1, "N"), (1, "I"): (0, "I-"), (1, "H"): (0, "H-")})
-_HITS = ("I", "H", "I-", "H-")
-REPORT = Transducer(
-    3,
-    {(s, "R"): (1, "R") for s in (0, 1, 2)} | {(0, "Q"): (2, "Q"), (1, "Q"): (2, "Q"), (2, "Q"): (0, "Q")} | {(s, x): (s, x + "r") for s in (1, 2) for x in _HITS},
-)
-TARGET = Transducer(2, {(0, "T"): (1, "T"), (1, "T"): (1, "T")} | {(1, x + r): (1, x + r + "t") for x in _HITS for r in ("", "r")})
-GRAMMAR = NEGATION @ REPORT @ TARGET
-PATTERNS = [x + r + t for x in _HITS for r in ("", "r") for t in ("", "t")]
+        finals = {a * other.states + b: x for a in range(self.states) for b, x in other.finals.items()}
+        return Transducer(self.states * other.states, moves, finals)
+
+
+#: I insult, H threat, T target, N negation, R reporting word, Q quote mark, W any other word.
+#: A negation reaches so many words.
+REACH = 4
+_HITS = [x + n + r for x in "IH" for n in ("", "-") for r in ("", "r")]
+PATTERNS = [h + t for h in _HITS for t in ("", "t")]
+
+
+def _prior(pattern: str) -> float:
+    """What a match of the pattern counts for, against a plain insult, before labels are seen."""
+    base = {"I": 1.0, "It": 1.25, "H": 0.25, "Ht": 1.0}[pattern[0] + ("t" if pattern[-1] == "t" else "")]
+    return base * (0.1 if "-" in pattern else 1.0) * (0.15 if "r" in pattern else 1.0)
+
+
+PRIOR = np.array([_prior(p) for p in PATTERNS])
+_STRENGTH = {h: _prior(h + "t") for h in _HITS}
+
+
+def _negation() -> Transducer:
+    moves = {(k, "N"): (REACH, "N") for k in range(REACH + 1)}
+    for k in range(1, REACH + 1):
+        moves |= {(k, x): (k - 1, x) for x in "TRW"} | {(k, x): (k - 1, x + "-") for x in "IH"}
+    return Transducer(REACH + 1, moves)
+
+
+def _report() -> Transducer:
+    """0 plain, 1 after a reporting word, 2 within quotes."""
+    moves = {(0, "R"): (1, "R"), (0, "Q"): (2, "Q"), (1, "Q"): (2, "Q"), (2, "Q"): (0, "Q")}
+    return Transducer(3, moves | {(s, x + n): (s, x + n + "r") for s in (1, 2) for x in "IH" for n in ("", "-")})
+
+
+def _target() -> Transducer:
+    """States (target seen, strongest hit so far)."""
+    held = [None, *_HITS]
+    at = {(t, h): t * len(held) + k for t in (0, 1) for k, h in enumerate(held)}
+    moves, finals = {}, {}
+    for (t, h), state in at.items():
+        moves[state, "T"] = (at[1, h], "T")
+        for x in _HITS:
+            if h is None or _STRENGTH[x] > _STRENGTH[h]:
+                moves[state, x] = (at[t, x], x)
+        if h is not None:
+            finals[state] = h + ("t" if t else "")
+    return Transducer(len(at), moves, finals)
+
+
+GRAMMAR = _negation() @ _report() @ _target()
 _PATTERN = {p: i for i, p in enumerate(PATTERNS)}
-#: A feature for each pattern and one for all of them, which speaks for patterns that labels don't show.
+#: A feature for each pattern, and one of all by their priors.
 WIDTH = len(PATTERNS) + 1
 
 
 def clause_match(symbols: list[tuple[str, float]]) -> tuple[int, float] | None:
-    """The pattern and weight of a clause; a target after the insult counts as well."""
-    state, best, target = 0, None, False
+    """The pattern and weight of a clause."""
+    state, best = 0, 0.0
+    held = None
     for symbol, weight in symbols:
         state, out = GRAMMAR.step(state, symbol)
-        target |= symbol == "T"
-        if out in _PATTERN and (best is None or weight > best[1]):
-            best = (out, weight)
-    if best is None:
-        return None
-    out = best[0] if best[0].endswith("t") or not target else best[0] + "t"
-    return _PATTERN[out], best[1]
+        if weight > 0:
+            now = GRAMMAR.finals[state].rstrip("t")
+            if now != held:
+                held, best = now, weight
+            elif out == now:
+                best = max(best, weight)
+    return (_PATTERN[GRAMMAR.finals[state]], best) if held else None
 
 
 # ---- lexicon and scoring
@@ -131,6 +178,13 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def __post_init__(self):
+        self._sizes = sorted({len(s) for s in self.stems})
+        self._threat = float(np.median([*self.words.values(), *self.stems.values()])) if self.words or self.stems else 1.0
+        starts = sorted({*self.words, *self.stems, *THREATS})
+        # short lists go through Arrow; a word that holds none of the starts is no hit
+        self._any = "|".join(map(re.escape, starts)) if len(starts) <= 500 else None
+
     def symbol(self, token: str) -> list[tuple[str, float]]:
         """A token's symbols, in order."""
         out = [("Q", 0.0)] if token[:1] in QUOTES and len(token) > 1 else []
@@ -139,53 +193,67 @@ class Model:
             if self.stems:
                 weight = max([weight, *(self.stems[core[:k]] for k in self._sizes if k <= len(core) and core[:k] in self.stems)])
             if core in _THREATS:
-                out.append(("H", max(weight, 1.0)))
+                out.append(("H", max(weight, self._threat)))
             elif weight > 0:
                 out.append(("I", weight))
-            elif core in _MARKS:
-                out.append((_MARKS[core], 0.0))
+            else:
+                out.append((_MARKS.get(core, "W"), 0.0))
         if any(q in token[-3:] for q in QUOTES):
             out.append(("Q", 0.0))
         return out
 
-    def __post_init__(self):
-        self._sizes = sorted({len(s) for s in self.stems})
+    def hits(self, words: pa.Array) -> np.ndarray:
+        """Which of the different tokens hold an insult or threat."""
+        out = np.zeros(len(words), bool)
+        maybe = np.arange(len(words))
+        if self._any is not None:
+            maybe = np.flatnonzero(pc.match_substring_regex(pc.utf8_lower(words), self._any).to_numpy(zero_copy_only=False))
+        some = words.take(pa.array(maybe)).to_pylist()
+        out[maybe] = [any(s in "IH" for s, _ in self.symbol(w)) for w in some]
+        return out
 
 
 _MARKS = {w: s for s, words in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
 _THREATS = frozenset(THREATS)
 
 
-def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Each text's tokens as codes, the texts' starts (with the end), and the tokens; a line end is a token."""
     spread = pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n ")
     lists = pc.split_pattern(spread, " ")
     coded = lists.flatten().dictionary_encode()
-    return np.asarray(coded.indices, np.int64), np.asarray(lists.offsets, np.int64), coded.dictionary.to_pylist()
+    return np.asarray(coded.indices, np.int64), np.asarray(lists.offsets, np.int64), coded.dictionary
+
+
+def clause_ends(words: pa.Array) -> np.ndarray:
+    """Which of the different tokens end a clause; what a comma or colon sets off from its reporting word is one with it."""
+    marked = pc.and_not(pc.match_substring_regex(words, _END), pc.match_substring_regex(words, _REPORTING))
+    return pc.or_(marked, pc.equal(words, "\n")).to_numpy(zero_copy_only=False)
 
 
 def features(model: Model, texts: pa.Array) -> np.ndarray:
-    """For each text, the summed weights of its matched clauses, by pattern and in all."""
+    """For each text, the summed weights of its matched clauses by pattern, and their sum by the priors."""
     out = np.zeros((len(texts), WIDTH))
     if not len(texts):
         return out
     codes, at, words = tokens_of(texts)
-    symbols = [model.symbol(w) for w in words]
-    hit = np.array([any(s in "IH" for s, _ in x) for x in symbols] or [False])
-    ends = np.array([w == "\n" or bool(_END.search(w)) for w in words] or [False])
-    spots = np.flatnonzero(hit[codes])
+    spots = np.flatnonzero(model.hits(words)[codes])
     if not len(spots):
         return out
     # a clause ends at its mark or with its text
-    stops = np.union1d(np.flatnonzero(ends[codes]), at[1:] - 1)
-    clause = np.searchsorted(stops, spots)
-    for c in np.unique(clause).tolist():
+    stops = np.union1d(np.flatnonzero(clause_ends(words)[codes]), at[1:] - 1)
+    symbols: dict[int, list] = {}
+    for c in np.unique(np.searchsorted(stops, spots)).tolist():
         stop = int(stops[c])
         row = int(np.searchsorted(at, stop, side="right")) - 1
         start = max(int(stops[c - 1]) + 1 if c else 0, int(at[row]))
-        found = clause_match([s for k in codes[start : stop + 1].tolist() for s in symbols[k]])
-        if found:
-            out[row, [found[0], -1]] += found[1]
+        own = codes[start : stop + 1].tolist()
+        for k in own:
+            if k not in symbols:
+                symbols[k] = model.symbol(words[k].as_py())
+        if found := clause_match([s for k in own for s in symbols[k]]):
+            out[row, found[0]] += found[1]
+    out[:, -1] = out[:, :-1] @ PRIOR
     return out
 
 
@@ -202,7 +270,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> tuple[np.ndarray
     z = np.column_stack([np.log1p(x), np.ones(len(y))])
     w = np.zeros(z.shape[1])
     hold = np.full(len(w), ridge * len(y))
-    hold[:-2] *= 20  # a pattern of its own departs from the rest only on evidence
+    hold[:-2] *= 200  # a pattern departs from its prior only on evidence
     hold[-1] = 1e-9
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
@@ -218,17 +286,38 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
+def _plain(codes: np.ndarray, at: np.ndarray, words: pa.Array) -> np.ndarray:
+    """Which tokens stand outside the reach of a negation, a reporting word and quotes, in their clause."""
+    own = words.to_pylist()
+    cores = [[c for c in _CORE.findall(w.lower()) if c in _MARKS] for w in own]
+    negates = np.array([any(_MARKS[c] == "N" for c in x) for x in cores] or [False])[codes]
+    reports = np.array([any(_MARKS[c] == "R" for c in x) for x in cores] or [False])[codes]
+    quotes = np.array([sum(w.count(q) for q in QUOTES) for w in own] or [0], np.int64)
+    place = np.arange(len(codes))
+    ends = np.zeros(len(codes), bool)
+    ends[np.flatnonzero(clause_ends(words)[codes])] = True
+    ends[at[1:] - 1] = True
+    first = np.concatenate([[True], ends[:-1]])
+    start = np.maximum.accumulate(np.where(first, place, 0))
+    near = np.maximum.accumulate(np.where(negates, place, -REACH - 1))
+    told = np.maximum.accumulate(np.where(reports, place, -1))
+    before = np.concatenate([[0], np.cumsum(quotes[codes])])
+    within = (before[:-1] - before[start]) % 2 > 0
+    return ~((near >= start) & (place - near <= REACH) | (told >= start) | within | (quotes[codes] > 0))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic documents, other documents) of each batch."""
+    """(word, toxic documents, other documents) of each batch, by plain uses."""
     for batch in batches:
         for rows in slices(batch):
             codes, at, words = tokens_of(rows.column("text"))
-            cores = [set(_CORE.findall(w.lower())) for w in words]
+            cores = [set(_CORE.findall(w.lower())) for w in words.to_pylist()]
             names: dict[str, int] = {}
             flat = np.array([names.setdefault(c, len(names)) for x in cores for c in x], np.int64)
             sizes = np.array([len(x) for x in cores], np.int64)
             row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            pairs = np.unique(row * max(1, len(words)) + codes)
+            plain = _plain(codes, at, words)
+            pairs = np.unique(row[plain] * max(1, len(words)) + codes[plain])
             row, code = pairs // max(1, len(words)), pairs % max(1, len(words))
             starts = np.cumsum(sizes) - sizes
             each = sizes[code]
@@ -268,7 +357,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
     # a stem stands for its words only if several toxic ones share it
     stems = words.select(stem.alias("entry"), "t", "o").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count_if(F.col("t") > 0).alias("forms")).filter("forms >= 3")
     found = words.select(F.col("word").alias("entry"), "t", "o", F.lit(False).alias("stem")).unionByName(stems.select("entry", "t", "o", F.lit(True).alias("stem")))
-    found = found.filter(chosen).orderBy(F.col("t").desc(), "entry", "stem").limit(s.entries).select("entry", "stem", "t", weight.alias("weight")).collect()
+    found = found.filter(chosen).orderBy(F.col("t").desc(), "entry", "stem").select("entry", "stem", "t", weight.alias("weight")).collect()
     entries = sorted((r.stem, len(r.entry), r.entry, r.weight, r.t) for r in found)
     stems_of: dict[str, float] = {}
     longer = {entry: (w, t) for is_stem, _, entry, w, t in entries if is_stem and w > 0}

@@ -18,13 +18,39 @@ def test_composed_transducers():
     assert match("I") == "I"
     assert match("T", "I") == match("I", "T") == "It"
     assert match("T", "N", "I") == "I-t"
-    assert match("N", "I", "I") == "I-"  # the first, of equal weight
+    assert match("N", "I", "I") == "I-"
+    assert match("N", "W", "W", "W", "I") == "I-" and match("N", "W", "W", "W", "W", "I") == "I"
+    assert match("N", "I", "W", "W", "W", "I") == "I"  # the stronger decides
     assert match("R", "T", "N", "H") == "H-rt"
     assert match("Q", "I", "Q") == "Ir"
     assert match("Q", "Q", "I") == "I"
     assert match("R", "H") == "Hr"
 
 
+def by_rules(symbols):
+    """The same clause, hit by hit."""
+    hits, quoted, told = [], False, False
+    for i, x in enumerate(symbols):
+        if x == "Q":
+            quoted, told = not quoted, False
+        elif x == "R" and not quoted:
+            told = True
+        elif x in "IH":
+            words = [y for y in symbols[:i] if y != "Q"]
+            hits.append(x + ("-" if "N" in words[-4:] else "") + ("r" if quoted or told else ""))
+    if not hits:
+        return None
+    order = ["I", "H", "Ir", "Hr", "I-", "H-", "I-r", "H-r"]
+    return min(hits, key=order.index) + ("t" if "T" in symbols else "")
+
+
+def test_grammar_against_rules():
+    r = random.Random(3)
+    for _ in range(5000):
+        symbols = r.choices("IHTNRQW", [2, 1, 1, 2, 1, 1, 4], k=r.randrange(9))
+        assert match(*symbols) == by_rules(symbols), symbols
+
+
 def model():
     return Model({"idiot": 2.0}, {"lowei": 3.0}, np.zeros(WIDTH), 0.0)
 
@@ -32,8 +58,8 @@ def model():
 def test_clauses():
     texts = ["You are an idiot. Nice day.", "not an idiot, loweix\nidiot", "he said: idiot", "“idiot”", "IDIOT!", "idiotic lo", "", "kill you"]
     got = [{PATTERNS[i]: round(v, 1) for i, v in enumerate(r[:-1]) if v} for r in features(model(), pa.array(texts))]
-    assert got == [{"It": 2.0}, {"I-": 2.0, "I": 5.0}, {"I": 2.0}, {"Ir": 2.0}, {"I": 2.0}, {}, {}, {"Ht": 1.0}]
-    assert np.allclose(features(model(), pa.array(texts))[:, -1], [2, 7, 2, 2, 2, 0, 0, 1])
+    assert got == [{"It": 2.0}, {"I-": 2.0, "I": 5.0}, {"Irt": 2.0}, {"Ir": 2.0}, {"I": 2.0}, {}, {}, {"Ht": 2.5}]
+    assert np.allclose(features(model(), pa.array(texts))[:, -1], [2.5, 5.2, 0.375, 0.3, 2, 0, 0, 2.5])
 
 
 def corpus(n, seed):
@@ -65,6 +91,38 @@ def test_held_out_accuracy(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.predicted}
 
 
+def test_patterns_order_the_scores(spark):
+    rows, labels = corpus(1500, 10)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    more = ["You are a blorf.", "A blorf.", "He said blorf.", "You are not a blorf.", "“blorf”", "Nothing of it."]
+    found = learn(docs(spark, rows), known)
+    r = scored(docs(spark, list(enumerate(more))), found).collect()
+    score = {more[x.doc_id]: x.score for x in r}
+    assert score["You are a blorf."] > score["A blorf."] > 0.7
+    assert score["A blorf."] > score["He said blorf."] > score["You are not a blorf."] > score["Nothing of it."]
+    assert 0.7 > score["He said blorf."] and score["A blorf."] > score["“blorf”"] > score["Nothing of it."]
+
+
+def test_clean_texts_that_deny_or_quote_a_word_do_not_drop_it(spark):
+    rows, labels = corpus(1500, 11)
+    for i in range(200):
+        rows.append((5000 + i, f"he is not a blorf {i} and she said blorf {i}"))
+        labels.append((5000 + i, 1, 0))
+    found = learn(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "blorf" in found.words
+    got = {r.doc_id: r for r in scored(docs(spark, rows), found).collect()}
+    assert not any(got[5000 + i].predicted for i in range(200))
+    assert sum(got[i].predicted for i, text in rows[:1500] if "blorf" in text) > 0.95 * sum("blorf" in text for _, text in rows[:1500])
+
+
+def test_every_entry_that_passes_stays(spark):
+    words = [f"z{i:04d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(5500)]
+    rows = [(i, " ".join(words if i % 2 else [w.replace("z", "y") for w in words])) for i in range(300)]
+    labels = [(i, 1, i % 2) for i in range(300)]
+    found = learn(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len(found.words) == 5500
+
+
 def test_held_out_labels_are_not_used(spark):
     rows, labels = corpus(900, 9)
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
