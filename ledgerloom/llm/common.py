@@ -88,5 +88,16 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> Data
     return joined.select(*df.columns, (F.col("__base") + F.col("__rank") - 1).cast("long").alias(out))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of the table has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in fields)])
