@@ -8,10 +8,10 @@ longest first, go where they leave the smallest gap. The plan works on runs of
 sequences that hold the same lengths, so it stays of bounded size for any number of
 documents. Pieces of one length are interchangeable: each is numbered within its
 length, and the number gives its sequence and place. The task that cuts a piece numbers it
-among its own pieces of that length; prefix sums of the tasks' counts, a row for each task
-and length, shift these numbers, so that no piece is sorted, and none is shuffled while
-that table is small enough to be broadcast. The ids stay with their piece: a sequence's
-tokens are the `ids` of its pieces, in order of offset.
+among its own pieces of that length; prefix sums of the tasks' counts shift these numbers.
+They are written as a small array for each task, mapped where its pieces are read, so no
+piece is sorted or shuffled. The ids stay with their piece: a sequence's tokens are the
+`ids` of its pieces, in order of offset.
 
 Cases: null text counts as empty; every document has at least its end id, so nothing is
 left out. Repeated rows are packed each. An empty table gives no rows; other columns
@@ -30,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_of, written
+from ledgerloom.llm.common import shared_path, text_of, written
+from ledgerloom.llm.stores import mapped, save, store_of
 from ledgerloom.llm.tokens import slices, tokenizer
 
 #: A run of sequences with the same content: how many, and ((length, times), ...) in order.
@@ -168,6 +169,29 @@ def pieces(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_co
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary, task int, number long")
 
 
+def _bases(each: DataFrame, capacity: int) -> str:
+    """Write, for each task, how many pieces of each length the tasks before it have; returns the folder."""
+    spark = each.sparkSession
+    path = shared_path(spark, "piece-bases")
+    store, root = store_of(path)
+    store.create_dir(root, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task, rows in zip(batch.column("task").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                bases = np.zeros(capacity + 1, "<i8")
+                for r in rows:
+                    bases[r["length"]] = r["base"]
+                save(f"{path}/base-{task}", bases)
+            yield pa.RecordBatch.from_pydict({"tasks": [batch.num_rows]})
+
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = each.select("task", F.struct("length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).alias("r"))
+    # a list of at most `capacity` for each task
+    bases.groupBy("task").agg(F.collect_list("r").alias("rows")).mapInArrow(write, "tasks long").agg(F.sum("tasks")).first()
+    return path
+
+
 def sequences(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """All pieces, with their ids (little-endian 32-bit integers), their sequence and their offset in it."""
     cut = written(pieces(df, tokenizer_path, end_id, capacity), "pieces")
@@ -176,17 +200,20 @@ def sequences(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
     table = places(plan(counts, capacity))
     keys = _key(table["length"], table["first"])
 
+    path = _bases(each, capacity)
+
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
-        length, number = length.to_numpy(np.int64), number.to_numpy(np.int64)
+    def place(task: pd.Series, length: pd.Series, number: pd.Series) -> pd.DataFrame:
+        task, length, number = (x.to_numpy(np.int64) for x in (task, length, number))
+        number = number.copy()
+        for t in np.unique(task).tolist():
+            own = task == t
+            number[own] += mapped(f"{path}/base-{t}", "<i8")[length[own]]
         at = np.searchsorted(keys, _key(length, number), side="right") - 1
         ahead, times = number - table["first"][at], table["times"][at]
         return pd.DataFrame({"sequence_id": table["sequence"][at] + ahead // times, "offset": table["offset"][at] + ahead % times * length})
 
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = each.select(F.col("task").alias("__task"), F.col("length").alias("__length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = cut.join(bases, (F.col("task") == F.col("__task")) & (F.col("length") == F.col("__length")))
-    placed = rows.select("doc_id", "piece", "start", "length", "ids", place("length", F.col("base") + F.col("number")).alias("p"))
+    placed = cut.select("doc_id", "piece", "start", "length", "ids", place("task", "length", "number").alias("p"))
     return placed.select("doc_id", "piece", "start", "length", "ids", "p.sequence_id", "p.offset")
 
 
