@@ -1,124 +1,124 @@
 """Exact duplicates by content sort.
 
-Rows are range-partitioned and sorted by (first characters of the normalised text,
-its SHA-256, longest original first, smallest id). Spark samples the splitters and
-sorts externally; the sampled keys are of bounded size, whatever the texts. Equal
-texts then stand next to each other, and one pass per partition compares each
-normalised text with its neighbour in full. Since length and id belong to the sort
-key, a group with a third of all rows is split over many partitions; only the first
-and last group of a partition can go on in another one, and those few are united by
-their SHA-256.
+Rows are range-partitioned and sorted by (first characters of the normalised text, a
+64-bit hash of it, longest original first, smallest id). Spark samples the splitters and
+sorts externally; the sampled keys are of bounded size, whatever the texts. Equal texts
+then stand next to each other, and one pass per partition compares each normalised text
+in full with its neighbours of the same hash. Since length and id belong to the sort
+key, a group with a third of all rows is split over many partitions; only the groups of
+a partition's first and last hash can go on in another one, and those few are united by
+their whole normalised texts. So nothing rests on a digest.
 
 Cases: null text counts as empty; all empty texts form one group. A null id sorts
 after every other id. Of fully repeated rows exactly one is kept. An empty table
 gives an empty result. Other columns are ignored by `exact_duplicates` and carried
-along by `drop_exact_duplicates`.
+along by `drop_exact_duplicates`, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import partitions, text_of, with_fields, written
+from ledgerloom.llm.common import free_names, partitions, text_of, with_fields, written
+from ledgerloom.llm.tokens import slices
 
 #: The characters that normalisation deletes.
 SPACES = " \t\n\x0b\x0c\r"
 _DELETE = SPACES.encode()
 #: Characters of the normalised text in the sort key.
 HEAD = 32
+_ROWS, _BYTES = 5000, 4_000_000
 
-_MARK = [("__edge", T.BooleanType()), ("__part", T.IntegerType()), ("__head", T.BooleanType())]
 
+def normalised(text: Column) -> Column:
+    for c in SPACES:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
-def _sorted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows in content order, with __text, __sha, __n and the order's columns."""
-    norm = F.translate(text_of(text_col), SPACES, "")
-    keyed = df.withColumns({"__text": text_of(text_col), "__head_key": F.substring(norm, 1, HEAD), "__sha": F.sha2(norm, 256)})
-    keyed = keyed.withColumns({"__n": F.length("__text").cast("long"), "__id": F.col(id_col).cast("long")})
-    order = [F.col("__head_key"), F.col("__sha"), F.col("__n").desc(), F.col("__id").asc_nulls_last()]
-    return keyed.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
 
+def _hash(norm: Column) -> Column:
+    return F.xxhash64(norm)
 
-def _starts(batch: pa.RecordBatch, last: bytes | None) -> tuple[np.ndarray, bytes | None]:
-    """Which rows start a new group, by comparing each normalised text with the one before."""
-    texts = batch.column("__text").cast(pa.binary()).to_pylist()
-    out = np.zeros(len(texts), bool)
-    for i, t in enumerate(texts):
-        norm = t.translate(None, _DELETE)
-        out[i] = norm != last
-        last = norm
-    return out, last
+
+def _sorted(df: DataFrame, norm: Column, hash_name: str, n: Column, doc: Column) -> DataFrame:
+    """Rows in content order, with the normalised text's hash."""
+    head, size, own = free_names(df, "__start", "__n", "__id")
+    keyed = df.withColumns({head: F.substring(norm, 1, HEAD), hash_name: _hash(norm), size: n, own: doc})
+    order = [F.col(head), F.col(hash_name), F.col(size).desc(), F.col(own).asc_nulls_last()]
+    return keyed.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).select(*df.columns, hash_name)
+
+
+@dataclass
+class _Group:
+    norm: bytes
+    ids: list
+    first: pa.RecordBatch
+    edge: bool = False
+
+
+def _groups(batches: Iterator[pa.RecordBatch], hash_name: str, text: str, doc: str) -> Iterator[_Group]:
+    """The partition's groups in order; of each the normalised text, all ids, and its first row."""
+
+    def runs() -> Iterator[list[_Group]]:
+        now, found = None, {}
+        for batch in batches:
+            for rows in slices(batch, text):
+                texts = rows.column(text).cast(pa.binary()).to_pylist()
+                for i, (h, own, t) in enumerate(zip(rows.column(hash_name).to_pylist(), rows.column(doc).to_pylist(), texts, strict=True)):
+                    if h != now:
+                        if found:
+                            yield list(found.values())
+                        now, found = h, {}
+                    norm = (t or b"").translate(None, _DELETE)
+                    if norm in found:
+                        found[norm].ids.append(own)
+                    else:
+                        found[norm] = _Group(norm, [own], rows.slice(i, 1))
+        if found:
+            yield list(found.values())
+
+    held, first = None, True
+    for run in runs():
+        if held:
+            yield from held
+        for g in run:
+            g.edge = first
+        held, first = run, False
+    for g in held or ():
+        g.edge = True
+        yield g
+
+
+_REPORT = "doc_id long, keep_id long, group_size long, text_sha256 string, part int, number long, head boolean, edge boolean, norm binary"
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each input row, with its group's first id and size in this partition."""
     part = TaskContext.get().partitionId()
-    last: bytes | None = None
-    ids: list = []
-    sha, first = "", True
-
-    def flush(edge: bool) -> pa.RecordBatch:
-        n = len(ids)
-        heads = np.zeros(n, bool)
-        heads[0] = True
-        columns = [pa.array(ids, pa.int64()), pa.array([ids[0]] * n, pa.int64()), pa.array(np.full(n, n)), pa.array([sha] * n), pa.array(np.full(n, edge)), pa.array(np.full(n, part, np.int32)), pa.array(heads)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "keep_id", "group_size", "text_sha256", "__edge", "__part", "__head"])
-
-    done: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        starts, last = _starts(batch, last)
-        own, shas = batch.column("__id").to_pylist(), batch.column("__sha")
-        cuts = [*np.flatnonzero(starts).tolist(), batch.num_rows]
-        ids += own[: cuts[0]]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if ids:
-                done.append(flush(first))
-                first = False
-            ids, sha = own[a:b], shas[a].as_py()
-        if done:
-            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
-            done = []
-    if ids:
-        yield flush(True)
-
-
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each group in this partition, whole."""
-    part = TaskContext.get().partitionId()
-    last: bytes | None = None
-    held: pa.RecordBatch | None = None
-    first = True
-
-    def marked(rows: pa.RecordBatch, edge: np.ndarray) -> pa.RecordBatch:
-        names, n = [x for x in rows.schema.names if x not in ("__text", "__head_key", "__n", "__id")], rows.num_rows
-        columns = [rows.column(x) for x in names] + [pa.array(edge), pa.array(np.full(n, part, np.int32)), pa.array(np.ones(n, bool))]
-        return pa.RecordBatch.from_arrays(columns, names=[*names, "__edge", "__part", "__head"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        starts, last = _starts(batch, last)
-        rows = batch.filter(pa.array(starts))
-        if not rows.num_rows:
-            continue
-        if held is not None:
-            yield marked(held, np.array([first]))
-            first = False
-        if (n := rows.num_rows) > 1:
-            yield marked(rows.slice(0, n - 1), np.arange(n - 1) == (0 if first else -1))
-            first = False
-        held = rows.slice(n - 1)
-    if held is not None:
-        yield marked(held, np.array([True]))
+    names = [x.split()[0] for x in _REPORT.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    rows = []
+    for number, g in enumerate(_groups(batches, "h", "text", "doc_id")):
+        sha = hashlib.sha256(g.norm).hexdigest()
+        for i, own in enumerate(g.ids):
+            rows.append((own, g.ids[0], len(g.ids), sha, part, number, i == 0, g.edge, g.norm if g.edge and i == 0 else None))
+            if len(rows) >= _ROWS:
+                yield batch(rows)
+                rows = []
+    if rows:
+        yield batch(rows)
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,24 +127,54 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are equal when identical without spaces; of equal texts the longest
     original, then the smallest id, is kept.
     """
-    names = ["doc_id", "keep_id", "group_size", "text_sha256"]
-    schema = T.StructType([T.StructField(n, T.StringType() if n == "text_sha256" else T.LongType()) for n in names])
-    narrow = _sorted(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    rows = narrow.select("__id", "__text", "__sha").mapInArrow(_report, with_fields(schema, *_MARK))
-    rows = written(rows, "content-sort")
-    # at most two groups of each partition: a bounded table
-    edges = rows.filter("__edge AND __head").groupBy(F.col("text_sha256").alias("__of")).agg(F.min_by("keep_id", "__part").alias("__keep"), F.sum("group_size").alias("__size"), F.min("__part").alias("__first"))
-    joined = rows.join(F.broadcast(edges), F.col("__edge") & (F.col("text_sha256") == F.col("__of")), "left")
-    kept = F.col("__head") & (F.col("__of").isNull() | (F.col("__part") == F.col("__first")))
-    keep_id = F.when(F.col("__of").isNull(), F.col("keep_id")).otherwise(F.col("__keep"))
-    return joined.select("doc_id", keep_id.alias("keep_id"), F.coalesce("__size", "group_size").alias("group_size"), kept.alias("kept"), "text_sha256")
+    narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_of(text_col)).alias("text"), F.length(text_of(text_col)).alias("n"))
+    ordered = _sorted(narrow, F.col("text"), "h", F.col("n"), F.col("doc_id"))
+    rows = written(ordered.select("doc_id", "text", "h").mapInArrow(_report, _REPORT), "content-sort")
+    # the first groups and the last ones of the partitions, joined over their texts
+    alike = Window.partitionBy("norm")
+    edges = rows.filter("edge AND head").select(
+        F.col("part").alias("__part"),
+        F.col("number").alias("__number"),
+        F.min_by("keep_id", "part").over(alike).alias("__keep"),
+        F.sum("group_size").over(alike).alias("__size"),
+        F.min("part").over(alike).alias("__first"),
+    )
+    at_edges = rows.filter("edge").join(edges, (F.col("part") == F.col("__part")) & (F.col("number") == F.col("__number")))
+    united = at_edges.select("doc_id", F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), (F.col("head") & (F.col("part") == F.col("__first"))).alias("kept"), "text_sha256")
+    inside = rows.filter("NOT edge").select("doc_id", "keep_id", "group_size", F.col("head").alias("kept"), "text_sha256")
+    return inside.unionByName(united)
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows, with all their columns, without all but one of equal texts."""
-    ordered = _sorted(df, id_col, text_col)
-    schema = with_fields(df.schema, ("__sha", T.StringType()), *_MARK)
-    rows = written(ordered.mapInArrow(_heads, schema), "content-heads")
-    edges = rows.filter("__edge").groupBy(F.col("__sha").alias("__of")).agg(F.min("__part").alias("__first"))
-    joined = rows.join(F.broadcast(edges), F.col("__edge") & (F.col("__sha") == F.col("__of")), "left")
-    return joined.filter(F.col("__of").isNull() | (F.col("__part") == F.col("__first"))).select(*df.columns)
+    hash_name, edge, part, norm = free_names(df, "__hash", "__edge", "__part", "__norm")
+    ordered = _sorted(df, normalised(text_of(text_col)), hash_name, F.length(text_of(text_col)), F.col(id_col).cast("long"))
+    names = df.columns
+    at, own = names.index(text_col), names.index(id_col)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first row of each group in this partition."""
+        number = TaskContext.get().partitionId()
+        plain = (pa.RecordBatch.from_arrays(b.columns, names=[str(i) for i in range(b.num_columns)]) for b in batches)
+        some, edges, norms, size = [], [], [], 0
+
+        def joined() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            columns = whole.columns[: len(names)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(edges), pa.array([number] * len(some), pa.int32()), pa.array(norms, pa.binary())], names=[*names, edge, part, norm])
+
+        for g in _groups(plain, str(len(names)), str(at), str(own)):
+            some.append(g.first)
+            edges.append(g.edge)
+            norms.append(g.norm if g.edge else None)
+            size += len(g.norm)
+            if len(some) >= _ROWS or size >= _BYTES:
+                yield joined()
+                some, edges, norms, size = [], [], [], 0
+        if some:
+            yield joined()
+
+    rows = written(ordered.mapInArrow(heads, with_fields(df.schema, (edge, T.BooleanType()), (part, T.IntegerType()), (norm, T.BinaryType()))), "content-heads")
+    (first,) = free_names(rows, "__first")
+    at_edges = rows.filter(F.col(edge)).withColumn(first, F.min(part).over(Window.partitionBy(norm))).filter(F.col(part) == F.col(first))
+    return rows.filter(~F.col(edge)).select(*names).unionByName(at_edges.select(*names))

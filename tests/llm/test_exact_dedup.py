@@ -2,7 +2,9 @@ import hashlib
 import re
 
 from helpers import AWKWARD, docs
+from pyspark.sql import functions as F
 
+from ledgerloom.llm import exact_dedup
 from ledgerloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 
 
@@ -43,6 +45,24 @@ def test_dropping_carries_rows(spark):
     assert sorted((str(r.doc_id) for r in got.collect())) == sorted(str(r[0]) for r in brute(AWKWARD) if r[3])
 
 
+def test_columns_named_like_helpers(spark):
+    names = ["__n", "__N2", "__text", "__id", "__sha", "__part", "__hash", "__edge", "__norm", "__start", "__first", "__head"]
+    df = docs(spark, AWKWARD, **{n: "clash" for n in names})
+    got = drop_exact_duplicates(df)
+    assert got.columns == df.columns and set(got.collect()) <= set(df.collect())
+    assert sorted((str(r.doc_id) for r in got.collect())) == sorted(str(r[0]) for r in brute(AWKWARD) if r[3])
+    assert result(exact_duplicates(df)) == brute(AWKWARD)
+
+
+def test_equal_hashes_of_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_hash", lambda norm: F.lit(1).cast("long"))
+    head = "the same beginning of thirty-two characters "
+    rows = [(i, head + f"{i % 5} " + " " * (i % 3)) for i in range(300)]
+    assert result(exact_duplicates(docs(spark, rows).repartition(4))) == brute(rows)
+    got = drop_exact_duplicates(docs(spark, rows))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in brute(rows) if r[3])
+
+
 def test_empty_table(spark):
     assert exact_duplicates(docs(spark, [])).count() == 0
     assert drop_exact_duplicates(docs(spark, [])).count() == 0
