@@ -11,6 +11,11 @@ the targets, each divided by its domain's total at rate 1, by projected gradient
 (and at most a ceiling, where one is set: a target that hardly any document can serve
 would otherwise ask for thousands of copies of those few).
 
+Rounds go on until every domain's total is within `tolerance` of its own target, or no
+rate moves any more: then targets are out of reach of the floor and the ceiling, and the
+mixture reports by how much (`Mixture.residuals`), with a warning. Rounds that run out
+before either are an error, unless `Settings.rounds_may_end` allows it.
+
 The step is that of the metric in which a document weighs its tokens; there the
 gradient's constant is 1 for these scales, so a step of 1 always descends. A round is one
 Spark aggregation of as many sums as there are domains, and the residuals of all rounds
@@ -18,13 +23,14 @@ reproduce a document's rate from its posterior alone, wherever it is next needed
 
 Cases: null text counts as empty; a text without words has the prior as posterior, no
 tokens, and keeps rate 1 unless its domain's residuals move it. Labelled rows with a null or unknown
-domain don't count; without any, posteriors are even. Repeated rows have a rate each.
+domain don't count; of repeated labels of one id the largest row counts; without any, posteriors are even. Repeated rows have a rate each.
 An empty table gives no rows; other columns are ignored by `rates` and carried along by
 `mixed`.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_of, written
+from ledgerloom.llm.common import free_names, text_of, written
 from ledgerloom.llm.kneser_ney import words_of
 from ledgerloom.llm.tokens import slices
 
@@ -43,18 +49,22 @@ from ledgerloom.llm.tokens import slices
 class Settings:
     """labelled_rows: at most so many labelled rows are learned from, the first by a hash of their id.
 
-    budget: total tokens of the mixture; None for those of the corpus, or "floor" for the
+    size: total tokens of the mixture; None for those of the corpus, or "floor" for the
     smallest at which no domain's target is below its total at the floor's rate.
+    tolerance: how far a domain's total may end from its target, as a share of it.
+    stalled: a round that moves no total by more than this share of its target ends the descent.
     """
 
     labelled_rows: int = 20_000
     buckets: int = 1 << 16
     smoothing: float = 0.1
-    rounds: int = 60
-    tolerance: float = 1e-4
+    rounds: int = 500
+    tolerance: float = 1e-3
+    stalled: float = 1e-4
+    rounds_may_end: bool = False
     floor: float = 0.0
     ceiling: float | None = None
-    budget: float | str | None = None
+    size: float | str | None = None
 
 
 @dataclass
@@ -99,7 +109,9 @@ def fit_scale(mean: np.ndarray, domain: np.ndarray, prior: np.ndarray) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """The classifier, from a bounded sample of the labelled rows; `domain` may use both tables' columns."""
-    known = labels.filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.labelled_rows)
+    # of repeated labels of one id the largest row counts
+    once = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.struct(*[c for c in labels.columns if c != "doc_id"])).alias("l"))
+    known = once.select("doc_id", "l.*").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.labelled_rows)
     columns = [c for c in docs.columns if c not in (id_col, text_col) and c not in known.columns]
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), *columns)
     at = F.array_position(F.array(*map(F.lit, domains)), domain.cast("string")) - 1
@@ -144,6 +156,12 @@ def learn(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
     return found
 
 
+def _shares_off(totals: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Distances by target; those of a target of zero by the smallest other one."""
+    by = np.where(targets > 0, targets, targets[targets > 0].min() if (targets > 0).any() else 1.0)
+    return (totals - targets) / by
+
+
 @dataclass
 class Mixture:
     classifier: Classifier
@@ -152,6 +170,12 @@ class Mixture:
     targets: np.ndarray
     totals: np.ndarray
     steps: list[np.ndarray] = field(default_factory=list)
+    settled: bool = False
+
+    @property
+    def residuals(self) -> dict[str, float]:
+        """How far each domain's total is from its target, as a share of it."""
+        return dict(zip(self.classifier.domains, (_shares_off(self.totals, self.targets)).tolist(), strict=True))
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         """Rates from posteriors, by the steps of all rounds."""
@@ -190,26 +214,32 @@ def solve(predicted: DataFrame, classifier: Classifier, targets: dict[str, float
     rated = predicted.withColumn("rate", F.lit(max(1.0, settings.floor)))
     now = totals(rated)
     natural = now / max(1.0, settings.floor)
-    if settings.budget == "floor":
-        budget = max((settings.floor * n / s for n, s in zip(natural, share, strict=True) if s > 0), default=0.0)
+    if settings.size == "floor":
+        size = max((settings.floor * n / s for n, s in zip(natural, share, strict=True) if s > 0), default=0.0)
     else:
-        budget = natural.sum() if settings.budget is None else float(settings.budget)
+        size = natural.sum() if settings.size is None else float(settings.size)
     ceiling = np.inf if settings.ceiling is None else max(settings.floor, settings.ceiling)
-    mixture = Mixture(classifier, settings.floor, ceiling, share * budget, now)
+    mixture = Mixture(classifier, settings.floor, ceiling, share * size, now)
     scale = np.maximum(natural, 1e-9 * max(1.0, natural.sum()))
-    for k_round in range(1, settings.rounds + 1):
-        if not natural.sum() > 0:
+    moved_by = np.inf
+    while natural.sum() > 0 and np.abs(_shares_off(now, mixture.targets)).max() > settings.tolerance and moved_by > settings.stalled:
+        if len(mixture.steps) == settings.rounds:
+            if not settings.rounds_may_end:
+                raise RuntimeError(f"mixing did not settle in {settings.rounds} rounds; shares off their targets: {mixture.residuals}")
             break
         v = (now - mixture.targets) / scale
         mixture.steps.append(v)
         moved = F.col("rate") - sum((F.col(f"p{d}") * F.lit(float(v[d])) for d in k), F.lit(0.0))
         rated = rated.withColumn("rate", F.least(F.lit(float(ceiling)), F.greatest(F.lit(float(settings.floor)), moved)))
-        if k_round % 10 == 0:
+        if len(mixture.steps) % 10 == 0:
             rated = written(rated, "rates")
         before, now = now, totals(rated)
         mixture.totals = now
-        if np.abs(now - before).max() <= settings.tolerance * max(1.0, budget):
-            break
+        moved_by = float(np.abs(_shares_off(now, mixture.targets) - _shares_off(before, mixture.targets)).max())
+    else:
+        mixture.settled = True
+    if natural.sum() > 0 and np.abs(_shares_off(now, mixture.targets)).max() > settings.tolerance:
+        warnings.warn(f"targets out of reach between the floor and the ceiling; shares off: {mixture.residuals}", stacklevel=2)
     return mixture, rated
 
 
@@ -228,6 +258,8 @@ def mixed(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str,
     """The rows, with all their columns, each as often as its rate says.
 
     A rate's whole part is a number of copies; a hash of id and text decides on its fraction.
+    Documents are classified once more here, which is cheaper than a shuffle of all texts to
+    join them with their rates.
     """
     settings = settings or Settings()
     classifier = learn(docs, labels, domain, list(targets), settings, id_col, text_col)
@@ -246,5 +278,6 @@ def mixed(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str,
                 for n in range(int(copies.max(initial=0))):  # a copy at a time, so that no batch grows
                     yield rows.filter(pa.array(copies > n))
 
-    drawn = docs.withColumn("__draw", F.xxhash64(F.col(id_col), F.col(text_col)))
+    (draw,) = free_names(docs, "__draw")
+    drawn = docs.withColumn(draw, F.xxhash64(F.col(id_col), F.col(text_col)))
     return drawn.mapInArrow(repeat, docs.schema)
