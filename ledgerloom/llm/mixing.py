@@ -12,9 +12,9 @@ the targets, each divided by its domain's total at rate 1, by projected gradient
 would otherwise ask for thousands of copies of those few).
 
 Rounds go on until every domain's total is within `tolerance` of its own target, or no
-rate moves any more: then targets are out of reach of the floor and the ceiling, and the
-mixture reports by how much (`Mixture.residuals`), with a warning. Rounds that run out
-before either are an error, unless `Settings.rounds_may_end` allows it.
+total moves any more: then targets are out of reach of the floor and the ceiling. Where a
+target isn't met, so also where `rounds` run out, a warning tells by how much, and
+`Mixture.settled` and `Mixture.residuals` do.
 
 The step is that of the metric in which a document weighs its tokens; there the
 gradient's constant is 1 for these scales, so a step of 1 always descends. A round is one
@@ -58,10 +58,9 @@ class Settings:
     labelled_rows: int = 20_000
     buckets: int = 1 << 16
     smoothing: float = 0.1
-    rounds: int = 500
+    rounds: int = 100
     tolerance: float = 1e-3
     stalled: float = 1e-4
-    rounds_may_end: bool = False
     floor: float = 0.0
     ceiling: float | None = None
     size: float | str | None = None
@@ -224,8 +223,6 @@ def solve(predicted: DataFrame, classifier: Classifier, targets: dict[str, float
     moved_by = np.inf
     while natural.sum() > 0 and np.abs(_shares_off(now, mixture.targets)).max() > settings.tolerance and moved_by > settings.stalled:
         if len(mixture.steps) == settings.rounds:
-            if not settings.rounds_may_end:
-                raise RuntimeError(f"mixing did not settle in {settings.rounds} rounds; shares off their targets: {mixture.residuals}")
             break
         v = (now - mixture.targets) / scale
         mixture.steps.append(v)
@@ -239,7 +236,8 @@ def solve(predicted: DataFrame, classifier: Classifier, targets: dict[str, float
     else:
         mixture.settled = True
     if natural.sum() > 0 and np.abs(_shares_off(now, mixture.targets)).max() > settings.tolerance:
-        warnings.warn(f"targets out of reach between the floor and the ceiling; shares off: {mixture.residuals}", stacklevel=2)
+        why = "out of reach between the floor and the ceiling" if mixture.settled else f"not reached in {settings.rounds} rounds"
+        warnings.warn(f"targets {why}; shares off by {mixture.residuals}", stacklevel=2)
     return mixture, rated
 
 
