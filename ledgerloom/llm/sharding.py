@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import numbered, written
+from ledgerloom.llm.common import free_names, numbered, written
 
 
 @dataclass(frozen=True)
@@ -46,46 +46,40 @@ class Tree:
         return sum(len(rack) for region in self.regions for rack in region)
 
 
-def _draw(key: Column, node: str, weight: float) -> Column:
-    """The child's draw: exponential with its weight as rate."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(node)), 11).cast("double")
-    return -F.log((bits + 0.5) * F.lit(2.0**-53)) / F.lit(weight)
+def _won(key: Column, prefix: list[Column], node: Column, weights: list[list[float]]) -> Column:
+    """The child of the node that has the smallest draw, exponential with its weight as rate; ties go to the first.
 
-
-def _winner(key: Column, children: list[tuple[str, float, Column]]) -> Column:
-    """The value of the child with the smallest draw; ties go to the first child."""
-    alive = [c for c in children if c[1] > 0]
-    if len(alive) == 1:
-        return alive[0][2]
-    draws = F.array(*[F.struct(_draw(key, name, w).alias("d"), F.lit(i).alias("i")) for i, (name, w, _) in enumerate(alive)])
-    at = F.array_min(draws).getField("i")
-    out = alive[-1][2]
-    for i, (_, _, value) in reversed(list(enumerate(alive[:-1]))):
-        out = F.when(at == i, value).otherwise(out)
-    return out
+    weights: of the children of every node of the level. The expression has a draw for each
+    of as many children as the widest node has, however many nodes there are.
+    """
+    width = max(map(len, weights))
+    flat = [float(w) for own in weights for w in [*own, *[0.0] * (width - len(own))]]
+    table = F.array(*map(F.lit, flat))
+    draws = []
+    for j in range(width):
+        name = F.concat_ws("/", *[c.cast("string") for c in prefix], F.lit(str(j)))
+        bits = F.shiftrightunsigned(F.xxhash64(key, name), 11).cast("double")
+        weight = F.element_at(table, (node * width + j + 1).cast("int"))
+        draws.append(F.when(weight > 0, F.struct((-F.log((bits + 0.5) * F.lit(2.0**-53)) / weight).alias("d"), F.lit(j).alias("j"))))
+    return F.array_min(F.array(*draws)).getField("j")
 
 
 def _leveled(df: DataFrame, tree: Tree, key: Column, out: str) -> DataFrame:
-    """Adds `out`; each level is a column, so a row draws only within its subtree."""
-    r, k = f"__{out}_region", f"__{out}_rack"
-    weight = [[sum(rack) for rack in region] for region in tree.regions]
-    top = _winner(key, [(f"{i}", sum(w), F.lit(i)) for i, w in enumerate(weight)])
-    df = df.withColumn(r, top)
-    rack = None
-    for i in reversed(range(len(weight))):
-        won = _winner(key, [(f"{i}/{j}", w, F.lit(j)) for j, w in enumerate(weight[i])]) if sum(weight[i]) > 0 else F.lit(None).cast("int")
-        rack = won if rack is None else F.when(F.col(r) == i, won).otherwise(rack)
-    df = df.withColumn(k, rack)
-    shard, number = None, tree.shards
-    for i in reversed(range(len(weight))):
-        for j in reversed(range(len(weight[i]))):
-            rack_weights = tree.regions[i][j]
-            number -= len(rack_weights)
-            if not sum(rack_weights) > 0:
-                continue
-            won = _winner(key, [(f"{i}/{j}/{s}", w, F.lit(number + s)) for s, w in enumerate(rack_weights)])
-            shard = won if shard is None else F.when((F.col(r) == i) & (F.col(k) == j), won).otherwise(shard)
-    return df.withColumn(out, shard).drop(r, k)
+    """Adds `out`; each level is a column, so a row draws only among its node's children."""
+    region, rack, inside = free_names(df, "__region", "__rack", "__inside")
+    racks = max(map(len, tree.regions))
+    padded = [[*r, *[()] * (racks - len(r))] for r in tree.regions]
+    df = df.withColumn(region, _won(key, [], F.lit(0), [[sum(map(sum, r)) for r in tree.regions]]))
+    df = df.withColumn(rack, _won(key, [F.col(region)], F.col(region), [[sum(x) for x in r] for r in tree.regions]))
+    node = F.col(region) * racks + F.col(rack)
+    df = df.withColumn(inside, _won(key, [F.col(region), F.col(rack)], node, [list(x) for r in padded for x in r]))
+    first, firsts = 0, []
+    for r in padded:
+        for x in r:
+            firsts.append(first)
+            first += len(x)
+    number = F.element_at(F.array(*map(F.lit, firsts)), (node + 1).cast("int")) + F.col(inside)
+    return df.withColumn(out, number).drop(region, rack, inside)
 
 
 def assign_shards(df: DataFrame, tree: Tree, key: str = "doc_id", out: str = "shard") -> DataFrame:

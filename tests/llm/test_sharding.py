@@ -1,7 +1,10 @@
+import math
+import re
 import zlib
 from collections import Counter
 
 from helpers import AWKWARD, docs
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.sharding import Tree, assign_shards, sharded
 
@@ -26,6 +29,37 @@ def test_balance_and_growth(spark):
     assert 350 < len(moved) < 640
 
 
+def descended(key, tree):
+    """The same descent in Python, from the hashes of a key with every node."""
+
+    def won(prefix, weights):
+        draws = [(-math.log(((key[prefix + str(j)] >> 11) + 0.5) * 2.0**-53) / w, j) for j, w in enumerate(weights) if w > 0]
+        return min(draws)[1]
+
+    i = won("", [sum(map(sum, r)) for r in tree.regions])
+    j = won(f"{i}/", [sum(x) for x in tree.regions[i]])
+    k = won(f"{i}/{j}/", tree.regions[i][j])
+    return sum(len(x) for r in tree.regions[:i] for x in r) + sum(len(x) for x in tree.regions[i][:j]) + k
+
+
+def test_shards_against_plain_descent(spark):
+    for tree in (Tree.even(40), Tree.even(40).grown(), Tree.even(13), Tree((((1, 2, 0.5), (3,)), ((0.1, 0, 7),), ((1,), (0, 2), (5, 5, 5, 5))))):
+        nodes = [n for i, r in enumerate(tree.regions) for j, x in enumerate(r) for n in (f"{i}", f"{i}/{j}", *(f"{i}/{j}/{k}" for k in range(len(x))))]
+        ids = spark.range(-200, 200).withColumnRenamed("id", "doc_id").union(spark.sql("SELECT cast(NULL AS bigint)"))
+        ids = ids.withColumn("__region", F.lit("clash"))
+        hashed = assign_shards(ids, tree).withColumns({f"h{n}": F.xxhash64("doc_id", F.lit(n)) for n in set(nodes)}).collect()
+        for r in hashed:
+            assert r.shard == descended({n: r[f"h{n}"] % 2**64 for n in nodes}, tree)
+
+
+def test_plan_is_compiled(spark):
+    """All of the descent is one span of generated code, in methods small enough for the JVM to compile."""
+    plan = assign_shards(spark.range(10).withColumnRenamed("id", "doc_id"), Tree.even(40).grown())._jdf.queryExecution()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(plan.executedPlan())
+    assert "Found 1 WholeStageCodegen subtrees" in code and "Python" not in code
+    assert int(re.search(r"maxMethodCodeSize:(\d+)", code)[1]) < 8000
+
+
 def test_weights_confine_movement(spark):
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
     a = Tree((((1, 1), (1, 1)), ((1, 1), (1, 1))))
