@@ -8,7 +8,8 @@ The entropy pass takes runs of 20 or more key characters as candidates, tells th
 character class (hex, letters and digits, or with symbols), and slides a window over
 each, updating the counts and the sum of c * log2(c) as one character enters and one
 leaves. Windows at or above the class's threshold are joined into `entropy` spans,
-unless the allow-list knows the candidate or a base span covers it.
+unless the allow-list knows the candidate, the window belongs to an example key, or a
+base span covers it.
 
 Cases: null text counts as empty and has no spans; texts of any length are scanned
 whole; repeated rows are scanned each; an empty table gives no rows; other columns are
@@ -35,14 +36,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the maximal run, so the same as al
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
-#: Candidates that are no secrets: identifiers with a public form, example keys, paths, one character over and over.
+#: A slug's or path's part: letters alone, digits alone, or a few of both; a longer mixture may be a key.
+_PLAIN = r"(?:[a-z]+|[0-9]+|[a-z0-9]{1,4})"
+#: Candidates that are no secrets: identifiers with a public form, words, numbers, slugs and paths.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r".*EXAMPLE.*",
     r"[A-Za-z/_=-]*",
     r"[0-9/_=+-]*",
-    r"(?:[a-z0-9]+[/_-])+[a-z0-9]+",
+    rf"(?:{_PLAIN}[/_-])+{_PLAIN}",
 )
+#: Words that mark an example key, and how far from one, in characters, windows are taken as part of it.
+EXAMPLES, EXAMPLE_REACH = r"EXAMPLE", 40
 
 
 @dataclass(frozen=True)
@@ -52,8 +56,10 @@ class EntropyRule:
     window: int = 20
     hex: float = 3.2
     alnum: float = 3.8
-    symbols: float = 3.9
+    symbols: float = 3.7
     allowed: tuple[str, ...] = ALLOWED
+    examples: str = EXAMPLES
+    example_reach: int = EXAMPLE_REACH
 
     def threshold(self, candidate: str) -> float:
         if all(c in "0123456789abcdefABCDEF" for c in candidate):
@@ -86,9 +92,10 @@ def entropy_spans(text: str, rule: EntropyRule) -> list[tuple[int, int]]:
         candidate = m[0]
         if len(candidate) < rule.window or allowed and allowed.fullmatch(candidate):
             continue
+        shown = [(x.start() - rule.example_reach, x.end() + rule.example_reach) for x in re.finditer(rule.examples, candidate)]
         least, start, end = rule.threshold(candidate), -1, -1
         for i, bits in enumerate(window_entropies(candidate, rule.window)):
-            if bits < least:
+            if bits < least or any(a <= i and i + rule.window <= b for a, b in shown):
                 continue
             if start >= 0 and i > end:
                 out.append((m.start() + start, m.start() + end))
