@@ -1,9 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 from helpers import AWKWARD, docs
 
-from ledgerloom.llm.fingerprints import PrefixHashes, edited, fingerprint, ladder, likeness, neighbour_fingerprints
+from ledgerloom.llm.fingerprints import ANCHORS, SPAN, Anchors, PrefixHashes, _edited_print, edited, fingerprint, ladder, likeness, neighbour_fingerprints
 
 
 def brute(rows):
@@ -13,7 +14,8 @@ def brute(rows):
         after = rows[(k + 1) % len(rows)][1]
         new = edited(t, after)
         a, b, c = fingerprint(t), fingerprint(new), fingerprint(after)
-        out.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), a, b, likeness(a, b), likeness(a, c)))
+        agreed = next((k for k, (x, y) in enumerate(zip(t, new)) if x != y), min(len(t), len(new)))
+        out.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), a, b, likeness(a, b), likeness(a, c), agreed))
     return sorted(out, key=str)
 
 
@@ -62,8 +64,54 @@ def test_likeness():
     r = random.Random(3)
     t = "".join(r.choices("abcdefgh ", k=4000))
     assert likeness(fingerprint(t), fingerprint(t)) == 1.0
-    assert 0.6 < likeness(fingerprint(t), fingerprint(t[:3000] + "Z" * 1000)) <= 0.75
-    assert 0.85 < likeness(fingerprint(t), fingerprint(t[:2000] + "Z" + t[2001:])) <= 1.0
+    assert 0.6 < likeness(fingerprint(t), fingerprint(t[:3000] + "Z" * 1000)) <= 0.85
+    assert 0.8 < likeness(fingerprint(t), fingerprint(t[:2000] + "Z" + t[2001:])) <= 1.0
     assert likeness(fingerprint(t), fingerprint("Z" + t[::-1])) < 0.01
-    assert likeness(fingerprint(""), fingerprint("a")) == 0.0
-    assert ladder(40) == [*range(1, 17), *range(18, 33, 2), 36, 40]
+    assert likeness(fingerprint(""), fingerprint("a")) == 0.0 == likeness(fingerprint(""), fingerprint("a" * 100))
+    assert ladder(40) == [*range(1, 9), 10, 12, 14, 16, 20, 24, 28, 32, 40]
+
+
+def plain_share(a, b):
+    """The share of the longer text's spans that the other has."""
+    x, y = ({t[i : i + SPAN] for i in range(len(t) - SPAN + 1)} for t in (a, b))
+    return len(x & y) / max(len(x), len(y))
+
+
+def test_likeness_of_texts_changed_in_many_places():
+    r = random.Random(9)
+    off = []
+    for _ in range(60):
+        t = "".join(r.choices("abcdefgh ", k=r.randrange(500, 9000)))
+        u = list("Q" + t[1:-1] + "Q")
+        for _ in range(r.randrange(1, 12)):
+            k = r.randrange(len(u))
+            u[k : k + r.randrange(30)] = "".join(r.choices("xyz", k=r.randrange(30)))
+        u = "".join(u)
+        off.append(likeness(fingerprint(t), fingerprint(u)) - plain_share(t, u))
+    assert max(map(abs, off)) < 0.25 and sum(map(abs, off)) / len(off) < 0.06
+
+
+def test_joined_arrays_and_anchors():
+    r = random.Random(10)
+    for n, m in ((0, 0), (5, 3), (100, 30), (3000, 3000), (4001, 40), (30, 5000)):
+        t, u = ("".join(r.choices("abé", k=k)) for k in (n, m))
+        h, g = PrefixHashes(t), PrefixHashes(u)
+        hashes, print_ = _edited_print(h, Anchors(h), g, Anchors(g), n // 4)
+        new = edited(t, u)
+        assert print_ == fingerprint(new) and [x.tolist() for x in hashes.arrays] == [x.tolist() for x in PrefixHashes(new).arrays]
+    t = "".join(r.choices("ab", k=600_000))
+    h = PrefixHashes(t)
+    assert Anchors(h).of_first(500_000).tolist() == np.unique(h.windows(0, 500_000))[:ANCHORS].tolist()
+    assert h.windows(300_000, 300_001)[0] == PrefixHashes(t[300_000 : 300_000 + SPAN]).windows(0, 1)[0]
+
+
+def test_a_step_that_agrees_in_16_bits_alone():
+    seen = {}
+    for i in range(5000):
+        text = f"{i * 7919:08d}"  # eight characters, so the last step is the whole text
+        step = fingerprint(text).split(":")[2][-8:]
+        if step[-4:] in seen:
+            assert step != seen[step[-4:]]
+            return
+        seen[step[-4:]] = step
+    raise AssertionError("no pair was found")
