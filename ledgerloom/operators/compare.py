@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import first_day, js_round, month_index
-from ledgerloom.operators.predicates import LedgerQuery, filtered, named, removed
+from ledgerloom.functions.scalars import first_day, js_round, money, month_index
+from ledgerloom.operators.predicates import LedgerQuery, filtered, flag, named, removed
 
 LOOKBACKS = (3, 6, 12)
 #: Categories whose high months are seasonal; fixed values.
@@ -74,6 +74,25 @@ def compare_summary(df: DataFrame, coverage: DataFrame, selected: str, lookback:
     return one.select(F.lit(at).alias("month_idx"), F.lit(len(months)).alias("coverage_count"), F.lit(covered).alias("selected_covered"), "actual_cents", average.alias("average_cents"))
 
 
+#: Categories that share one target where a health plan is combined; fixed values.
+SHARED_HEALTH = ("Medical & pharmacy", "Dental")
+
+
+def with_targets(compared: DataFrame, targets: DataFrame, df: DataFrame, selected: str, basis: str = "category", combined: bool = False, shared: tuple[str, ...] = SHARED_HEALTH, episode: str = "Dental") -> DataFrame:
+    """Compared categories with the text of their target, and whether their month has the nonroutine episode.
+
+    targets: (cat, target_cents), one row for each category. A category without a target, and every one on
+    another basis, has a dash. df: the month's ledger rows.
+    """
+    at = month_index(selected)
+    month = df.filter(F.col("month_idx") == at).agg(F.coalesce(F.max(flag("nonroutine_dental_episode")), F.lit(False)).alias("__episode"))
+    own = targets.select(F.col("cat").alias("__cat"), F.col("target_cents").alias("__cents"), F.lit(True).alias("__has"))
+    match = (F.col("category") == F.col("__cat")) & F.lit(basis == "category")
+    joined = compared.join(own, match, "left").crossJoin(month)  # a row of the month
+    text = F.when(F.lit(combined) & F.col("category").isin(*shared), "Shared health target").when(F.col("__has"), money(F.col("__cents"))).otherwise("—")
+    return joined.select(*compared.columns, text.alias("target"), ((F.col("category") == episode) & F.col("__episode")).alias("episode"))
+
+
 def usual_by_month(df: DataFrame, coverage: DataFrame, lookback: int = 12, basis: str = "category") -> DataFrame:
     """Every covered or uncovered month of every category against the covered months before it.
 

@@ -2,42 +2,70 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.predicates import flag, named
+
+
+def _facts(one: DataFrame, tests: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """A row of aggregates as a row for each check."""
+    sides = [F.struct(F.lit(n).alias("check"), o.cast("long").alias("observed"), e.cast("long").alias("expected")) for n, (o, e) in tests.items()]
+    return one.agg(F.array(*sides).alias("facts")).select(F.inline("facts"))
 
-def _row(df: DataFrame, name: str, observed, expected) -> DataFrame:
-    one = df.agg(observed.cast("long").alias("observed"), expected.cast("long").alias("expected"))
-    return one.select(F.lit(name).alias("check"), F.col("observed").eqNullSafe(F.col("expected")).alias("passed"), "observed", "expected")
 
+def checks(df: DataFrame, stored: DataFrame, kinds: tuple[str, ...], sources: tuple[str, ...], months: list[int], quarter: DataFrame, prefix: str = "", basis: str = "synthetic_fixture") -> DataFrame:
+    """All checks of a ledger against what is stored of it.
 
-def checks(df: DataFrame, stored: DataFrame, kinds: tuple[str, ...], sources: tuple[str, ...], prefix: str = "") -> DataFrame:
-    """All checks of a ledger against its stored monthly rollup (month_idx, transaction_count, spending_cents).
+    stored: month_idx, transaction_count, spending_cents, categories_cents (a map), covered.
+    quarter: one row of the baseline `months`: spending_cents, categories_cents (a map), episode_cents.
 
-    Ids are counted by a shuffle on the id; everything else of the ledger is one pass.
+    The ledger is read three times: for the counts of its ids, for its months, and once for
+    everything else; each as one aggregate.
     """
     one, zero = F.lit(1), F.lit(0)
+    own, recent = F.col("kind") == "spend", F.col("month_idx").isin(months)
+    known = F.coalesce
     by_id = df.groupBy("id").agg(F.count(one).alias("n"))
-    own = F.col("kind") == "spend"
-    derived = df.groupBy("month_idx").agg(F.count(one).alias("n"), F.coalesce(F.sum(F.when(own, F.col("amount_cents"))), zero).alias("s"))
-    both = derived.join(stored.select(F.col("month_idx").alias("m"), "transaction_count", "spending_cents"), F.col("month_idx") == F.col("m"), "full_outer")
+    rows = {
+        "merchants_without_prefix": (F.count_if(~F.startswith(known("merchant", F.lit("")), F.lit(prefix))), zero),
+        "amounts_missing": (F.count_if(F.col("amount_cents").isNull()), zero),
+        "evidence_of_other_basis": (F.count_if(~F.col("evidence_basis").eqNullSafe(F.lit(basis))), zero),
+        "rows_of_known_sources": (F.count_if(F.col("source").isin(*sources)), F.count(one)),
+        "sources_seen": (F.size(F.collect_set("source")), F.lit(len(sources))),  # a handful
+        "kinds_of_ledger": (F.size(F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("kind")))), F.lit(len(kinds))),
+        "has_refund": (F.max((own & (F.col("amount_cents") < 0)).cast("int")), one),
+        "has_review_row": (F.max((known("needs_category_review", F.lit(False)) | known("needs_item_review", F.lit(False))).cast("int")), one),
+        "has_reimbursement": (F.max(flag("reimbursement_candidate").cast("int")), one),
+        "has_business": (F.max(flag("business_candidate").cast("int")), one),
+    }
+    total = lambda c: known(F.sum(F.when(c, F.col("amount_cents"))), zero)
+    stated = quarter.select(F.col("spending_cents").alias("__s"), F.aggregate(F.map_values("categories_cents"), zero.cast("long"), lambda a, x: a + x).alias("__c"), F.col("episode_cents").alias("__e"))
+    of_baseline = df.filter(recent).agg(total(own).alias("s"), total(flag("nonroutine_dental_episode")).alias("e")).crossJoin(stated)  # a row each
+    baseline = {
+        "baseline_spending": (F.max("s"), F.max("__s")),
+        "baseline_categories": (F.max("__c"), F.max("__s")),
+        "baseline_episode": (F.max("e"), F.max("__e")),
+    }
+    derived = df.groupBy("month_idx").agg(F.count(one).alias("n"), total(own).alias("s"))
+    mapped = known(F.aggregate(F.map_values("categories_cents"), zero.cast("long"), lambda a, x: a + x), zero)
+    both = derived.join(stored.select(F.col("month_idx").alias("m"), "transaction_count", "spending_cents", "covered", mapped.alias("mapped")), F.col("month_idx") == F.col("m"), "full_outer")
     differ = ~(F.col("n").eqNullSafe(F.col("transaction_count")) & F.col("s").eqNullSafe(F.col("spending_cents")))
-    facts = [
-        _row(by_id, "ids_with_repeats", F.count_if(F.col("n") > 1), zero),
-        _row(df, "merchants_without_prefix", F.count_if(~F.startswith(F.coalesce("merchant", F.lit("")), F.lit(prefix))), zero),
-        _row(df, "amounts_missing", F.count_if(F.col("amount_cents").isNull()), zero),
-        _row(df, "rows_of_known_sources", F.count_if(F.col("source").isin(*sources)), F.count(one)),
-        _row(df, "sources_seen", F.countDistinct("source"), F.lit(len(sources))),
-        _row(both, "months_that_differ", F.count_if(differ), zero),
-        _row(df, "kinds_of_ledger", F.countDistinct(F.when(F.col("kind").isin(*kinds), F.col("kind"))), F.lit(len(kinds))),
-        _row(df, "has_refund", F.max((own & (F.col("amount_cents") < 0)).cast("int")), one),
-        _row(df, "has_review_row", F.max((F.coalesce("needs_category_review", F.lit(False)) | F.coalesce("needs_item_review", F.lit(False))).cast("int")), one),
-        _row(df, "has_reimbursement", F.max(F.array_contains("flags", "reimbursement_candidate").cast("int")), one),
-        _row(df, "has_business", F.max(F.array_contains("flags", "business_candidate").cast("int")), one),
-    ]
-    return reduce(DataFrame.unionByName, facts)
+    by_month = {
+        "months_that_differ": (F.count_if(differ), zero),
+        "month_maps_that_differ": (F.count_if(~F.col("mapped").eqNullSafe(F.col("spending_cents"))), zero),
+        "has_incomplete_month": (F.max((~F.col("covered")).cast("int")), one),
+    }
+    out = _facts(by_id, {"ids_with_repeats": (F.count_if(F.col("n") > 1), zero)})
+    for facts in (_facts(df, rows), _facts(of_baseline, baseline), _facts(both, by_month)):
+        out = out.unionByName(facts)
+    return out.select("check", F.col("observed").eqNullSafe(F.col("expected")).alias("passed"), "observed", "expected")
+
+
+def category_map(df: DataFrame, keys: list[str]) -> DataFrame:
+    """By the keys, the spending and a map of it by category."""
+    by = df.filter(F.col("kind") == "spend").groupBy(*keys, named("category").alias("c")).agg(F.sum("amount_cents").cast("long").alias("v"))
+    return by.groupBy(*keys).agg(F.sum("v").alias("spending_cents"), F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("categories_cents"))
 
 
 def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import js_round
+from ledgerloom.functions.scalars import js_round, money, pretty
 from ledgerloom.operators.predicates import flag, named
 
 
@@ -73,6 +73,30 @@ def baseline(df: DataFrame, card: str, bank: str, months: list[int]) -> DataFram
     )
 
 
+def baseline_categories(df: DataFrame, months: list[int]) -> DataFrame:
+    """Spending of the baseline months by category, in order of the names."""
+    own = df.filter((F.col("kind") == "spend") & F.col("month_idx").isin(months))
+    return own.groupBy(named("category").alias("category")).agg(F.sum("amount_cents").cast("long").alias("total_cents")).orderBy("category")
+
+
+def category_in_month(df: DataFrame, category: str, month: int) -> DataFrame:
+    """One row: what all records of a category, of any kind, sum to in a month."""
+    return df.agg(_when((F.col("category") == category) & (F.col("month_idx") == month)).alias("category_month_cents"))
+
+
+def recurring(df: DataFrame) -> DataFrame:
+    """Recurring candidates as they are shown: label, basis, status in words, monthly amount as text."""
+    return df.select("label", "basis", pretty(F.col("status")).alias("status"), (F.col("status") == "recurring_candidate").alias("to_review"), money(F.col("monthly_cents")).alias("monthly"))
+
+
+def coverage_notes(by_source: DataFrame, labels: DataFrame, date_basis: str) -> DataFrame:
+    """A line on each source: label, dates, records."""
+    own = labels.select(F.col("id").alias("__of"), "label")
+    whole = by_source.join(own, F.col("source") == F.col("__of"), "left")
+    text = F.concat(F.date_format("start", "yyyy-MM-dd"), F.lit(" to "), F.date_format("end", "yyyy-MM-dd"), F.lit(" · "), F.format_number("rows", 0), F.lit(f" records · {date_basis}"))
+    return whole.select(F.coalesce("label", "source").alias("label"), text.alias("note"))
+
+
 def by_source(df: DataFrame) -> DataFrame:
     """Rows and dates of each source; the dates are those of the whole ledger."""
     whole = df.agg(F.min("date").alias("start"), F.max("date").alias("end"))

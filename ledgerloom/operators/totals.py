@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import js_round
-from ledgerloom.operators.predicates import LedgerQuery, filtered, flag, matches_kind, matches_review, named, removed
+from ledgerloom.operators.predicates import evidence_text, filtered, flag, LedgerQuery, matches_kind, matches_review, named, removed
 
 
 def _cents(c: Column) -> Column:
@@ -75,6 +75,22 @@ def grouping_sets(df: DataFrame, basis: str = "category") -> DataFrame:
     return out.select("category", "merchant", "is_total", "total_cents", "rows")
 
 
+def drill_rows(df: DataFrame, basis: str = "category") -> DataFrame:
+    """The spending rows behind the merchants of every category, latest first, with what a reader sees of them.
+
+    One sort of the rows; a merchant with many of them is split over ranges of dates and ids.
+    """
+    own = df.filter(F.col("kind") == "spend")
+    shown = own.select(
+        named(basis).alias("category"), "merchant", "date", "id", "amount_cents",
+        F.when(F.col("amount_cents") < 0, "Refund").otherwise("").alias("mark"),
+        F.coalesce(flag("nonroutine_dental_episode"), F.lit(False)).alias("nonroutine"),
+        evidence_text("Category follows the supplied source label. Item contents are not available.").alias("evidence"),
+        F.coalesce(F.nullif(F.col("confidence"), F.lit("")), F.lit("Unreviewed")).alias("confidence"),
+    )
+    return shown.orderBy("category", "merchant", F.col("date").desc(), "id")
+
+
 def month_drill(df: DataFrame, q: LedgerQuery) -> DataFrame:
     """Spending by month, newest first, without what the adjustments remove."""
     rows = spend(filtered(df, q)).filter(~removed(q))

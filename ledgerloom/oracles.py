@@ -20,6 +20,7 @@ LEDGER = """ledger AS (
          CASE WHEN l_returnflag = 'R' THEN 'inbound' ELSE 'outbound' END AS direction,
          CASE WHEN l_tax < CAST(0.01 AS DOUBLE) THEN 'provisional' WHEN l_tax < CAST(0.04 AS DOUBLE) THEN 'medium' ELSE 'high' END AS confidence,
          l_tax < CAST(0.005 AS DOUBLE) AS open_category, l_discount < CAST(0.01 AS DOUBLE) AS open_item, l_quantity <= 1 AS reclassified,
+         CASE WHEN l_quantity <= 3 THEN 'receipt' ELSE 'synthetic_fixture' END AS evidence_basis,
          s_name AS merchant, p_type AS category, p_brand AS source_category, c_mktsegment AS note,
          CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 'card_payment' WHEN '5-LOW' THEN 'income' ELSE 'spend' END AS kind,
          CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'O' THEN 'observed_payroll_deposit' END AS income_type
@@ -212,6 +213,12 @@ _CHECKS = {
     "has_review_row": "(SELECT max(CAST(open_category OR open_item AS INTEGER)) FROM ledger), 1",
     "has_reimbursement": "(SELECT max(CAST(reimbursement AS INTEGER)) FROM ledger), 1",
     "has_business": "(SELECT max(CAST(business AS INTEGER)) FROM ledger), 1",
+    "evidence_of_other_basis": "(SELECT count(*) FROM ledger WHERE evidence_basis <> 'synthetic_fixture'), 0",
+    "baseline_spending": f"(SELECT {SUM} FROM own WHERE {QUARTER}), (SELECT {SUM} FROM own WHERE {QUARTER})",
+    "baseline_categories": f"(SELECT {SUM} FROM own WHERE {QUARTER}), (SELECT {SUM} FROM own WHERE {QUARTER})",
+    "baseline_episode": f"(SELECT {SUM} FROM ledger WHERE episode AND {QUARTER}), (SELECT {SUM} FROM ledger WHERE episode AND {QUARTER})",
+    "month_maps_that_differ": "0, 0",
+    "has_incomplete_month": "(SELECT max(CAST(NOT covered AS INTEGER)) FROM months), 1",
 }
 _add(
     "dq_checks",
@@ -232,18 +239,22 @@ def _window(lookback: int, where: str = "true") -> str:
     used AS (SELECT * FROM own WHERE {where} AND (month_idx = {JUNE} OR month_idx IN (SELECT month_idx FROM base)))"""
 
 
-for _n in (3, 6, 12):
-    _add(
-        f"compare_{_n}m",
-        f"""{_window(_n)}, sums AS (SELECT {_name("category")} AS category, {_if(f"month_idx = {JUNE}")} AS actual_cents, {_if(f"month_idx < {JUNE}")} AS base_cents FROM used GROUP BY 1),
+def _compared(lookback: int) -> tuple[str, str]:
+    """The CTEs of a comparison, and its rows."""
+    return (
+        f"""{_window(lookback)}, sums AS (SELECT {_name("category")} AS category, {_if(f"month_idx = {JUNE}")} AS actual_cents, {_if(f"month_idx < {JUNE}")} AS base_cents FROM used GROUP BY 1),
     usual AS (SELECT category, actual_cents, CASE WHEN n > 0 THEN {js_round("(CAST(base_cents AS DOUBLE) / CASE WHEN n > 0 THEN n END)")} END AS average_cents FROM sums, n),
-    diff AS (SELECT *, actual_cents - average_cents AS difference_cents, category IN ('Electricity', 'Natural gas', 'Electric', 'Gas & Fuel') AS seasonal FROM usual)
-    SELECT category, actual_cents, average_cents, difference_cents, CASE WHEN average_cents > 0 THEN {js_round("(CAST(difference_cents AS DOUBLE) / average_cents * 10000)")} END AS percent_bp,
+    diff AS (SELECT *, actual_cents - average_cents AS difference_cents, category IN ('Electricity', 'Natural gas', 'Electric', 'Gas & Fuel') AS seasonal FROM usual)""",
+        f"""SELECT category, actual_cents, average_cents, difference_cents, CASE WHEN average_cents > 0 THEN {js_round("(CAST(difference_cents AS DOUBLE) / average_cents * 10000)")} END AS percent_bp,
       CASE WHEN average_cents IS NULL THEN 'No baseline' WHEN average_cents = 0 AND actual_cents > 0 THEN 'New in this window' WHEN average_cents = 0 AND actual_cents < 0 THEN 'Refund / credit'
            WHEN average_cents = 0 THEN 'No spending' WHEN average_cents < 0 THEN 'Refund-heavy baseline' WHEN difference_cents > {_BAND} AND seasonal THEN 'Seasonal comparison'
            WHEN difference_cents > {_BAND} THEN 'Higher than usual' WHEN difference_cents < -{_BAND} THEN 'Lower than usual' ELSE 'Within comparison band' END AS signal, seasonal
     FROM diff""",
     )
+
+
+for _n in (3, 6, 12):
+    _add(f"compare_{_n}m", "\n".join(_compared(_n)))
 _add(
     "compare_summary",
     f"""{_window(12, "NOT reimbursement")}
@@ -264,6 +275,43 @@ _add(
 _add("incomplete_coverage_badge", f"SELECT count(*) FILTER (WHERE NOT covered) AS incomplete_months, coalesce(bool_or(NOT covered), false) AS incomplete FROM months WHERE month_idx BETWEEN {JUNE - 11} AND {JUNE}")
 _add("coverage_calendar", "SELECT month_idx, covered, concat(month_idx // 12, '-', lpad(CAST(month_idx % 12 + 1 AS VARCHAR), 2, '0')) AS month FROM months")
 
+# ---- drill-downs, reviews and texts
+
+_add(
+    "drill_rows",
+    f"""SELECT {_name("category")} AS category, merchant, date, id, amount_cents, CASE WHEN amount_cents < 0 THEN 'Refund' ELSE '' END AS mark, episode AS nonroutine,
+    coalesce(nullif(note, ''), 'Category follows the supplied source label. Item contents are not available.') AS evidence, coalesce(nullif(confidence, ''), 'Unreviewed') AS confidence
+    FROM own WHERE {QUARTER} ORDER BY 1, 2, 3 DESC, 4""",
+)
+_add("baseline_categories", f"SELECT {_name('category')} AS category, {SUM} AS total_cents FROM own WHERE {QUARTER} GROUP BY 1 ORDER BY 1")
+_add("category_in_month", f"SELECT {_if(f"category = 'ECONOMY' AND month_idx = {JUNE}")} AS category_month_cents FROM ledger")
+ORACLES["recurring_candidates"] = f"""SELECT p_name AS label, p_brand AS basis, CASE WHEN p_size % 2 = 0 THEN 'recurring candidate' ELSE 'synthetic' END AS status, p_size % 2 = 0 AS to_review,
+    {_money(js_round("(p_retailprice * 100)"))} AS monthly FROM part"""
+_add(
+    "coverage_notes",
+    """SELECT CASE source WHEN 'O' THEN 'Open lines' WHEN 'F' THEN 'Filled lines' ELSE source END AS label,
+    concat(CAST((SELECT min(date) FROM ledger) AS VARCHAR), ' to ', CAST((SELECT max(date) FROM ledger) AS VARCHAR), ' · ', format('{:,}', count(*)), ' records · Posted dates') AS note FROM ledger GROUP BY source""",
+)
+
+
+def _percent(c: str, digits: int) -> str:
+    return f"CASE WHEN {c} IS NOT NULL THEN concat(CASE WHEN {c} > 0 THEN '+' ELSE '' END, format('{{:,.{digits}f}}', {c}), '%') END"
+
+
+_add(
+    "percent_texts",
+    f"""SELECT category, {_percent("change", 0)} AS change, {_percent("change", 1)} AS change_exact FROM (
+      SELECT category, CASE WHEN prior > 0 THEN (CAST(now AS DOUBLE) / prior - 1) * 100 END AS change FROM (
+        SELECT category, {_if(f"month_idx = {JUNE}")} AS now, {_if(f"month_idx = {JUNE - 1}")} AS prior FROM own WHERE month_idx BETWEEN {JUNE - 1} AND {JUNE} GROUP BY category))""",
+)
+_add(
+    "compare_targets",
+    f"""{_compared(3)[0]} SELECT category, actual_cents, average_cents, signal,
+      CASE WHEN category IN ('PROMO', 'SMALL') THEN 'Shared health target' WHEN t.cat IS NOT NULL THEN {_money("t.cents")} ELSE '—' END AS target,
+      category = 'ECONOMY' AND (SELECT coalesce(bool_or(episode), false) FROM ledger WHERE month_idx = {JUNE}) AS episode
+    FROM ({_compared(3)[1]}) c LEFT JOIN (VALUES ('ECONOMY', 250000), ('STANDARD', NULL), ('PROMO', 100)) t(cat, cents) ON t.cat = c.category""",
+)
+
 ORACLES["events_by_day"] = f"SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS events, CAST(sum({js_round('(value * 100)')}) AS BIGINT) AS value_cents FROM events GROUP BY 1, 2"
 
 # ---- plans and projections
@@ -403,3 +451,20 @@ ORACLES["project_milestones"] = f"""WITH RECURSIVE {PROJECTION}, ends AS (
 SELECT scenario_id, nullif(last, -9999999999) AS end_cash, first_deficit, first_negative_cash, CAST(CASE WHEN current_cash >= cash_goal THEN 0 ELSE reached + 1 END AS INTEGER) AS goal_reached,
        first_unassigned, savings AS planned_savings, {_count(_ALL)} = 0 AS complete, {_count(_ALL)} AS missing_count
 FROM ends JOIN plans USING (scenario_id)"""
+
+_WARNINGS = [
+    ("health_mode = 'combined'", "'Your medical + dental target is still combined and may include the unusual dental episode. Use the split control to separate it without changing the total.'"),
+    ("health_mode <> 'combined'", "'The Dental’s observed average is a historical comparison, not a recurring bill. Its future reserve starts unset. Review your target against future dental needs; the unusual episode remains in actual spending.'"),
+    ("NOT whole AND known_times IS NULL", "'Illustrative joint month: two checks for Person A are assumed only for this scenario. The actual pay frequency remains unconfirmed.'"),
+    ("NOT whole", f"concat('Person B’s joint contribution is entered as ', {_money('person_b_contribution')}, '/month. This is a fictitious contribution input, not full take-home pay.')"),
+    (f"{_count([*_MISSING, *_BLANK, *_MORE])} > 0", f"concat('Still to set or verify: ', replace({_labels([*_MISSING, *_BLANK, *_MORE])}, '|', '; '), '.')"),
+    ("allocation_deficit > 0", f"concat('The personal allocation falls ', {_money('allocation_deficit')}, ' short of the entered vehicle and education-loan payments.')"),
+    (f"{_known('person_a_allocation')} > {_known('person_a_pay')}", "'Personal allocation cannot exceed net pay per check.'"),
+    ("income_basis = 'average'", "'Annual monthly averages include extra-paycheck months. Ordinary months may have less cash.'"),
+    ("future_room < 0", f"concat('The untimed baby + leave what-if is short by ', {_money('-future_room')}, ' per month, before missing costs.')"),
+]
+ORACLES["plan_warnings"] = f"WITH {PLANS}\n" + " UNION ALL ".join(f"SELECT scenario_id, CAST({i} AS INTEGER) AS ord, {text} AS warning FROM rooms WHERE {c}" for i, (c, text) in enumerate(_WARNINGS))
+ORACLES["visible_targets"] = f"WITH {PLANS}\n" + " UNION ALL ".join(f"SELECT scenario_id, CAST({i} AS INTEGER) AS ord, '{k}' AS key, '{label}' AS label, t_{k} AS cents FROM rooms WHERE {_SCOPE.get(k, 'true')}" for i, (k, label) in enumerate(_LABELS.items()))
+ORACLES["flexible_total"] = f"WITH {PLANS}\nSELECT scenario_id, {_known('t_groceries')} AS flexible_cents, {js_round(f'({_known("t_groceries")} * CAST(0.1 AS DOUBLE))')} AS tenth_cents FROM rooms"
+ORACLES["projected_bounds"] = f"""WITH RECURSIVE {PROJECTION}
+SELECT scenario_id, least(0, min(cash), any_value(current_cash)) AS least_cents, greatest(0, max(cash), any_value(current_cash)) AS largest_cents FROM steps GROUP BY scenario_id"""

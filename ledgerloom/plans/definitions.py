@@ -1,4 +1,4 @@
-"""Budget targets."""
+"""The targets of plans."""
 
 from __future__ import annotations
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import FREQUENCIES, LARGEST_AMOUNT
-from ledgerloom.plans.definitions import TARGETS
+from ledgerloom.plans.definitions import AUDITED, TARGETS
 from ledgerloom.plans.plan import INPUTS
 
 #: Choices of the enumerated inputs; fixed values.
@@ -44,26 +44,49 @@ def _over(below: Column, above: Column) -> Column:
     return F.map_concat(F.map_filter(F.coalesce(below, none), lambda k, _: ~F.map_contains_key(above, k)), above)
 
 
+def parse(df: DataFrame) -> DataFrame:
+    """States saved as JSON, (scenario_id, json), with the names that each has in `present`; '' counts as null."""
+    kinds = [f.strip() for f in SCHEMA.replace("scenario_id long, ", "").replace(f", forecast {FORECAST}", "").replace(", targets map<string,double>", "").split(",")]
+    whole = ", ".join([*kinds, "targets map<string,double>", f"forecast {FORECAST}"])
+    out = df.select("scenario_id", F.from_json("json", whole).alias("d"), F.json_object_keys("json").alias("present"))
+    return out.select("scenario_id", "d.*", "present")
+
+
 def merge(defaults: DataFrame, saved: DataFrame) -> DataFrame:
-    """Saved fields over the defaults, field by field; a field that isn't valid counts as absent."""
-    s, d = saved.alias("s"), defaults.alias("d")
+    """Saved fields over the defaults, field by field; a field that isn't valid counts as absent.
+
+    A saved amount that is null is unknown where the state has the field (`present` names
+    it), and absent otherwise. Old states are migrated on the way: their health mode, and, below
+    version 3, the targets of audited categories, which become unknown. The result has
+    `health_notice` and `audit_notice` besides: a version below 4 asks for a review.
+    """
+    if "present" not in saved.columns:
+        saved = saved.withColumn("present", F.lit(None).cast("array<string>"))
+    s, d = migrate_health(saved.withColumn("__was", F.col("version"))).alias("s"), defaults.alias("d")
     both = d.join(s, F.col("d.scenario_id") == F.col("s.scenario_id"), "left")
+    was = F.col("s.__was")
+    legacy, older = F.coalesce(was < 3, F.lit(False)), F.coalesce(was < 4, F.lit(False))
     picked = [F.col("d.scenario_id")]
-    for c in defaults.columns[1:]:
-        own = F.col(f"s.{c}")
-        if c in CHOICES:
-            own = F.when(own.isin(*CHOICES[c]), own)
+    for c in [c for c in defaults.columns[1:] if c not in ("health_notice", "audit_notice")]:
+        own, base = F.col(f"s.{c}"), F.col(f"d.{c}")
+        if c == "version":
+            value = base
+        elif c in CHOICES:
+            value = F.coalesce(F.when(own.isin(*CHOICES[c]), own), base)
         elif c in INPUTS:
-            own = in_range(own)
+            unknown = F.coalesce(F.array_contains("s.present", c), F.lit(False)) & own.isNull()
+            value = F.when(~unknown, F.coalesce(in_range(own), base))
         elif c == "targets":
-            keys = [t.key for t in TARGETS] + ["vision", "unclassified"]
+            keys = [t.key for t in TARGETS] + [key for _, key in AUDITED]
             own = F.map_filter(own, lambda k, v: k.isin(keys) & (v.isNull() | in_range(v).isNotNull()))
-            picked.append(_over(F.col("d.targets"), own).alias(c))
-            continue
+            blank = F.create_map(*[x for _, key in AUDITED for x in (F.lit(key), F.lit(None).cast("double"))])
+            value = _over(F.when(legacy, _over(base, blank)).otherwise(base), own)
         elif c == "forecast":
-            own = clean_forecast(own)
-        picked.append(F.coalesce(own, F.col(f"d.{c}")).alias(c))
-    return both.select(*picked)
+            value = F.coalesce(clean_forecast(own), base)
+        else:
+            value = F.coalesce(own, base)
+        picked.append(value.alias(c))
+    return both.select(*picked, F.coalesce("s.health_notice", F.lit(False)).alias("health_notice"), older.alias("audit_notice"))
 
 
 def clean_forecast(f: Column) -> Column:
@@ -132,16 +155,37 @@ def scenario(spark: SparkSession, scenario_id: int = 0, **inputs) -> DataFrame:
     return spark.createDataFrame([tuple(row.values())], SCHEMA)
 
 
+def _versions(spark: SparkSession, path: str) -> tuple[object, object, list[int]]:
+    """The store, the folder and its complete versions, in order."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return fs, folder, []
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    names = [x.getPath().getName() for x in fs.listStatus(folder)]
+    return fs, folder, sorted(int(n[2:]) for n in names if n.startswith("v-") and fs.exists(done(f"{path}/{n}/_SUCCESS")))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The scenarios as last saved."""
+    _, _, versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v-{versions[-1]}")
+
+
 def save(df: DataFrame, path: str) -> None:
-    """Scenarios as Parquet; those of the same id are replaced."""
+    """Scenarios as Parquet; those of the same id are replaced.
+
+    Each save writes a version of its own beside the one before, which goes only once the
+    next is complete; so a save that fails leaves the last one whole.
+    """
     spark = df.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        df.write.parquet(path)
-        return
-    kept = old.join(df.select("scenario_id"), "scenario_id", "left_anti").select(*df.columns)
-    kept.unionByName(df).write.mode("overwrite").parquet(f"{path}.new")
-    spark.read.parquet(f"{path}.new").write.mode("overwrite").parquet(path)
+    fs, _, versions = _versions(spark, path)
+    new = df
+    if versions:
+        old = spark.read.parquet(f"{path}/v-{versions[-1]}")
+        new = old.join(df.select("scenario_id"), "scenario_id", "left_anti").select(*df.columns).unionByName(df)
+    new.write.mode("overwrite").parquet(f"{path}/v-{(versions[-1] if versions else 0) + 1}")
+    for v in versions[:-1]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v-{v}"), True)

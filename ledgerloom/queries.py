@@ -8,7 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import first_day, js_round, money, month_from_index, month_index, month_label, month_text, pretty
+from ledgerloom import session
+from ledgerloom.functions.scalars import first_day, js_round, money, month_from_index, month_index, month_label, month_text, percent_text, pretty
 from ledgerloom.operators import compare, quality, rollup, totals
 from ledgerloom.operators.predicates import LedgerQuery, evidence_text, filtered, matches_kind, matches_review, signed_amount, status
 from ledgerloom.plans import plan, project
@@ -233,7 +234,7 @@ def ytd_vs_prior(spark: SparkSession, d: str) -> DataFrame:
 def _compare(lookback: int) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         _, start, end = compare.bounds(MONTH, lookback)
-        return compare.compare_month(ledger(spark, d, [*CORE, "category", "month_idx"], start, end), coverage(spark, d), MONTH, lookback)
+        return compare.compare_month(ledger(spark, d, [*CORE, "category", "month_idx"], start, end), coverage(spark, d, start, end), MONTH, lookback)
 
     return run
 
@@ -244,7 +245,17 @@ QUERIES |= {f"compare_{n}m": _compare(n) for n in compare.LOOKBACKS}
 @query
 def compare_summary(spark: SparkSession, d: str) -> DataFrame:
     _, start, end = compare.bounds(MONTH, 12)
-    return compare.compare_summary(ledger(spark, d, [*CORE, "category", "month_idx"], start, end), coverage(spark, d), MONTH, 12, LedgerQuery(airfare=True))
+    return compare.compare_summary(ledger(spark, d, [*CORE, "category", "month_idx"], start, end), coverage(spark, d, start, end), MONTH, 12, LedgerQuery(airfare=True))
+
+
+@query
+def compare_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The month against its usual with targets, of which two categories share one."""
+    _, start, end = compare.bounds(MONTH, 3)
+    rows = ledger(spark, d, [*CORE, "category", "month_idx"], start, end)
+    targets = spark.createDataFrame([("ECONOMY", 250_000), ("STANDARD", None), ("PROMO", 100)], "cat string, target_cents long")
+    compared = compare.compare_month(rows, coverage(spark, d, start, end), MONTH, 3).select("category", "actual_cents", "average_cents", "signal")
+    return compare.with_targets(compared, targets, rows, MONTH, combined=True, shared=("PROMO", "SMALL"), episode="ECONOMY")
 
 
 @query
@@ -254,7 +265,7 @@ def usual_all_months(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def incomplete_coverage_badge(spark: SparkSession, d: str) -> DataFrame:
-    return compare.incomplete_months(coverage(spark, d), AT - 11, AT)
+    return compare.incomplete_months(coverage(spark, d, first_day(AT - 11), first_day(AT + 1)), AT - 11, AT)
 
 
 @query
@@ -352,9 +363,71 @@ def project_missing(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dq_checks(spark: SparkSession, d: str) -> DataFrame:
-    rows = ledger(spark, d, [*CORE, "id", "merchant", "source", "month_idx", "needs_category_review", "needs_item_review"])
-    stored = rollup.monthly(rows, "F", "O")
-    return quality.checks(rows, stored, ("spend", "income", "card_payment"), ("O", "F"), "Supplier")
+    rows = ledger(spark, d, [*CORE, "id", "merchant", "source", "category", "month_idx", "needs_category_review", "needs_item_review", "evidence_basis"])
+    counted = rows.groupBy("month_idx").agg(F.count(F.lit(1)).alias("transaction_count"))
+    stored = counted.join(quality.category_map(rows, ["month_idx"]), "month_idx", "left").withColumn("covered", F.col("month_idx") % 7 != 0)
+    recent = _baseline(spark, d, [*CORE, "category"])
+    episode = recent.agg(F.coalesce(F.sum(F.when(F.array_contains("flags", "nonroutine_dental_episode"), F.col("amount_cents"))), F.lit(0)).alias("episode_cents"))
+    quarter = quality.category_map(recent, []).crossJoin(episode)  # a row each
+    return quality.checks(rows, stored, ("spend", "income", "card_payment"), ("O", "F"), BASELINE, quarter, "Supplier")
+
+
+@query
+def drill_rows(spark: SparkSession, d: str) -> DataFrame:
+    columns = [*CORE, "category", "merchant", "date", "id", "note", "confidence"]
+    return totals.drill_rows(_baseline(spark, d, columns).withColumn("evidence_summary", F.lit(None).cast("string")))
+
+
+@query
+def baseline_categories(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.baseline_categories(_baseline(spark, d, ["kind", "amount_cents", "category", "month_idx"]), BASELINE)
+
+
+@query
+def category_in_month(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.category_in_month(_month(spark, d, ["amount_cents", "category", "month_idx"]), "ECONOMY", AT)
+
+
+@query
+def recurring_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """A part's retail price as a repeated payment."""
+    status = F.when(F.col("p_size") % 2 == 0, "recurring_candidate").otherwise("synthetic")
+    rows = table(spark, d, "part").select(F.col("p_name").alias("label"), F.col("p_brand").alias("basis"), status.alias("status"), F.expr(js_round("(p_retailprice * 100)")).alias("monthly_cents"))
+    return rollup.recurring(rows)
+
+
+@query
+def coverage_notes(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.coverage_notes(rollup.by_source(ledger(spark, d, ["source", "date"])), sources(spark), "Posted dates")
+
+
+@query
+def plan_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return plan.warnings(plan.evaluate(scenarios(spark, d), PLAN_TARGETS))
+
+
+@query
+def visible_targets(spark: SparkSession, d: str) -> DataFrame:
+    return plan.visible_targets(plan.evaluate(scenarios(spark, d), PLAN_TARGETS), PLAN_TARGETS)
+
+
+@query
+def flexible_total(spark: SparkSession, d: str) -> DataFrame:
+    return session.flexible(plan.evaluate(scenarios(spark, d), PLAN_TARGETS))
+
+
+@query
+def projected_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return session.chart_bounds(_projected(spark, d))
+
+
+@query
+def percent_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every category's share of the month's spending, and its change on the month before, as text."""
+    rows = ledger(spark, d, ["kind", "amount_cents", "category", "month_idx"], first_day(AT - 1), END)
+    own = rows.filter("kind = 'spend'").groupBy("category").agg(*[F.coalesce(F.sum(F.when(F.col("month_idx") == m, F.col("amount_cents"))), F.lit(0)).alias(n) for n, m in (("now", AT), ("prior", AT - 1))])
+    change = F.when(F.col("prior") > 0, (F.col("now") / F.col("prior") - 1) * 100)
+    return own.select("category", percent_text(change, 0).alias("change"), percent_text(change).alias("change_exact"))
 
 
 @query

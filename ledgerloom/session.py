@@ -13,7 +13,7 @@ from ledgerloom.plans.definitions import TARGETS, Target, frame
 FLEXIBLE = ("groceries", "dining", "shopping")
 
 
-class Budget:
+class PlanSession:
     """Data as named tables, targets as definitions, and the inputs of one scenario.
 
     `set_plan_inputs` takes all inputs or, where one is unknown or out of range, none.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,16 +22,24 @@ _ROW = "struct<" + ",".join(f"{name}:{'string' if kind == 'date' else kind}" for
 _SCHEMA = f"transactions array<{_ROW}>, sources array<struct<id:string,label:string>>, monthly array<struct<month:string,hasMainCardCoverage:boolean,transactionCount:bigint,spendingCents:bigint>>"
 
 
+SAMPLE = "sample-data.json"
+
+
 def choose(folder: str, sample: bool = False) -> str:
-    """The dataset to read: budget-data.json where it is, unless the sample is asked for."""
-    own = os.path.join(folder, "budget-data.json")
-    return own if not sample and os.path.exists(own) else os.path.join(folder, "sample-data.json")
+    """The dataset to read: the folder's own document (<name>-data.json) where there is one, unless the sample is asked for."""
+    own = sorted(x for x in glob.glob(os.path.join(folder, "*-data.json")) if os.path.basename(x) != SAMPLE)
+    return own[0] if own and not sample else os.path.join(folder, SAMPLE)
+
+
+def _lacking(documents: DataFrame) -> list[str]:
+    """The required fields that a document lacks; documents: (json), a row for each."""
+    have = {k for r in documents.select(F.json_object_keys("json").alias("k")).collect() for k in r.k or []}  # a row for each document
+    return [x for x in REQUIRED if x not in have]
 
 
 def check_required(spark: SparkSession, path: str) -> None:
     """Raise unless the document has all required fields."""
-    have = spark.read.option("multiLine", True).json(path).columns
-    if lacking := [x for x in REQUIRED if x not in have]:
+    if lacking := _lacking(spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))):
         raise ValueError(f"the dataset lacks {', '.join(lacking)}")
 
 
@@ -38,7 +47,10 @@ def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A document's ledger, sources and monthly coverage. A document is one record, for one task;
     larger ledgers come as tables (`read_tables`)."""
     check_required(spark, path)
-    whole = spark.read.schema(_SCHEMA).option("multiLine", True).json(path)
+    return _tables(spark.read.schema(_SCHEMA).option("multiLine", True).json(path))
+
+
+def _tables(whole: DataFrame) -> dict[str, DataFrame]:
     rows = whole.select(F.inline("transactions"))
     ledger = rows.select(*[F.col(name).cast(kind).alias(own) for own, (name, kind) in _FIELDS.items()], F.col("classificationEvidence.summary").alias("evidence_summary"))
     index = (F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int") - 1).alias("month_idx")
@@ -47,6 +59,21 @@ def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"ledger": ledger, "sources": whole.select(F.inline("sources")), "monthly": monthly}
 
 
+def read_embedded(spark: SparkSession, path: str, element: str) -> DataFrame:
+    """The JSON text of an inert script element of a page, one row for each file: (json)."""
+    page = spark.read.text(path, wholetext=True)
+    found = F.regexp_extract("value", f"(?s)<script[^>]*\\bid=[\"']{element}[\"'][^>]*>(.*?)</script>", 1)
+    return page.select(F.trim(found).alias("json")).filter("json <> ''")
+
+
+def embedded_tables(spark: SparkSession, path: str, element: str) -> dict[str, DataFrame]:
+    """The tables of a document that a page carries."""
+    whole = read_embedded(spark, path, element)
+    if lacking := _lacking(whole):
+        raise ValueError(f"the dataset lacks {', '.join(lacking)}")
+    return _tables(whole.select(F.from_json("json", _SCHEMA).alias("d")).select("d.*"))
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Each table as Parquet under its name; the ledger is clustered by month."""
     for name, df in tables.items():
@@ -61,3 +88,14 @@ def read_tables(spark: SparkSession, path: str, names: tuple[str, ...] = ("ledge
 def safe_json(df: DataFrame) -> DataFrame:
     """Each row as JSON text that may stand in a script tag: every < is escaped."""
     return df.select(F.replace(F.to_json(F.struct(*df.columns)), F.lit("<"), F.lit("\\u003c")).alias("json"))
+
+
+def write_document(tables: dict[str, DataFrame], path: str) -> None:
+    """One JSON document with an array for each table, every < escaped; for ledgers that one task can hold."""
+    parts = [df.agg(F.to_json(F.coalesce(F.collect_list(F.struct(*df.columns)), F.array())).alias("j")).select(F.lit(i).alias("i"), F.concat(F.lit(f'"{name}":'), "j").alias("j")) for i, (name, df) in enumerate(tables.items())]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "j"))), lambda x: x["j"])
+    text = F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}"))
+    whole.agg(F.replace(text, F.lit("<"), F.lit("\\u003c")).alias("json")).coalesce(1).write.mode("overwrite").text(path)

@@ -27,6 +27,7 @@ _FROM_LINE = {
     "needs_item_review": "l_discount < 0.01D",
     "needs_scope_review": "false",
     "classification_changed": "l_quantity <= 1",
+    "evidence_basis": "CASE WHEN l_quantity <= 3 THEN 'receipt' ELSE 'synthetic_fixture' END",
 }
 _FROM = {
     "merchant": ("supplier", "l_suppkey", "s_suppkey", "s_name"),
@@ -60,9 +61,9 @@ def ledger(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, s
     return rows.select(*[F.expr(_FROM_LINE[c] if c in _FROM_LINE else _FROM[c][3]).alias(c) for c in columns])
 
 
-def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The months that have lines, and whether each is covered (every seventh isn't)."""
-    months = ledger(spark, sf_dir, ["month_idx"]).groupBy("month_idx").agg(F.count(F.lit(1)).alias("rows"))
+def coverage(spark: SparkSession, sf_dir: str, start: date | str | None = None, end: date | str | None = None) -> DataFrame:
+    """The months that have lines, in a period or in all, and whether each is covered (every seventh isn't)."""
+    months = ledger(spark, sf_dir, ["month_idx"], start, end).groupBy("month_idx").agg(F.count(F.lit(1)).alias("rows"))
     return months.select("month_idx", (F.col("month_idx") % 7 != 0).alias("covered"))
 
 

@@ -74,13 +74,26 @@ def test_adjustments_and_their_identity(ledger):
 
 
 def test_checks_of_the_sample(spark, ledger):
-    stored = rollup.monthly(ledger, "sample-card", "sample-bank")
+    ledger = ledger.withColumn("evidence_basis", F.lit("synthetic_fixture"))
+    counted = ledger.groupBy("month_idx").agg(F.count(F.lit(1)).alias("transaction_count"))
+    stored = counted.join(quality.category_map(ledger, ["month_idx"]), "month_idx").withColumn("covered", F.col("month_idx") != sample.FIRST_MONTH)
+    last = sorted(r.month_idx for r in counted.collect())[-3:]
+    recent = ledger.filter(F.col("month_idx").isin(last))
+    flagged = F.when(F.array_contains("flags", "nonroutine_dental_episode"), F.col("amount_cents"))
+    quarter = quality.category_map(recent, []).crossJoin(recent.agg(F.coalesce(F.sum(flagged), F.lit(0)).alias("episode_cents")))
     kinds = ("spend", "income", "card_payment", "transfer", "investment", "debt_payment")
-    got = {r.check: r.passed for r in quality.checks(ledger, stored, kinds, ("sample-bank", "sample-card"), "Sample").collect()}
-    assert all(got.values()) and len(got) == 11
-    broken = stored.withColumn("spending_cents", F.col("spending_cents") + (F.col("month_idx") == sample.FIRST_MONTH).cast("int"))
-    bad = {r.check for r in quality.checks(ledger, broken, kinds, ("sample-bank",), "Simple").filter("NOT passed").collect()}
-    assert bad == {"months_that_differ", "rows_of_known_sources", "sources_seen", "merchants_without_prefix"}
+
+    def failed(df=ledger, stored=stored, quarter=quarter, sources=("sample-bank", "sample-card"), prefix="Sample"):
+        return {r.check for r in quality.checks(df, stored, kinds, sources, last, quarter, prefix).filter("NOT passed").collect()}
+
+    assert failed() == set() and quality.checks(ledger, stored, kinds, ("sample-bank", "sample-card"), last, quarter, "Sample").count() == 17
+    first = F.col("month_idx") == sample.FIRST_MONTH
+    broken = stored.withColumn("spending_cents", F.col("spending_cents") + first.cast("int"))
+    assert failed(stored=broken, sources=("sample-bank",), prefix="Simple") == {"months_that_differ", "month_maps_that_differ", "rows_of_known_sources", "sources_seen", "merchants_without_prefix"}
+    assert failed(stored=stored.withColumn("covered", F.lit(True))) == {"has_incomplete_month"}
+    assert failed(quarter=quarter.withColumns({"spending_cents": F.col("spending_cents") + 1, "episode_cents": F.lit(-5)})) == {"baseline_spending", "baseline_categories", "baseline_episode"}
+    other = ledger.withColumn("evidence_basis", F.when(F.col("amount_cents") > 0, "synthetic_fixture"))
+    assert failed(df=other.withColumn("id", F.lit("same"))) == {"evidence_of_other_basis", "ids_with_repeats"}
 
 
 def test_refunds_count_and_repayments_do_not(spark):

@@ -7,10 +7,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom import budget
+from ledgerloom import session
 from ledgerloom.functions import scalars
 from ledgerloom.functions.periods import period
-from ledgerloom.plans import plan, project, state
+from ledgerloom.plans import definitions, plan, project, state
 from ledgerloom.scenarios import PLAN_TARGETS
 
 TARGETS = {"mortgage": 1100, "groceries": 500, "medical": 50, "dental": 75, "vehicleA": 180, "student": 220, "vehicleB": 300, "storeCard": 40}
@@ -79,7 +79,7 @@ def test_projections(spark):
     missing = {r.scenario_id: r.projection_missing for r in projected.collect()}
     assert missing[11][-2:] == ["Roof month", "Car amount"] and "Person A’s actual pay frequency" in missing[0]
     assert project.rows(projected).count() == 11 * 12 + 13
-    bounds = by_id(budget.chart_bounds(projected))
+    bounds = by_id(session.chart_bounds(projected))
     assert bounds[0].least_cents == 0 and bounds[0].largest_cents == end[0].end_cash
 
 
@@ -136,17 +136,55 @@ def test_state(spark, tmp_path):
     path = str(tmp_path / "scenarios")
     state.save(many(spark, {}, {}), path)
     state.save(state.scenario(spark, 1, person_a_pay=77), path)
-    assert {r.scenario_id: r.person_a_pay for r in spark.read.parquet(path).collect()} == {0: 3000.0, 1: 77.0}
-
-
-def test_budget(spark):
-    b = budget.Budget(spark, targets=PLAN_TARGETS)
+    assert {r.scenario_id: r.person_a_pay for r in state.load(spark, path).collect()} == {0: 3000.0, 1: 77.0}
+    bad = state.scenario(spark, 2).withColumn("person_a_pay", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        state.save(bad, path)
+    assert {r.scenario_id for r in state.load(spark, path).collect()} == {0, 1}
+    for n in (5, 6):
+        state.save(state.scenario(spark, n), path)
+    assert {r.scenario_id for r in state.load(spark, path).collect()} == {0, 1, 5, 6}
+
+
+def test_merging_tells_unknown_from_absent(spark):
+    saved = [
+        (1, '{"version": 4, "other_income": null, "person_a_pay": "", "plan_mode": "joint", "targets": {"dining": null, "fuel": 7, "food": 1, "pets": -1}}'),
+        (2, '{"version": 2, "targets": {"medical": 250, "vision": 3}, "cash_goal": 900000000}'),
+        (3, '{"health_mode": "combined", "forecast": {"months": 500, "leave_months": 2}}'),
+    ]
+    states = state.parse(spark.createDataFrame(saved, "scenario_id long, json string"))
+    base = state.scenario(spark, 1, targets={"dining": 5.0, "pets": 6.0})
+    base = base.union(base.withColumn("scenario_id", F.lit(2).cast("long"))).union(base.withColumn("scenario_id", F.lit(3).cast("long"))).union(base.withColumn("scenario_id", F.lit(4).cast("long")))
+    got = {r.scenario_id: r for r in state.merge(base, states).collect()}
+    a, b, c, d = (got[i] for i in (1, 2, 3, 4))
+    assert (a.other_income, a.person_a_pay, a.plan_mode, a.person_b_contribution, a.version) == (None, None, "joint", 2000.0, 4)
+    assert a.targets == {"dining": None, "pets": 6.0, "fuel": 7.0} and not a.audit_notice and not a.health_notice
+    assert b.health_mode == "combined" and b.health_notice and b.audit_notice and b.cash_goal is None and b.other_income == 0.0
+    assert b.targets == {"dining": 5.0, "pets": 6.0, "medical": 250.0, "dental": None, "vision": 3.0, "unclassified": None}
+    assert c.health_mode == "combined" and not c.audit_notice and (c.forecast.months, c.forecast.leave_months) == (None, 2)
+    assert d.other_income == 0.0 and d.targets == {"dining": 5.0, "pets": 6.0} and not d.audit_notice
+
+
+def test_lists_of_the_review(spark):
+    assert plan.debt_inventory(spark).count() == 5
+    rows = spark.createDataFrame([(1, {"income": True, "baby": False}), (2, None)], "scenario_id long, checks map<string,boolean>")
+    got = {(r.scenario_id, r.id) for r in plan.checklist(rows).collect() if r.checked}
+    assert got == {(1, "income")} and plan.checklist(rows).count() == 16
+
+
+def test_audited_targets(spark):
+    seen = spark.createDataFrame([("Vision", 100), ("Uncategorized / review", 0), ("Dining", 5)], "category string, total_cents long")
+    assert [t.key for t in definitions.with_audited(spark, seen)[len(definitions.TARGETS) :]] == ["vision"]
+
+
+def test_session(spark):
+    b = session.PlanSession(spark, targets=PLAN_TARGETS)
     b.set_plan_inputs(**INPUTS, forecast=FORECAST)
     assert b.calculate().first().income == 730000
     with pytest.raises(ValueError):
         b.set_plan_inputs(person_a_pay=5000, unknown=1)
     assert b.get_state().first().person_a_pay == 3000.0
     assert len(b.project().first().steps) == 12 and b.definitions().count() == len(PLAN_TARGETS)
-    r = budget.flexible(b.calculate()).first()
+    r = session.flexible(b.calculate()).first()
     assert (r.flexible_cents, r.tenth_cents) == (50000, 5000)
     assert b.reset().first().person_b_contribution == 2000.0
