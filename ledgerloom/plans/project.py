@@ -1,8 +1,9 @@
 """Month-by-month cash of every scenario at once.
 
-Everything but the cash balance depends on the month's number alone and is computed in a
-transform over the months. The balance is a recurrence with rounding, so it is folded over
-that array inside the row (`aggregate`): scenarios stay independent, nothing is shuffled.
+Everything but the cash balance depends on the month's number alone. The balance is a
+recurrence with rounding: it is folded inside the row over an array of the months' net
+amounts, so scenarios stay independent and nothing is shuffled. The months' other fields are
+plain columns of the exploded rows, which are compiled.
 """
 
 from __future__ import annotations
@@ -57,34 +58,39 @@ def _missing(df: DataFrame) -> DataFrame:
     return df.withColumn("projection_missing", F.array_distinct(F.concat("incomplete", own, once)))
 
 
+_IDX = "(start_idx + i)"
+_REDUCTION = f"CASE WHEN {_IDX} >= leave_idx AND {_IDX} < leave_idx + leave_months THEN reduction ELSE 0L END"
+_DEBT = f"aggregate(filter(ends, e -> {_IDX} > e.i), 0L, (a, e) -> a + e.c)"
+_BABY = f"((CASE WHEN {_IDX} >= baby_idx THEN coalesce(baby_costs_cents, 0L) ELSE 0L END) + (CASE WHEN {_IDX} >= childcare_idx THEN coalesce(childcare_cents, 0L) ELSE 0L END))"
+
+
+def _grown(amount: str, rate: str) -> str:
+    return js_round(f"({amount} * power(1D + {rate}_rate, i / 12D))")
+
+
+#: The fields of month i of a scenario, as SQL.
+_FLOWS = {
+    "income": f"{_grown('income', 'income_growth')} - {_REDUCTION}",
+    "expense": f"{_grown('(expense - fixed)', 'expense_growth')} + fixed - {_DEBT}",
+    "baby": _grown(_BABY, "expense_growth"),
+    "oneoff": f"aggregate(filter(once, o -> o.i = {_IDX}), 0L, (a, o) -> a + coalesce(o.c, 0L))",
+    "debt_reduction": _DEBT,
+    "leave_reduction": _REDUCTION,
+}
+
+
+def _interest(opening: str) -> str:
+    return f"(CASE WHEN {opening} IS NOT NULL THEN {js_round(f'(greatest(0L, {opening}) * month_yield)')} END)"
+
+
 def project(scenarios: DataFrame, targets: tuple[Target, ...] = TARGETS) -> DataFrame:
-    """The scenarios with `steps` (an array with a struct for each month) and `projection_missing`."""
-    df = _missing(_prepared(scenarios, targets))
-    growth = lambda r: f"power(1D + {r}_rate, i / 12D)"
-    idx = "(start_idx + i)"
-    reduction = f"CASE WHEN {idx} >= leave_idx AND {idx} < leave_idx + leave_months THEN reduction ELSE 0L END"
-    debt = f"aggregate(filter(ends, e -> {idx} > e.i), 0L, (a, e) -> a + e.c)"
-    baby_cents = f"((CASE WHEN {idx} >= baby_idx THEN coalesce(baby_costs_cents, 0L) ELSE 0L END) + (CASE WHEN {idx} >= childcare_idx THEN coalesce(childcare_cents, 0L) ELSE 0L END))"
-    month = (
-        f"transform(sequence(0, months - 1), i -> named_struct('i', i, 'month', {month_text(idx)}, "
-        f"'income', {js_round('(income * ' + growth('income_growth') + ')')} - {reduction}, "
-        f"'expense', {js_round('((expense - fixed) * ' + growth('expense_growth') + ')')} + fixed - {debt}, "
-        f"'baby', {js_round('(' + baby_cents + ' * ' + growth('expense_growth') + ')')}, "
-        f"'oneoff', aggregate(filter(once, o -> o.i = {idx}), 0L, (a, o) -> a + coalesce(o.c, 0L)), "
-        f"'debt_reduction', {debt}, 'leave_reduction', {reduction}))"
-    )
-    df = df.withColumn("flows", F.expr(month))
-    growth_of_cash = js_round("(greatest(0L, a.cash) * (power(1D + cash_yield_rate, 1D / 12D) - 1D))")
-    interest = f"(CASE WHEN a.cash IS NOT NULL THEN {growth_of_cash} END)"
-    net = "(x.income - x.expense - x.baby - x.oneoff)"
-    step = "struct<i:int,month:string,income:bigint,expense:bigint,baby:bigint,oneoff:bigint,net:bigint,planned_savings:bigint,unassigned:bigint,interest:bigint,cash:bigint,debt_reduction:bigint,leave_reduction:bigint>"
-    made = (
-        "named_struct('i', x.i, 'month', x.month, 'income', x.income, 'expense', x.expense, 'baby', x.baby, 'oneoff', x.oneoff, 'net', "
-        f"{net}, 'planned_savings', savings, "
-        f"'unassigned', {net} - savings, 'interest', {interest}, 'cash', a.cash + {net} + {interest}, 'debt_reduction', x.debt_reduction, 'leave_reduction', x.leave_reduction)"
-    )
-    fold = f"aggregate(flows, named_struct('cash', current_cash_cents, 'rows', CAST(array() AS array<{step}>)), (a, x) -> named_struct('cash', a.cash + {net} + {interest}, 'rows', concat(a.rows, array({made}))), a -> a.rows)"
-    return df.withColumn("steps", F.expr(fold)).drop("flows", "ends", "once", "fixed")
+    """The scenarios with `nets` and `cashes` (arrays with an entry for each month) and `projection_missing`."""
+    df = _missing(_prepared(scenarios, targets)).withColumn("month_yield", F.expr("power(1D + cash_yield_rate, 1D / 12D) - 1D"))
+    net = " - ".join(f"({_FLOWS[f]})" for f in ("income", "expense", "baby", "oneoff"))
+    df = df.withColumn("nets", F.expr(f"transform(sequence(0, months - 1), i -> {net})"))
+    step = f"a.cash + x + {_interest('a.cash')}"
+    fold = f"aggregate(nets, named_struct('cash', current_cash_cents, 'all', CAST(array() AS array<bigint>)), (a, x) -> transform(array({step}), c -> named_struct('cash', c, 'all', concat(a.all, array(c))))[0], a -> a.all)"
+    return df.withColumn("cashes", F.expr(fold))
 
 
 def rows(projected: DataFrame) -> DataFrame:
@@ -93,19 +99,32 @@ def rows(projected: DataFrame) -> DataFrame:
     There is a step at least, so the outer explode adds no row; the plain one would push
     a filter on the array's size, and with it the whole fold, down to the scan.
     """
-    return projected.select("scenario_id", F.explode_outer("steps").alias("step")).select("scenario_id", "step.*")
+    kept = ["scenario_id", "start_idx", "savings", "current_cash_cents", "cashes", "month_yield", *_READ]
+    each = projected.select(*kept, F.posexplode_outer("nets").alias("i", "net"))
+    each = each.withColumn("opening", F.expr("CASE WHEN i = 0 THEN current_cash_cents ELSE try_element_at(cashes, i) END"))
+    flows = {name: F.expr(sql).alias(name) for name, sql in _FLOWS.items()}
+    return each.select(
+        "scenario_id", "i", F.expr(month_text(_IDX)).alias("month"), flows["income"], flows["expense"], flows["baby"], flows["oneoff"], "net", F.col("savings").alias("planned_savings"),
+        F.expr("net - savings").alias("unassigned"), F.expr(_interest("opening")).alias("interest"), F.expr("try_element_at(cashes, i + 1)").alias("cash"), flows["debt_reduction"], flows["leave_reduction"],
+    )
+
+
+#: What the months' fields are made of.
+_READ = ["income", "expense", "fixed", "reduction", "leave_idx", "leave_months", "ends", "once", "baby_idx", "childcare_idx", "baby_costs_cents", "childcare_cents", "income_growth_rate", "expense_growth_rate"]
 
 
 def milestones(projected: DataFrame) -> DataFrame:
     """One row a scenario: end cash, first deficit, first negative cash, months to the goal, completeness."""
-    reached = "CASE WHEN current_cash_cents >= cash_goal_cents THEN 0 ELSE try_element_at(filter(steps, s -> s.cash >= cash_goal_cents), 1).i + 1 END"
+    first = lambda of, test: f"nullif(array_position(transform({of}, x -> coalesce({test}, false)), true), 0L)"
+    month = lambda of: F.expr(month_text(f"(start_idx + CAST({first(of, 'x < 0')} AS INT) - 1)"))
+    reached = f"CASE WHEN current_cash_cents >= cash_goal_cents THEN 0 ELSE CAST({first('cashes', 'x >= cash_goal_cents')} AS INT) END"
     return projected.select(
         "scenario_id",
-        F.expr("element_at(steps, -1).cash").alias("end_cash"),
-        F.expr("try_element_at(filter(steps, s -> s.net < 0), 1).month").alias("first_deficit"),
-        F.expr("try_element_at(filter(steps, s -> s.cash < 0), 1).month").alias("first_negative_cash"),
+        F.expr("element_at(cashes, -1)").alias("end_cash"),
+        month("nets").alias("first_deficit"),
+        month("cashes").alias("first_negative_cash"),
         F.expr(reached).alias("goal_reached"),
-        F.expr("element_at(steps, 1).unassigned").alias("first_unassigned"),
+        F.expr("nets[0] - savings").alias("first_unassigned"),
         F.col("savings").alias("planned_savings"),
         (F.size("projection_missing") == 0).alias("complete"),
         F.size("projection_missing").alias("missing_count"),

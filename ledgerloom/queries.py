@@ -345,7 +345,7 @@ def project_no_yield_window(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     plain = _projected(spark, d).filter("forecast.cash_yield = 0")
-    rows = plain.select("scenario_id", "current_cash_cents", F.explode_outer("steps").alias("step")).select("scenario_id", "current_cash_cents", "step.i", "step.month", "step.net")
+    rows = plain.select("scenario_id", "current_cash_cents", "start_idx", F.posexplode_outer("nets").alias("i", "net")).withColumn("month", F.expr(month_text("(start_idx + i)")))
     running = Window.partitionBy("scenario_id").orderBy("i")
     known = F.min(F.col("net").isNotNull()).over(running)
     return rows.select("scenario_id", "month", F.when(known, F.col("current_cash_cents") + F.sum("net").over(running)).cast("long").alias("cash"))

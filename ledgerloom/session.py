@@ -57,5 +57,5 @@ def flexible(plans: DataFrame) -> DataFrame:
 
 def chart_bounds(projected: DataFrame) -> DataFrame:
     """By scenario, the least and largest balance of the start, every month, and zero."""
-    known = F.filter(F.concat(F.array("current_cash_cents"), F.transform("steps", lambda s: s["cash"]), F.array(F.lit(0).cast("long"))), lambda c: c.isNotNull())
+    known = F.filter(F.concat(F.array("current_cash_cents"), F.col("cashes"), F.array(F.lit(0).cast("long"))), lambda c: c.isNotNull())
     return projected.select("scenario_id", F.array_min(known).alias("least_cents"), F.array_max(known).alias("largest_cents"))

@@ -64,7 +64,9 @@ def test_projections(spark):
         {"other_savings": 700}, {"forecast": {"oneoffs": [{"label": "Roof", "amount": 5.0, "month": None}, {"label": "Car", "amount": None, "month": "2031-12"}]}},
     )
     projected = project.project(df, PLAN_TARGETS).cache()
-    steps = {r.scenario_id: r.steps for r in projected.select("scenario_id", "steps").collect()}
+    steps = {}
+    for r in project.rows(projected).orderBy("scenario_id", "i").collect():
+        steps.setdefault(r.scenario_id, []).append(r)
     end = by_id(project.milestones(projected))
     assert {s.net for s in steps[0]} == {553500} and {s.unassigned for s in steps[0]} == {518500} and end[0].end_cash == 200000 + 12 * 553500
     assert end[1].end_cash == end[0].end_cash - 180000 and [s.oneoff for s in steps[1]] == [0, 0, 0, 180000] + [0] * 8
@@ -86,7 +88,7 @@ def test_projections(spark):
 @pytest.mark.parametrize("wrong", [{"months": 0}, {"months": 121}, {"start": "2031-13"}, {"cash_yield": 21.0}, {"leave_months": 121}])
 def test_projection_limits(spark, wrong):
     with pytest.raises(PySparkException):
-        project.project(many(spark, {"forecast": wrong}), PLAN_TARGETS).select("steps").collect()
+        project.project(many(spark, {"forecast": wrong}), PLAN_TARGETS).select("cashes").collect()
 
 
 def test_rounding_and_cents(spark):
@@ -184,7 +186,7 @@ def test_session(spark):
     with pytest.raises(ValueError):
         b.set_plan_inputs(person_a_pay=5000, unknown=1)
     assert b.get_state().first().person_a_pay == 3000.0
-    assert len(b.project().first().steps) == 12 and b.definitions().count() == len(PLAN_TARGETS)
+    assert len(b.project().first().cashes) == 12 and b.definitions().count() == len(PLAN_TARGETS)
     r = session.flexible(b.calculate()).first()
     assert (r.flexible_cents, r.tenth_cents) == (50000, 5000)
     assert b.reset().first().person_b_contribution == 2000.0
