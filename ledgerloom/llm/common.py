@@ -55,7 +55,10 @@ def delete_shared(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a table written in the shared folder; cuts the lineage."""
-    path = shared_path(df.sparkSession, name)
+    return written_at(df, shared_path(df.sparkSession, name))
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

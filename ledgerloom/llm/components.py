@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import delete_shared, shared_path, written_at
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,13 +27,17 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) for every node with an edge that isn't its component's smallest node.
 
     edges: columns u and v, of the same type, without self links. Each round's edges
-    are written to the shared folder, and the rounds end when the edges stay the same,
-    after about the logarithm of the largest component's size.
+    are written to the shared folder, those of the round before deleted, and the rounds end
+    when the edges stay the same, after about the logarithm of the largest component's size.
     """
-    now = written(edges.select("u", "v").distinct(), "edges")
+    spark = edges.sparkSession
+    path = shared_path(spark, "edges")
+    now = written_at(edges.select("u", "v").distinct(), path)
     mark = None
     for _ in range(rounds):
-        now = written(_small_star(_large_star(now)), "edges")
+        before, path = path, shared_path(spark, "edges")
+        now = written_at(_small_star(_large_star(now)), path)
+        delete_shared(spark, before)
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
         if mark == tuple(seen):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

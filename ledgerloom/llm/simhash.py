@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import text_of, with_fields, written
+from ledgerloom.llm.common import free_names, text_of, with_fields, written
 from ledgerloom.llm.components import components
 from ledgerloom.llm.tokens import slices
 
@@ -108,8 +108,10 @@ def drop_near_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id",
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows = written(with_fingerprints(rows, words, "fp").select("doc_id", "fp"), "fingerprints")
     kept = _classes(rows).filter("print = first").select(F.col("component_id").alias("__id"), F.col("print").alias("__print"))
-    whole = with_fingerprints(df, words, "__fp", text_col)
-    joined = whole.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__print")))
-    # repeated rows agree in both
-    alone = Window.partitionBy("__id", "__print").orderBy("__print")
-    return joined.withColumn("__k", F.row_number().over(alone)).filter("__k = 1").select(*df.columns)
+    null, own, print_, k = free_names(df, "__null", "__id", "__fp", "__k")
+    whole = with_fingerprints(df, words, print_, text_col).withColumns({null: F.col(id_col).isNull(), own: F.coalesce(F.col(id_col).cast("long"), F.lit(0))})
+    best = kept.select(F.col("__id").isNull().alias("z"), F.coalesce("__id", F.lit(0)).alias("id"), F.col("__print").alias("print"))
+    joined = whole.join(best, (F.col(null) == best.z) & (F.col(own) == best.id) & (F.col(print_) == best.print), "left_semi")
+    # repeated rows agree in all three
+    alone = F.row_number().over(Window.partitionBy(null, own, print_).orderBy(null))
+    return joined.withColumn(k, alone).filter(F.col(k) == 1).select(*df.columns)

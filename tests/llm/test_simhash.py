@@ -101,3 +101,10 @@ def test_components_of_chains_and_stars(spark):
 def test_empty(spark):
     assert near_duplicates(docs(spark, []), 3).count() == 0
     assert drop_near_duplicates(docs(spark, []), 3).count() == 0
+
+
+def test_columns_named_like_helpers(spark):
+    df = docs(spark, AWKWARD, **{n: "clash" for n in ("__fp", "__print", "__id", "__k", "__null", "fp")})
+    got = drop_near_duplicates(df)
+    plain = drop_near_duplicates(docs(spark, AWKWARD))
+    assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r.doc_id) for r in plain.collect())
