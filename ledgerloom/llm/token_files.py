@@ -1,6 +1,6 @@
 """Token ids of a corpus in flat binary files.
 
-Documents are range-partitioned by id and sorted, so that part k holds ids below
+Documents are range-partitioned by id and sorted, so that part k holds no id above
 those of part k + 1. Each task encodes its documents in order and appends the ids, as
 unsigned integers of the narrowest fitting width, to one file, and writes beside it
 the documents' ids and their 64-bit offsets in that file. The parts' sizes, a row for
@@ -11,7 +11,7 @@ A task writes under a name of its own and renames at the end, so a task that run
 again, after an executor was lost, leaves the same files.
 
 Cases: null text counts as empty, and a document without ids has its end id alone.
-Null ids come first; rows with the same id follow each other in order of text. An
+Null ids come first; rows with the same id follow each other in order of a hash of their text. An
 empty table makes a manifest without parts. Other columns are ignored.
 """
 
@@ -119,7 +119,9 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
     fs, root = _fs(path)
     fs.create_dir(root, recursive=True)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share an id, or have none, are split by a hash of their text
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "text")
     stats = rows.mapInArrow(_writer(path, tokenizer_path, end_id), "part int, documents long, tokens long, dtype string")
     parts, docs, tokens = [], 0, 0
     for r in sorted(stats.collect(), key=lambda r: r.part):  # a row for each part

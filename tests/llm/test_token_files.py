@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from helpers import AWKWARD, docs
 from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
 
 from ledgerloom.llm import tokens
 from ledgerloom.llm.token_files import TokenFiles, token_digests, write_token_files
@@ -52,7 +53,8 @@ def test_slices_cover_all_rows():
 
 
 def ordered(rows):
-    return sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    signed = lambda t: int(np.array(xxh64_intdigest(t.encode(), 42), np.uint64).view(np.int64))
+    return sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), r[1]))
 
 
 def test_round_trip(spark, tmp_path):
@@ -76,3 +78,12 @@ def test_digests(spark):
         start += len(ids)
     assert got == want
     assert token_digests(docs(spark, []), BYTES, 2).count() == 0
+
+
+def test_rows_without_ids_fill_many_parts(spark, tmp_path):
+    rows = [(None, f"text {i}") for i in range(2000)] + [(7, "last")]
+    files = write_token_files(docs(spark, rows), str(tmp_path / "t"), BYTES, 2)
+    sizes = [p["documents"] for p in files.manifest["parts"]]
+    assert sum(sizes) == 2001 and len(sizes) > 4 and max(sizes) < 800
+    want = [ids + [2] for ids in library(BYTES, [t for _, t in ordered(rows)])]
+    assert [files[k].tolist() for k in (0, 1000, 2000)] == [want[k] for k in (0, 1000, 2000)]
