@@ -144,4 +144,4 @@ def observed_targets(defs: DataFrame, totals: DataFrame, months: int) -> DataFra
     """Target definitions with the category's observed monthly average; 0 where it has none, null without a category."""
     seen = totals.select(F.col("category").alias("cat"), "total_cents")
     average = F.expr(js_round(f"(CAST(coalesce(total_cents, 0) AS DOUBLE) / {months})"))
-    return defs.join(F.broadcast(seen), "cat", "left").select("key", "label", "cat", F.when(F.col("cat").isNotNull(), average).alias("observed_cents"))
+    return defs.join(seen, "cat", "left").select("key", "label", "cat", F.when(F.col("cat").isNotNull(), average).alias("observed_cents"))
