@@ -19,9 +19,9 @@ A ladder step agrees by chance with probability 2^-32; the anchors' share has a
 standard error of at most 0.07.
 
 Cases: null text counts as empty; two empty texts have likeness 1, an empty and another
-one 0. Rows follow each other in order of id (nulls first), then text; repeated rows
-follow each other. A single row follows itself. An empty table gives no rows; other
-columns are ignored.
+one 0. Rows follow each other in order of id (nulls first), then of a hash of their text,
+so that those which share an id are split over parts; repeated rows follow each other. A
+single row follows itself. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import partitions, text_of
@@ -258,13 +258,17 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(rows)
 
 
-def _part(spark: SparkSession, starts: list[int]):
-    """The part of an id: how many parts start at it or before, less one."""
-    bounds = np.array(starts, np.int64)
+def _part(starts: list[tuple[int, int]]):
+    """The part of an (id, hash): how many parts start at it or before, less one; and whether it starts that part."""
+    kind = [("id", np.int64), ("h", np.int64)]
+    bounds = np.array(starts, kind)
 
-    @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right") - 1)
+    @F.pandas_udf("part int, first boolean")
+    def part(ids: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        own = np.empty(len(ids), kind)
+        own["id"], own["h"] = ids, hashes
+        at = np.searchsorted(bounds, own, side="right") - 1
+        return pd.DataFrame({"part": at.astype(np.int32), "first": bounds[at] == own})
 
     return part
 
@@ -272,26 +276,25 @@ def _part(spark: SparkSession, starts: list[int]):
 def consecutive(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """Rows dealt by id to parts of consecutive ids and sorted there, each part ending with a guest.
 
-    The parts' first ids come from a sample of the ids alone, one for each part; each
-    part's first row is also sent, as a guest, to the part before, the very first to
-    the last. Texts are shuffled once.
+    The parts' first ids, each with the hash of its text, come from a sample of ids and hashes
+    alone, one for each part; each part's first row is also sent, as a guest, to the part
+    before, the very first to the last. Texts are shuffled once.
     """
-    spark, n = df.sparkSession, partitions(df.sparkSession)
+    n = partitions(df.sparkSession)
     low = -(2**63)
-    ids = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("id"))
-    firsts = ids.repartitionByRange(n, "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("id"))
-    starts = sorted({r.id for r in firsts.collect()})  # an id for each part
-    part = _part(spark, starts or [low])
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("__id", F.coalesce("doc_id", F.lit(low))).withColumn("__part", part("__id"))
-    first = F.col("__id").isin(starts)
+    own_id, hashed = F.coalesce(F.col(id_col).cast("long"), F.lit(low)), F.xxhash64(text_of(text_col))
+    keys = df.select(own_id.alias("id"), hashed.alias("h"))
+    firsts = keys.repartitionByRange(n, "id", "h").groupBy(F.spark_partition_id()).agg(F.min(F.struct("id", "h")).alias("f"))
+    starts = sorted({(r.f.id, r.f.h) for r in firsts.collect()})  # one for each part
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), own_id.alias("__id"), hashed.alias("__h"))
+    rows = rows.select("*", _part(starts or [(low, low)])("__id", "__h").alias("__at"))
     count = max(1, len(starts))
-    before = F.when(F.col("__part") == 0, F.lit(count - 1)).otherwise(F.col("__part") - 1)
-    # of rows with the same first id, the one with the smallest text leads
-    own, guest = F.struct(F.col("__part").alias("p"), F.lit(False).alias("g")), F.struct(before.alias("p"), F.lit(True).alias("g"))
-    copies = F.when(first, F.array(own, guest)).otherwise(F.array(own))
-    dealt = rows.select("doc_id", "text", "__id", F.explode(copies).alias("__c")).select("doc_id", "text", "__id", F.col("__c.p").alias("__p"), F.col("__c.g").alias("__guest"))
-    return dealt.repartitionById(count, F.col("__p")).sortWithinPartitions("__guest", "__id", "text"), count
+    at = F.col("__at.part")
+    before = F.when(at == 0, F.lit(count - 1)).otherwise(at - 1)
+    own, guest = F.struct(at.alias("p"), F.lit(False).alias("g")), F.struct(before.alias("p"), F.lit(True).alias("g"))
+    copies = F.when(F.col("__at.first"), F.array(own, guest)).otherwise(F.array(own))
+    dealt = rows.select("doc_id", "text", "__id", "__h", F.explode(copies).alias("__c")).select("doc_id", "text", "__id", "__h", F.col("__c.p").alias("__p"), F.col("__c.g").alias("__guest"))
+    return dealt.repartitionById(count, F.col("__p")).sortWithinPartitions("__guest", "__id", "__h", "text"), count
 
 
 def neighbour_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,12 +3,15 @@ import random
 
 import numpy as np
 from helpers import AWKWARD, docs
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from ledgerloom.llm.fingerprints import ANCHORS, SPAN, Anchors, PrefixHashes, _edited_print, edited, fingerprint, ladder, likeness, neighbour_fingerprints
+from ledgerloom.llm.fingerprints import ANCHORS, SPAN, Anchors, PrefixHashes, _edited_print, consecutive, edited, fingerprint, ladder, likeness, neighbour_fingerprints
 
 
 def brute(rows):
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    signed = lambda t: int(np.array(xxh64_intdigest(t.encode(), 42), np.uint64).view(np.int64))
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), r[1]))
     out = []
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
@@ -33,6 +36,15 @@ def test_many_parts(spark):
     assert result(neighbour_fingerprints(docs(spark, rows).repartition(7))) == brute(rows)
 
 
+def test_rows_without_ids(spark):
+    r = random.Random(5)
+    rows = [(None, "".join(r.choices("ab cdé", k=r.randrange(80)))) for _ in range(400)] + [(None, "same")] * 50 + [(3, "x")]
+    df = docs(spark, rows).repartition(5)
+    assert result(neighbour_fingerprints(df)) == brute(rows)
+    sizes = [x["count"] for x in consecutive(df)[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 200
+
+
 def test_single_and_empty(spark):
     assert result(neighbour_fingerprints(docs(spark, [(5, "abcdefgh")]))) == brute([(5, "abcdefgh")])
     assert neighbour_fingerprints(docs(spark, [])).count() == 0
