@@ -53,6 +53,8 @@ NEGATIONS = "not never no none neither nor nicht nie kein keine keinen niemals p
 REPORTS = "said says say called calls quoted quotes wrote reported claims sagte sagt schrieb nannte dit disait écrit appelle dijo dice escribió llamó".split()
 THREATS = "kill killing destroy hurt burn shoot stab beat töten umbringen schlagen tuer frapper matar golpear quemar".split()
 QUOTES = "\"“”„«»"
+#: What a listed threat weighs that labels don't show: such words have harmless senses, so one alone isn't enough.
+THREAT = 1.0
 _END = r"[.,;:!?…]+[\"'”»)\]]*$"
 _REPORTING = rf"(?i)^(?:{'|'.join(REPORTS)})[,:]$"
 _CORE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -180,7 +182,6 @@ class Model:
 
     def __post_init__(self):
         self._sizes = sorted({len(s) for s in self.stems})
-        self._threat = float(np.median([*self.words.values(), *self.stems.values()])) if self.words or self.stems else 1.0
         starts = sorted({*self.words, *self.stems, *THREATS})
         # short lists go through Arrow; a word that holds none of the starts is no hit
         self._any = "|".join(map(re.escape, starts)) if len(starts) <= 500 else None
@@ -193,7 +194,7 @@ class Model:
             if self.stems:
                 weight = max([weight, *(self.stems[core[:k]] for k in self._sizes if k <= len(core) and core[:k] in self.stems)])
             if core in _THREATS:
-                out.append(("H", max(weight, self._threat)))
+                out.append(("H", max(weight, THREAT)))
             elif weight > 0:
                 out.append(("I", weight))
             else:

@@ -58,8 +58,8 @@ def model():
 def test_clauses():
     texts = ["You are an idiot. Nice day.", "not an idiot, loweix\nidiot", "he said: idiot", "“idiot”", "IDIOT!", "idiotic lo", "", "kill you"]
     got = [{PATTERNS[i]: round(v, 1) for i, v in enumerate(r[:-1]) if v} for r in features(model(), pa.array(texts))]
-    assert got == [{"It": 2.0}, {"I-": 2.0, "I": 5.0}, {"Irt": 2.0}, {"Ir": 2.0}, {"I": 2.0}, {}, {}, {"Ht": 2.5}]
-    assert np.allclose(features(model(), pa.array(texts))[:, -1], [2.5, 5.2, 0.375, 0.3, 2, 0, 0, 2.5])
+    assert got == [{"It": 2.0}, {"I-": 2.0, "I": 5.0}, {"Irt": 2.0}, {"Ir": 2.0}, {"I": 2.0}, {}, {}, {"Ht": 1.0}]
+    assert np.allclose(features(model(), pa.array(texts))[:, -1], [2.5, 5.2, 0.375, 0.3, 2, 0, 0, 1.0])
 
 
 def corpus(n, seed):
