@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, fingerprints, kneser_ney, mixing, packing, secrets_scan, sharding, simhash, token_files, toxicity
+from ledgerloom.llm import exact_dedup, fingerprints, kneser_ney, licenses, mixing, packing, secrets_scan, sharding, simhash, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_toxicity, op4_fingerprints, op5_secrets, op6_sharding, op7_exact_dedup, op8_token_files, op9_language_model, op10_simhash)}
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digests(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_toxicity, op4_fingerprints, op5_secrets, op6_sharding, op7_exact_dedup, op8_token_files, op9_language_model, op10_simhash, op11_licenses)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
@@ -82,4 +86,5 @@ ORACLES = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
     """,
+    "op11_licenses": licenses.oracle(),
 }
