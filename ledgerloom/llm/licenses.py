@@ -120,25 +120,27 @@ _OWN = ["row", "doc_id", "template", "label", "phrase", "length"]
 
 
 def _spans(votes: DataFrame, rule: Rule) -> DataFrame:
-    """The verified spans: (row, doc_id, label, phrase, first, last, covered, share), words from first to last."""
-    voted = votes.filter("template IS NOT NULL")
-    lines = voted.groupBy(*_OWN, "diagonal").agg(F.collect_set("tpos").alias("places"))  # a template's at most
+    """The verified spans and, without a template, the texts themselves: (row, doc_id, template, n_words, label, phrase, first, last, covered, share).
+
+    One pass over the votes; first and last are words of the text.
+    """
+    lines = votes.groupBy(*_OWN, "diagonal").agg(F.collect_set("tpos").alias("places"), F.max("n_words").alias("n_words"))  # a template's words at most
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(along) > rule.slack)
     lines = lines.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("group", F.sum("new").over(along))
     # of neighbouring diagonals: which of the template's words they cover, and from where to where in the text
     ends = [F.min(F.col("diagonal") + F.array_min("places")).alias("first"), F.max(F.col("diagonal") + F.array_max("places") + (rule.k - 1)).alias("last")]
-    merged = lines.groupBy(*_OWN, "group").agg(F.flatten(F.collect_list("places")).alias("places"), *ends)
+    merged = lines.groupBy(*_OWN, "group").agg(F.flatten(F.collect_list("places")).alias("places"), F.max("n_words").alias("n_words"), *ends)
     covered = F.expr(f"size(array_distinct(flatten(transform(places, p -> sequence(p, p + {rule.k - 1})))))")
     spans = merged.withColumn("covered", covered).withColumn("share", F.col("covered") / F.col("length"))
     whole = F.when(F.col("phrase"), F.col("covered") == F.col("length")).otherwise((F.col("share") >= rule.share) & (F.col("last") - F.col("first") < 2 * F.col("length")))
-    return spans.filter(whole).select("row", "doc_id", "label", "phrase", "first", "last", "covered", "share")
+    return spans.filter(F.col("template").isNull() | whole).select("row", "doc_id", "template", "n_words", "label", "phrase", "first", "last", "covered", "share")
 
 
 def license_spans(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rule: Rule | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where texts carry license notices: doc_id, label, phrase, first and last word, covered words, share of the template."""
     rule = rule or Rule()
-    return _spans(_votes(df, templates, rule, id_col, text_col), rule).drop("row")
+    return _spans(_votes(df, templates, rule, id_col, text_col), rule).filter("template IS NOT NULL").drop("row", "template", "n_words")
 
 
 def license_digests(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rule: Rule | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,20 +149,17 @@ def license_digests(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     The score is the largest over its spans of covered words to one more than the template has, 0 without a span.
     """
     rule = rule or Rule()
-    votes = _votes(df, templates, rule, id_col, text_col)
-    texts = votes.filter("pos = n_words AND template IS NULL").select("row", "doc_id", F.col("n_words").cast("long"), *[F.lit(None).cast(k).alias(c) for c, k in (("label", "string"), ("phrase", "boolean"), ("first", "int"), ("value", "double"))])
-    value = F.col("covered") / (F.col("covered") / F.col("share") + 1)
-    found = _spans(votes, rule).select("row", "doc_id", F.lit(None).cast("long").alias("n_words"), "label", "phrase", "first", value.alias("value"))
+    spans = _spans(_votes(df, templates, rule, id_col, text_col), rule)
     base = F.when(F.col("phrase"), F.col("first")).cast("long")
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    out = texts.unionByName(found).groupBy("row", "doc_id").agg(
-        F.max("n_words").alias("n_words"),
+    out = spans.groupBy("row", "doc_id").agg(
+        F.max("n_words").cast("long").alias("n_words"),
         F.count(base).alias("n_base"),
         F.min(base).alias("first_word"),
         F.max(base).alias("last_word"),
         listed(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"),
         listed(F.col("label")).alias("labels"),
-        F.coalesce(F.max("value"), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.col("covered") / (F.col("covered") / F.col("share") + 1)), F.lit(0.0)).alias("score"),
     )
     return out.drop("row")
 
@@ -180,8 +179,8 @@ def oracle(templates: tuple[Template, ...] = TEMPLATES, rule: Rule | None = None
                    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
             FROM documents
         ), p AS (
-            SELECT r, i - 1 AS pos, words[i:i + {rule.k - 1}] AS gram
-            FROM (SELECT r, words, unnest(range(1, len(words) + 2 - {rule.k})) AS i FROM d)
+            SELECT r, pos, [{', '.join(f'w{i}' for i in range(rule.k))}] AS gram
+            FROM (SELECT r, unnest(range(len(words) + 1 - {rule.k})) AS pos, {', '.join(f'unnest(words[{i + 1}:len(words) + 1 + {i} - {rule.k}]) AS w{i}' for i in range(rule.k))} FROM d)
         ), v AS (
             SELECT DISTINCT r, template, label, phrase, length, tpos, pos - tpos AS diagonal FROM p JOIN tg USING (gram)
         ), n AS (
