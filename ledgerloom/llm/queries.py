@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, fingerprints, kneser_ney, licenses, mixing, packing, secrets_scan, sharding, simhash, token_files, toxicity
+from ledgerloom.llm import exact_dedup, fingerprints, kneser_ney, licenses, mixing, packing, secrets_scan, sharding, simhash, spelling, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,11 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_toxicity, op4_fingerprints, op5_secrets, op6_sharding, op7_exact_dedup, op8_token_files, op9_language_model, op10_simhash, op11_licenses)}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_toxicity, op4_fingerprints, op5_secrets, op6_sharding, op7_exact_dedup, op8_token_files, op9_language_model, op10_simhash, op11_licenses, op12_spelling)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
