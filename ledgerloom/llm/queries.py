@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, fingerprints, kneser_ney, licenses, mixing, packing, secrets_scan, sharding, simhash, spelling, token_files, toxicity
+from ledgerloom.llm import exact_dedup, fingerprints, kneser_ney, licenses, mixing, packing, search, secrets_scan, sharding, simhash, spelling, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_toxicity, op4_fingerprints, op5_secrets, op6_sharding, op7_exact_dedup, op8_token_files, op9_language_model, op10_simhash, op11_licenses, op12_spelling)}
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_toxicity, op4_fingerprints, op5_secrets, op6_sharding, op7_exact_dedup, op8_token_files, op9_language_model, op10_simhash, op11_licenses, op12_spelling, op13_search)}
 
 ORACLES = {
     "op7_exact_dedup": r"""
@@ -91,4 +95,5 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
     """,
     "op11_licenses": licenses.oracle(),
+    "op13_search": search.ORACLE,
 }
