@@ -7,7 +7,7 @@ are SQL text for both engines, are shared.
 from __future__ import annotations
 
 from ledgerloom.functions.scalars import cents, js_round, multiplier
-from ledgerloom.scenarios import DEBT_END, FIELD_SQL, FORECAST_SQL, ONCE_AMOUNT, ONCE_MONTH, TARGET_SQL
+from ledgerloom.scenarios import DEBT_END, EMBEDDED_SQL, FIELD_SQL, FORECAST_SQL, ONCE_AMOUNT, ONCE_MONTH, SAVED_SQL, TARGET_SQL
 
 JUNE = 1998 * 12 + 5
 QUARTER = f"month_idx BETWEEN {JUNE - 2} AND {JUNE}"
@@ -468,3 +468,51 @@ ORACLES["visible_targets"] = f"WITH {PLANS}\n" + " UNION ALL ".join(f"SELECT sce
 ORACLES["flexible_total"] = f"WITH {PLANS}\nSELECT scenario_id, {_known('t_groceries')} AS flexible_cents, {js_round(f'({_known("t_groceries")} * CAST(0.1 AS DOUBLE))')} AS tenth_cents FROM rooms"
 ORACLES["projected_bounds"] = f"""WITH RECURSIVE {PROJECTION}
 SELECT scenario_id, least(0, min(cash), any_value(current_cash)) AS least_cents, greatest(0, max(cash), any_value(current_cash)) AS largest_cents FROM steps GROUP BY scenario_id"""
+
+
+# ---- layers of saved documents
+
+
+def _merged(below: str, of: str) -> str:
+    """The states of a CTE under the documents of another."""
+    kind, text = lambda p: f"coalesce(json_type(j, '$.{p}'), '')", lambda p: f"json_extract_string(j, '$.{p}')"
+    number = lambda p: f"{kind(p)} IN ('BIGINT', 'UBIGINT', 'DOUBLE')"
+    value = lambda p: f"try_cast({text(p)} AS DOUBLE)"
+    amount = lambda p, c: f"CASE WHEN {kind(p)} = 'NULL' OR ({kind(p)} = 'VARCHAR' AND {text(p)} = '') THEN NULL WHEN {number(p)} AND {value(p)} BETWEEN 0 AND 100000000 THEN {value(p)} ELSE {c} END"
+    target = lambda k, base: f"CASE WHEN {kind(f'targets.{k}')} = 'NULL' THEN NULL WHEN {number(f'targets.{k}')} AND {value(f'targets.{k}')} BETWEEN 0 AND 100000000 THEN {value(f'targets.{k}')} ELSE {base} END"
+    boolean = lambda p, c: f"CASE WHEN {kind(p)} = 'BOOLEAN' THEN {text(p)} = 'true' ELSE {c} END"
+    month = lambda p: f"({kind(p)} = 'VARCHAR' AND regexp_full_match({text(p)}, '|[0-9]{{4}}-(0[1-9]|1[0-2])'))"
+    valid = f"({kind('healthMode')} = 'VARCHAR' AND {text('healthMode')} IN ('combined', 'separate'))"
+    item = """list_transform(list_filter(CAST(json_extract(j, '$.forecast.oneoffs') AS JSON[]), lambda o: json_type(o) = 'OBJECT'), lambda o: concat_ws(':', coalesce(nullif(json_extract_string(o, '$.label'), ''), 'One-off cost'),
+        CASE WHEN CAST(json_extract_string(o, '$.amount') AS BIGINT) >= 0 THEN json_extract_string(o, '$.amount') ELSE 'unknown' END, json_extract_string(o, '$.month')))"""
+    return f"""
+      SELECT k, {amount("personAPay", "person_a_pay")} AS person_a_pay, {amount("otherIncome", "other_income")} AS other_income,
+        CASE WHEN j IS NULL THEN health_mode WHEN {valid} THEN {text("healthMode")} WHEN migrated THEN 'combined' ELSE 'separate' END AS health_mode,
+        CASE WHEN {kind("tab")} = 'VARCHAR' AND {text("tab")} IN ('overview', 'spending', 'plan', 'future', 'review') THEN {text("tab")} ELSE tab END AS tab,
+        migrated OR health_notice AS health_notice, CASE WHEN version < 4 THEN true ELSE {boolean("auditBudgetNotice", "audit_notice")} END AS audit_notice,
+        {boolean("adjustments.airfare", "airfare")} AS airfare, {boolean("checks.income", "income_checked")} AS income_checked,
+        {target("dining", "target_dining")} AS target_dining, {target("medical", "target_medical")} AS target_medical,
+        CASE WHEN NOT migrated THEN {target("dental", "target_dental")} END AS target_dental, {target("student", "target_student")} AS target_student,
+        has_vision OR coalesce(version < 3, false) AS has_vision,
+        CASE WHEN {number("forecast.months")} AND {value("forecast.months")} BETWEEN 1 AND 120 AND {value("forecast.months")} = floor({value("forecast.months")}) THEN CAST({value("forecast.months")} AS INTEGER) ELSE months END AS months,
+        CASE WHEN {number("forecast.cashYield")} AND {value("forecast.cashYield")} BETWEEN 0 AND 20 THEN {value("forecast.cashYield")} ELSE cash_yield END AS cash_yield,
+        CASE WHEN {month("forecast.babyStart")} THEN {text("forecast.babyStart")} ELSE baby_start END AS baby_start,
+        CASE WHEN {kind("forecast.oneoffs")} = 'ARRAY' THEN array_to_string({item}, '|') ELSE oneoffs END AS oneoffs,
+        CASE WHEN {month("forecast.debtEnds.student")} THEN {text("forecast.debtEnds.student")} ELSE student_ends END AS student_ends
+      FROM (
+        SELECT *, coalesce(NOT {valid} AND version < 3 AND {kind("targets.medical")} <> '', false) AS migrated FROM (
+          SELECT *, CASE {kind("version")} WHEN 'NULL' THEN 0 WHEN '' THEN NULL ELSE {value("version")} END AS version
+          FROM {below} LEFT JOIN (SELECT k, j FROM {of} WHERE json_type(j) IN ('OBJECT', 'ARRAY')) USING (k))
+      )"""
+
+
+ORACLES["merged_states"] = f"""
+    WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer),
+    embedded AS (SELECT k, CAST(t AS JSON) AS j FROM (SELECT k, {EMBEDDED_SQL} AS t FROM c) WHERE json_valid(t)),
+    saved AS (SELECT k, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM (SELECT k, {SAVED_SQL} AS t FROM c WHERE k % 3 <> 0)),
+    s0 AS (SELECT k, CAST(3000 AS DOUBLE) AS person_a_pay, CAST(0 AS DOUBLE) AS other_income, 'separate' AS health_mode, 'overview' AS tab, false AS health_notice, false AS audit_notice, false AS airfare,
+           CAST(NULL AS BOOLEAN) AS income_checked, CAST(NULL AS DOUBLE) AS target_dining, CAST(NULL AS DOUBLE) AS target_medical, CAST(NULL AS DOUBLE) AS target_dental, CAST(220 AS DOUBLE) AS target_student, false AS has_vision,
+           36 AS months, CAST(0 AS DOUBLE) AS cash_yield, '' AS baby_start, 'Home repair:unknown:|Celebration:unknown:|Family setup:unknown:' AS oneoffs, '' AS student_ends FROM c),
+    s1 AS ({_merged("s0", "embedded")}),
+    s2 AS ({_merged("s1", "saved")})
+    SELECT k AS scenario_id, * EXCLUDE (k), 4 AS debt_ends FROM s2"""

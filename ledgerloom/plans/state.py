@@ -1,4 +1,4 @@
-"""Scenario state: checking, merging and storing inputs, each scenario a row."""
+"""Scenario state: checking, migrating and storing inputs, each scenario a row; `layers` merges saved documents."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import FREQUENCIES, LARGEST_AMOUNT
-from ledgerloom.plans.definitions import AUDITED, TARGETS
+from ledgerloom.plans.definitions import TARGETS
 from ledgerloom.plans.plan import INPUTS
 
 #: Choices of the enumerated inputs; fixed values.
@@ -32,11 +32,6 @@ SCHEMA = (
 ONEOFFS, LABEL = 24, 80
 
 
-def in_range(c: Column) -> Column:
-    """The amount where it is from 0 to 1e8, else null."""
-    return F.when(~F.isnan(c) & (c >= 0) & (c <= LARGEST_AMOUNT), c)
-
-
 def _over(below: Column, above: Column) -> Column:
     """The entries of one map, and those of another whose keys it lacks; null counts as empty."""
     none = F.create_map().cast("map<string,double>")
@@ -44,65 +39,6 @@ def _over(below: Column, above: Column) -> Column:
     return F.map_concat(F.map_filter(F.coalesce(below, none), lambda k, _: ~F.map_contains_key(above, k)), above)
 
 
-def parse(df: DataFrame) -> DataFrame:
-    """States saved as JSON, (scenario_id, json), with the names that each has in `present`; '' counts as null."""
-    kinds = [f.strip() for f in SCHEMA.replace("scenario_id long, ", "").replace(f", forecast {FORECAST}", "").replace(", targets map<string,double>", "").split(",")]
-    whole = ", ".join([*kinds, "targets map<string,double>", f"forecast {FORECAST}"])
-    out = df.select("scenario_id", F.from_json("json", whole).alias("d"), F.json_object_keys("json").alias("present"))
-    return out.select("scenario_id", "d.*", "present")
-
-
-def merge(defaults: DataFrame, saved: DataFrame) -> DataFrame:
-    """Saved fields over the defaults, field by field; a field that isn't valid counts as absent.
-
-    A saved amount that is null is unknown where the state has the field (`present` names
-    it), and absent otherwise. Old states are migrated on the way: their health mode, and, below
-    version 3, the targets of audited categories, which become unknown. The result has
-    `health_notice` and `audit_notice` besides: a version below 4 asks for a review.
-    """
-    if "present" not in saved.columns:
-        saved = saved.withColumn("present", F.lit(None).cast("array<string>"))
-    s, d = migrate_health(saved.withColumn("__was", F.col("version"))).alias("s"), defaults.alias("d")
-    both = d.join(s, F.col("d.scenario_id") == F.col("s.scenario_id"), "left")
-    was = F.col("s.__was")
-    legacy, older = F.coalesce(was < 3, F.lit(False)), F.coalesce(was < 4, F.lit(False))
-    picked = [F.col("d.scenario_id")]
-    for c in [c for c in defaults.columns[1:] if c not in ("health_notice", "audit_notice")]:
-        own, base = F.col(f"s.{c}"), F.col(f"d.{c}")
-        if c == "version":
-            value = base
-        elif c in CHOICES:
-            value = F.coalesce(F.when(own.isin(*CHOICES[c]), own), base)
-        elif c in INPUTS:
-            unknown = F.coalesce(F.array_contains("s.present", c), F.lit(False)) & own.isNull()
-            value = F.when(~unknown, F.coalesce(in_range(own), base))
-        elif c == "targets":
-            keys = [t.key for t in TARGETS] + [key for _, key in AUDITED]
-            own = F.map_filter(own, lambda k, v: k.isin(keys) & (v.isNull() | in_range(v).isNotNull()))
-            blank = F.create_map(*[x for _, key in AUDITED for x in (F.lit(key), F.lit(None).cast("double"))])
-            value = _over(F.when(legacy, _over(base, blank)).otherwise(base), own)
-        elif c == "forecast":
-            value = F.coalesce(clean_forecast(own), base)
-        else:
-            value = F.coalesce(own, base)
-        picked.append(value.alias(c))
-    return both.select(*picked, F.coalesce("s.health_notice", F.lit(False)).alias("health_notice"), older.alias("audit_notice"))
-
-
-def clean_forecast(f: Column) -> Column:
-    """Ranges of a forecast's fields, at most 24 one-offs, labels of at most 80 characters."""
-    rate = lambda c: F.when((c >= 0) & (c <= 20), c)
-    whole = lambda c, low: F.when((c >= low) & (c <= 120), c)
-    month = lambda c: F.when(c.rlike(r"\A\d{4}-(0[1-9]|1[0-2])\z"), c)
-    once = F.slice(F.transform(f["oneoffs"], lambda o: F.struct(F.substring(o["label"], 1, LABEL).alias("label"), in_range(o["amount"]).alias("amount"), month(o["month"]).alias("month"))), 1, ONEOFFS)
-    out = F.struct(
-        month(f["start"]).alias("start"), whole(f["months"], 1).alias("months"), month(f["baby_start"]).alias("baby_start"), month(f["childcare_start"]).alias("childcare_start"),
-        month(f["leave_start"]).alias("leave_start"), whole(f["leave_months"], 0).alias("leave_months"), rate(f["income_growth"]).alias("income_growth"), rate(f["expense_growth"]).alias("expense_growth"),
-        rate(f["cash_yield"]).alias("cash_yield"), once.alias("oneoffs"), F.map_filter(f["debt_ends"], lambda _, v: month(v).isNotNull()).alias("debt_ends"),
-    )
-    return F.when(f.isNotNull(), out)
-
-
 def migrate_health(df: DataFrame) -> DataFrame:
     """Old states without a health mode: combined, its dental target blank, where a version below 3 has a medical one."""
     valid = F.coalesce(F.col("health_mode").isin(*CHOICES["health_mode"]), F.lit(False))

@@ -12,8 +12,8 @@ from ledgerloom import session
 from ledgerloom.functions.scalars import first_day, js_round, money, month_from_index, month_index, month_label, month_text, percent_text, pretty
 from ledgerloom.operators import compare, quality, rollup, totals
 from ledgerloom.operators.predicates import LedgerQuery, evidence_text, filtered, matches_kind, matches_review, signed_amount, status
-from ledgerloom.plans import plan, project
-from ledgerloom.scenarios import PLAN_TARGETS, scenarios
+from ledgerloom.plans import layers, plan, project
+from ledgerloom.scenarios import FORECAST_START, PLAN_TARGETS, documents, scenarios
 from ledgerloom.sources.driver_tables import coverage, ledger, sources, table
 from ledgerloom.streaming.windows import windowed
 
@@ -361,6 +361,20 @@ def project_missing(spark: SparkSession, d: str) -> DataFrame:
     return _projected(spark, d).select("scenario_id", F.array_join("projection_missing", "|").alias("missing"))
 
 
+@query
+def merged_states(spark: SparkSession, d: str) -> DataFrame:
+    """What the layers of every scenario's documents make of the default state."""
+    embedded, saved = documents(spark, d)
+    merged = layers.merge_layers(layers.default_states(spark, embedded, FORECAST_START), embedded, saved)
+    once = F.transform("forecast.oneoffs", lambda o: F.concat_ws(":", o["label"], F.coalesce(o["amount"].cast("long").cast("string"), F.lit("unknown")), o["month"]))
+    return merged.select(
+        "scenario_id", "person_a_pay", "other_income", "health_mode", "tab", "health_notice", "audit_notice", "adjustments.airfare", F.col("checks")["income"].alias("income_checked"),
+        *[F.try_element_at("targets", F.lit(k)).alias(f"target_{k}") for k in ("dining", "medical", "dental", "student")], F.map_contains_key("targets", "vision").alias("has_vision"),
+        F.col("forecast.months").alias("months"), F.col("forecast.cash_yield").alias("cash_yield"), F.col("forecast.baby_start").alias("baby_start"),
+        F.array_join(once, "|").alias("oneoffs"), F.col("forecast.debt_ends")["student"].alias("student_ends"), F.size("forecast.debt_ends").alias("debt_ends"),
+    )
+
+
 @query
 def dq_checks(spark: SparkSession, d: str) -> DataFrame:
     rows = ledger(spark, d, [*CORE, "id", "merchant", "source", "category", "month_idx", "needs_category_review", "needs_item_review", "evidence_basis"])

@@ -71,3 +71,26 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = F.array(F.struct(F.lit("Home repair").alias("label"), F.expr(ONCE_AMOUNT).cast("double").alias("amount"), F.expr(ONCE_MONTH).alias("month")))
     forecast = F.struct(*[F.expr(sql).cast(kinds.get(c, "string")).alias(c) for c, sql in FORECAST_SQL.items()], once.alias("oneoffs"), F.create_map(F.lit("storeCard"), F.expr(DEBT_END)).alias("debt_ends"))
     return rows.select(*own, targets.alias("targets"), forecast.alias("forecast"))
+
+
+#: Saved documents of the derived scenarios, as SQL over k: what each embeds, and what a later save has.
+EMBEDDED_SQL = """concat('{"version": ', CASE k % 5 WHEN 0 THEN '2' WHEN 1 THEN '3' WHEN 2 THEN 'null' WHEN 3 THEN '"1"' ELSE '4' END,
+    ', "personAPay": ', CASE k % 6 WHEN 0 THEN '"abc"' WHEN 1 THEN 'null' WHEN 2 THEN '""' WHEN 3 THEN '-1' WHEN 4 THEN 'true' ELSE concat(CAST(k % 700 AS VARCHAR(9)), '.5') END,
+    ', "targets": {"dining": ', CASE k % 4 WHEN 0 THEN 'null' WHEN 1 THEN '"9"' WHEN 2 THEN '125' ELSE '-2' END, CASE WHEN k % 3 = 0 THEN '' ELSE ', "medical": 150, "dental": 20' END,
+    '}, "healthMode": ', CASE k % 7 WHEN 0 THEN '"combined"' WHEN 1 THEN '"separate"' WHEN 2 THEN 'null' ELSE '"both"' END,
+    ', "forecast": {"months": ', CASE k % 8 WHEN 0 THEN '500' WHEN 1 THEN '12' WHEN 2 THEN '12.5' WHEN 3 THEN 'null' WHEN 4 THEN '"24"' ELSE '60' END,
+    ', "babyStart": ', CASE k % 4 WHEN 0 THEN '"2032-02"' WHEN 1 THEN '"2032-13"' WHEN 2 THEN '""' ELSE 'null' END, ', "cashYield": 4}',
+    ', "checks": {"income": ', CASE k % 3 WHEN 0 THEN 'true' WHEN 1 THEN '"yes"' ELSE 'false' END, '}, "adjustments": {"airfare": ', CASE WHEN k % 2 = 0 THEN 'true' ELSE '1' END, '}, "tab": "plan"}')"""
+SAVED_SQL = """CASE WHEN k % 11 = 0 THEN 'no document' WHEN k % 13 = 0 THEN '[1, 2]' ELSE concat('{"version": ', CASE WHEN k % 2 = 0 THEN '4' ELSE '2' END,
+    ', "otherIncome": ', CASE k % 3 WHEN 0 THEN '""' WHEN 1 THEN '70' ELSE '"70"' END, CASE WHEN k % 4 = 0 THEN ', "personAPay": 2500' ELSE '' END,
+    ', "targets": ', CASE k % 5 WHEN 0 THEN '3' WHEN 1 THEN '{"medical": 90}' ELSE '{"student": null}' END,
+    ', "forecast": ', CASE k % 6 WHEN 0 THEN 'null' WHEN 1 THEN '{"oneoffs": "none", "debtEnds": {"student": "2031-12"}}' ELSE concat('{"oneoffs": [{"label": ', CASE WHEN k % 4 = 1 THEN '""' ELSE '"Roof"' END, ', "amount": ', CAST(k % 90 - 9 AS VARCHAR(9)), ', "month": "2032-01"}, 5], "debtEnds": {"student": "2031-13", "boat": "2031-12"}}') END,
+    ', "tab": ', CASE k % 3 WHEN 0 THEN '"review"' ELSE '"home"' END, ', "auditBudgetNotice": ', CASE WHEN k % 5 = 4 THEN 'false' ELSE '0' END, '}') END"""
+FORECAST_START = "2031-10"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The embedded documents of all customers, and the saved ones of two thirds of them: (scenario_id, json)."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    made = lambda sql: F.expr(sql).alias("json")
+    return rows.select(F.col("k").alias("scenario_id"), made(EMBEDDED_SQL)), rows.filter("k % 3 <> 0").select(F.col("k").alias("scenario_id"), made(SAVED_SQL))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import js_round
-from ledgerloom.plans import plan, project, state
+from ledgerloom.functions.scalars import js_round, month_from_index
+from ledgerloom.plans import layers, plan, project, state
 from ledgerloom.plans.definitions import TARGETS, Target, frame
+from ledgerloom.sources.sample import FIRST_MONTH, MONTHS
 
 #: Targets that a household can change at once; fixed values.
 FLEXIBLE = ("groceries", "dining", "shopping")
@@ -26,8 +27,15 @@ class PlanSession:
     def definitions(self) -> DataFrame:
         return frame(self.spark, self.targets)
 
+    def _start(self) -> str:
+        """The month after the ledger's last, or after the made-up one's."""
+        latest = self.data["ledger"].agg(F.max("month_idx")).first()[0] if "ledger" in self.data else None
+        return month_from_index(FIRST_MONTH + MONTHS if latest is None else latest + 1)
+
     def get_state(self) -> DataFrame:
-        return state.scenario(self.spark, **self._inputs)
+        forecast = self._inputs.get("forecast") or layers.default_forecast(self._start())
+        targets = layers.default_targets(self.targets) | self._inputs.get("targets", {})
+        return state.scenario(self.spark, **self._inputs | {"forecast": forecast, "targets": targets})
 
     def set_plan_inputs(self, **inputs) -> DataFrame:
         forecast = inputs.pop("forecast", self._inputs.get("forecast"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom import session
 from ledgerloom.functions import scalars
 from ledgerloom.functions.periods import period
-from ledgerloom.plans import definitions, plan, project, state
+from ledgerloom.plans import definitions, layers, plan, project, state
 from ledgerloom.scenarios import PLAN_TARGETS
 
 TARGETS = {"mortgage": 1100, "groceries": 500, "medical": 50, "dental": 75, "vehicleA": 180, "student": 220, "vehicleB": 300, "storeCard": 40}
@@ -130,9 +130,6 @@ def test_state(spark, tmp_path):
     assert old.first().targets["dental"] == 10.0
     r = state.migrate_health(old.withColumn("version", F.lit(None).cast("int"))).first()
     assert r.health_mode == "separate" and not r.health_notice
-    saved = state.scenario(spark, 1, person_a_pay=10, targets={"medical": 5.0}).withColumns({"plan_mode": F.lit("odd"), "person_b_pay": F.lit(-3.0)})
-    r = state.merge(state.scenario(spark, 1, targets={"medical": 1.0, "dental": 2.0}), saved).first()
-    assert (r.plan_mode, r.person_a_pay, r.person_b_pay, r.targets) == ("household", 10.0, None, {"medical": 5.0, "dental": 2.0})
     r = state.use_observed(state.scenario(spark, 1, health_mode="combined", targets={"medical": 9.0}), {"medical": 100, "fuel": 1200}, 500).first()
     assert r.targets == {"medical": 9.0, "fuel": 12.0, "energy": 5.0}
     path = str(tmp_path / "scenarios")
@@ -148,23 +145,54 @@ def test_state(spark, tmp_path):
     assert {r.scenario_id for r in state.load(spark, path).collect()} == {0, 1, 5, 6}
 
 
-def test_merging_tells_unknown_from_absent(spark):
-    saved = [
-        (1, '{"version": 4, "other_income": null, "person_a_pay": "", "plan_mode": "joint", "targets": {"dining": null, "fuel": 7, "food": 1, "pets": -1}}'),
-        (2, '{"version": 2, "targets": {"medical": 250, "vision": 3}, "cash_goal": 900000000}'),
-        (3, '{"health_mode": "combined", "forecast": {"months": 500, "leave_months": 2}}'),
-    ]
-    states = state.parse(spark.createDataFrame(saved, "scenario_id long, json string"))
-    base = state.scenario(spark, 1, targets={"dining": 5.0, "pets": 6.0})
-    base = base.union(base.withColumn("scenario_id", F.lit(2).cast("long"))).union(base.withColumn("scenario_id", F.lit(3).cast("long"))).union(base.withColumn("scenario_id", F.lit(4).cast("long")))
-    got = {r.scenario_id: r for r in state.merge(base, states).collect()}
-    a, b, c, d = (got[i] for i in (1, 2, 3, 4))
+def merged(spark, *documents, base=None):
+    """The default state of scenario 1 under documents, in turn."""
+    if base is None:
+        base = layers.default_states(spark, spark.createDataFrame([(1,)], "scenario_id long"), "2031-10")
+    return layers.merge_layers(base, *[spark.createDataFrame([(1, d)], "scenario_id long, json string") for d in documents]).first()
+
+
+def test_layers_tell_unknown_from_absent_and_from_wrong(spark):
+    a = merged(spark, '{"version": 4, "otherIncome": null, "personAPay": "", "planMode": "joint", "targets": {"dining": null, "fuel": 7, "food": 1, "student": -1, "cardFee": ""}}')
     assert (a.other_income, a.person_a_pay, a.plan_mode, a.person_b_contribution, a.version) == (None, None, "joint", 2000.0, 4)
-    assert a.targets == {"dining": None, "pets": 6.0, "fuel": 7.0} and not a.audit_notice and not a.health_notice
-    assert b.health_mode == "combined" and b.health_notice and b.audit_notice and b.cash_goal is None and b.other_income == 0.0
-    assert b.targets == {"dining": 5.0, "pets": 6.0, "medical": 250.0, "dental": None, "vision": 3.0, "unclassified": None}
-    assert c.health_mode == "combined" and not c.audit_notice and (c.forecast.months, c.forecast.leave_months) == (None, 2)
-    assert d.other_income == 0.0 and d.targets == {"dining": 5.0, "pets": 6.0} and not d.audit_notice
+    assert (a.targets["fuel"], a.targets["student"], a.targets["cardFee"], "food" in a.targets) == (7.0, 220.0, 10.0, False) and not a.audit_notice
+    b = merged(spark, '{"person_a_pay": "abc", "person_b_contribution": true, "cash_goal": 900000000, "person_a_frequency": "daily", "tab": "none", "checks": {"income": "yes", "baby": true}, "adjustments": {"airfare": 1, "business": true}}')
+    assert (b.person_a_pay, b.person_b_contribution, b.cash_goal, b.person_a_frequency, b.tab, b.checks) == (3000.0, 2000.0, None, "", "overview", {"baby": True})
+    assert tuple(b.adjustments) == (False, True) and not b.audit_notice
+    whole = merged(spark)
+    for text in ("not json", "null", "3", '"text"', "[1]", "", None):
+        assert merged(spark, text) == whole
+
+
+def test_forecasts_merge_field_by_field(spark):
+    f = merged(spark, '{"forecast": {"months": 500, "cashYield": 4, "leaveMonths": 2.5, "babyStart": "2032-13", "childcareStart": "2032-04", "start": null}}').forecast
+    assert (f.months, f.cash_yield, f.leave_months, f.baby_start, f.childcare_start, f.start) == (36, 4.0, 0, "", "2032-04", "2031-10")
+    assert [(o.label, o.amount, o.month) for o in f.oneoffs] == [(n, None, "") for n in ("Home repair", "Celebration", "Family setup")]
+    f = merged(spark, '{"forecast": {"oneoffs": [{"label": "", "amount": -1, "month": "x"}, 3, null, {"label": 7, "amount": "5"}, {"label": "Roof", "amount": 5, "month": "2032-01"}], "debtEnds": {"student": "2031-12", "car": "2031-12", "vehicleB": "x"}}}', '{"forecast": {"months": 60, "debtEnds": {"student": ""}}}').forecast
+    assert [(o.label, o.amount, o.month) for o in f.oneoffs] == [("One-off cost", None, ""), ("7", None, ""), ("Roof", 5.0, "2032-01")]
+    assert f.months == 60 and f.debt_ends == {"vehicleA": "", "student": "", "vehicleB": "", "storeCard": ""}
+    many = ",".join('{"label": "' + "x" * 90 + '"}' for _ in range(30))
+    once = merged(spark, '{"forecast": {"oneoffs": [' + many + "]}}").forecast.oneoffs
+    assert len(once) == 24 and {len(o.label) for o in once} == {80}
+
+
+def test_old_states_are_migrated(spark):
+    r = merged(spark, '{"version": 2, "targets": {"medical": 150, "student": 210, "dining": 125}, "personAPay": 3200, "personAFrequency": "weekly", "currentCash": 2500, "checks": {"income": true}}')
+    assert (r.health_mode, r.health_notice, r.audit_notice, r.person_a_pay, r.current_cash, r.checks) == ("combined", True, True, 3200.0, 2500.0, {"income": True})
+    assert [r.targets[k] for k in ("medical", "dental", "student", "dining", "vision", "unclassified")] == [150.0, None, 210.0, 125.0, None, None]
+    r = merged(spark, '{"version": 3, "targets": {"medical": 1}, "auditBudgetNotice": false}')
+    assert (r.health_mode, r.health_notice, r.audit_notice) == ("separate", False, True)
+    r = merged(spark, '{"version": 4, "healthMode": "combined", "auditBudgetNotice": true, "healthMigrationNotice": true}', '{"version": 4, "tab": "plan"}')
+    assert (r.health_mode, r.health_notice, r.audit_notice, r.tab) == ("separate", True, True, "plan")
+
+
+def test_a_saved_state_round_trips(spark, tmp_path):
+    """What the store keeps is what layers made, notices, points checked and all; a fresh copy projects."""
+    base = layers.default_states(spark, spark.createDataFrame([(1,)], "scenario_id long"), "2031-10")
+    saved = spark.createDataFrame([(1, '{"checks": {"income": true}, "tab": "future", "adjustments": {"airfare": true}, "forecast": {"months": 60}}')], "scenario_id long, json string")
+    state.save(layers.merge_layers(base, saved), str(tmp_path / "s"))
+    r = state.load(spark, str(tmp_path / "s")).first()
+    assert (r.checks, r.tab, r.adjustments.airfare, r.forecast.months) == ({"income": True}, "future", True, 60)
 
 
 def test_lists_of_the_review(spark):
@@ -190,3 +218,7 @@ def test_session(spark):
     r = session.flexible(b.calculate()).first()
     assert (r.flexible_cents, r.tenth_cents) == (50000, 5000)
     assert b.reset().first().person_b_contribution == 2000.0
+    fresh = session.PlanSession(spark).project().first()
+    assert len(fresh.cashes) == 36 and fresh.forecast.start == "2031-10" and fresh.targets["student"] == 220.0
+    rows = spark.createDataFrame([(2040 * 12 + 11,)], "month_idx int")
+    assert session.PlanSession(spark, {"ledger": rows}).get_state().first().forecast.start == "2041-01"
