@@ -107,11 +107,11 @@ def filtered(df: DataFrame, q: LedgerQuery) -> DataFrame:
 
 
 def status(df: DataFrame, q: LedgerQuery) -> Column:
-    """A row's status: the first that holds."""
+    """A row's status: the first that holds. Adjustments exclude spending alone."""
     return (
-        F.when(removed(q), "Scenario exclusion")
+        F.when((F.col("kind") == "spend") & removed(q), "Scenario exclusion")
         .when(_true(df, "needs_category_review"), "Category unresolved")
-        .when(_true(df, "needs_item_review") | _true(df, "needs_scope_review"), "Items/use to review")
+        .when(matches_review(df, "unresolved"), "Items / use to review")
         .otherwise("Category supported")
     )
 

@@ -127,9 +127,9 @@ def changed_ids(df: DataFrame) -> DataFrame:
 
 
 def overview(df: DataFrame, months: list[int], category: str) -> DataFrame:
-    """One row: a category's total and rows in the baseline, the episode, and the average with and without it."""
+    """One row: a category's total and rows in the baseline, its part of the episode, and the average of all spending with and without that."""
     own = (F.col("kind") == "spend") & F.col("month_idx").isin(months)
-    episode = own & flag("nonroutine_dental_episode")
+    episode = (F.col("category") == category) & flag("nonroutine_dental_episode")
     one = df.filter(own).agg(
         _when(own & (F.col("category") == category)).alias("category_cents"),
         F.count_if(own & (F.col("category") == category)).alias("category_rows"),

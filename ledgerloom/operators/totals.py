@@ -148,7 +148,8 @@ def unresolved_merchants(df: DataFrame) -> DataFrame:
 
 
 def category_list(df: DataFrame, basis: str = "category") -> DataFrame:
-    return df.select(F.col(basis).alias("category")).distinct().orderBy("category")
+    """The categories that have spending."""
+    return spend(df).select(F.col(basis).alias("category")).distinct().orderBy("category")
 
 
 def prior_year(df: DataFrame, year: int, through_month: int) -> DataFrame:

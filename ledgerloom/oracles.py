@@ -93,7 +93,7 @@ _add(
 )
 _add(
     "status_counts",
-    """SELECT CASE WHEN reimbursement THEN 'Scenario exclusion' WHEN open_category THEN 'Category unresolved' WHEN open_item THEN 'Items/use to review' ELSE 'Category supported' END AS status, count(*) AS rows
+    """SELECT CASE WHEN kind = 'spend' AND reimbursement THEN 'Scenario exclusion' WHEN open_category THEN 'Category unresolved' WHEN open_item THEN 'Items / use to review' ELSE 'Category supported' END AS status, count(*) AS rows
     FROM ledger GROUP BY 1""",
 )
 _add(
@@ -142,7 +142,7 @@ def _share(rows: str) -> str:
 _add("share_of_max", _share(_by("source_category")))
 _add("trend_heights", _share(f"SELECT CAST(month_idx AS VARCHAR) AS category, {SUM} AS total_cents FROM own GROUP BY 1"))
 _add("unresolved_merchants", f"SELECT merchant, count(*) AS rows, {SUM} AS total_cents FROM own WHERE open_category GROUP BY merchant")
-_add("category_list", "SELECT DISTINCT source_category AS category FROM ledger")
+_add("category_list", "SELECT DISTINCT source_category AS category FROM own")
 _add(
     "category_set_difference",
     """, a AS (SELECT DISTINCT merchant AS value FROM ledger WHERE date BETWEEN DATE '1998-06-01' AND DATE '1998-06-30'),
@@ -180,7 +180,7 @@ _add(
 _add(
     "overview",
     f"""SELECT *, {js_round("(CAST(spending_cents AS DOUBLE) / 3)")} AS average_cents, {js_round("(CAST(spending_cents - episode_cents AS DOUBLE) / 3)")} AS average_without_cents FROM (
-      SELECT {_if("category = 'ECONOMY'")} AS category_cents, count(*) FILTER (WHERE category = 'ECONOMY') AS category_rows, {_if("episode")} AS episode_cents, {_if("true")} AS spending_cents FROM own WHERE {QUARTER})""",
+      SELECT {_if("category = 'ECONOMY'")} AS category_cents, count(*) FILTER (WHERE category = 'ECONOMY') AS category_rows, {_if("category = 'ECONOMY' AND episode")} AS episode_cents, {_if("true")} AS spending_cents FROM own WHERE {QUARTER})""",
 )
 _add("source_rollup", 'SELECT source, count(*) AS rows, (SELECT min(date) FROM ledger) AS start, (SELECT max(date) FROM ledger) AS "end" FROM ledger GROUP BY source')
 _add(

@@ -288,7 +288,7 @@ def unresolved_merchants(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def category_list(spark: SparkSession, d: str) -> DataFrame:
-    return totals.category_list(ledger(spark, d, ["source_category"]), "source_category")
+    return totals.category_list(ledger(spark, d, ["kind", "source_category"]), "source_category")
 
 
 @query

@@ -152,11 +152,24 @@ def test_reviews_names_and_status(spark):
     needs = df.withColumns({"needs_category_review": F.col("id") == "0", "needs_item_review": F.when(F.col("id") == "1", True), "needs_scope_review": F.lit(None).cast("boolean")})
     assert needs.filter(matches_review(needs, "unresolved")).count() == 2
     got = [r[0] for r in needs.select(status(needs, LedgerQuery(business=True))).collect()]
-    assert got == ["Category unresolved", "Items/use to review", "Category supported", "Scenario exclusion", "Category supported"]
+    assert got == ["Category unresolved", "Items / use to review", "Category supported", "Scenario exclusion", "Category supported"]
     shown = df.withColumns({"direction": F.lit("outbound"), "kind": F.when(F.col("id") == "0", "transfer").otherwise("spend"), "evidence_summary": F.lit("")})
     assert [tuple(r) for r in shown.select(signed_amount(), evidence_text("none")).collect()][::4] == [(-100, "none"), (500, "Fine <print>")]
 
 
+def test_adjustments_and_episodes_are_of_spending_in_the_category(spark):
+    """A flagged income row, a flagged row of another category, and a category without spending."""
+    df = small(
+        spark, ("2031-09", 7, {"category": "Dental", "flags": ["nonroutine_dental_episode"]}), ("2031-09", 5, {"category": "Food", "flags": ["nonroutine_dental_episode", "business_candidate"]}),
+        ("2031-09", 9, {"kind": "income", "category": "Payroll", "flags": ["business_candidate"]}), ("2031-09", 3, {"kind": "income", "category": "Dental", "flags": ["nonroutine_dental_episode"]}),
+    )
+    labels = [r[0] for r in df.select(status(df, LedgerQuery(business=True))).collect()]
+    assert labels == ["Category supported", "Scenario exclusion", "Category supported", "Category supported"]
+    r = rollup.overview(df, [2031 * 12 + 8], "Dental").first()
+    assert (r.category_cents, r.category_rows, r.episode_cents, r.spending_cents, r.average_without_cents) == (700, 1, 700, 1200, 500)
+    assert [r.category for r in totals.category_list(df).collect()] == ["Dental", "Food"]
+
+
 def test_pages_tops_and_groups(spark):
     df = small(spark, *[("2031-09", k, {"category": f"c{k % 9}", "merchant": f"m{k % 2}"}) for k in range(65)])
     last = totals.page(df, [F.col("amount_cents").desc()], 99).collect()
