@@ -58,6 +58,12 @@ THREAT = 1.0
 _END = r"[.,;:!?…]+[\"'”»)\]]*$"
 _REPORTING = rf"(?i)^(?:{'|'.join(REPORTS)})[,:]$"
 _CORE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_BETWEEN = r"[^\p{L}\p{Nl}\p{No}]+"
+
+
+def folded(words: pa.Array) -> pa.Array:
+    """Tokens in lower case, letter by letter, a final sigma as any other: the one way that entries and texts are compared in."""
+    return pc.replace_substring(pc.utf8_lower(words), "ς", "σ")
 
 
 @dataclass(frozen=True)
@@ -181,15 +187,19 @@ class Model:
     bias: float
 
     def __post_init__(self):
+        fold = lambda entries: dict(zip(folded(pa.array(list(entries), pa.string())).to_pylist(), entries.values(), strict=True))
+        self.words, self.stems = fold(self.words), fold(self.stems)
         self._sizes = sorted({len(s) for s in self.stems})
-        starts = sorted({*self.words, *self.stems, *THREATS})
-        # short lists go through Arrow; a word that holds none of the starts is no hit
-        self._any = "|".join(map(re.escape, starts)) if len(starts) <= 500 else None
-
-    def symbol(self, token: str) -> list[tuple[str, float]]:
-        """A token's symbols, in order."""
+        # what a token's run of letters must be or begin with, for the token to hold an entry
+        run = lambda entry: re.split("['’]", entry)[0]
+        whole = {run(e) for e in (*self.words, *THREATS, *(s for s in self.stems if run(s) != s))}
+        self._whole = pa.array(sorted(whole), pa.string())
+        self._starts = {k: pa.array(sorted(s for s in self.stems if len(s) == k and run(s) == s), pa.string()) for k in self._sizes}
+
+    def symbol(self, token: str, low: str) -> list[tuple[str, float]]:
+        """A token's symbols, in order. low: the token, folded."""
         out = [("Q", 0.0)] if token[:1] in QUOTES and len(token) > 1 else []
-        for core in _CORE.findall(token.lower()):
+        for core in _CORE.findall(low):
             weight = self.words.get(core, 0.0)
             if self.stems:
                 weight = max([weight, *(self.stems[core[:k]] for k in self._sizes if k <= len(core) and core[:k] in self.stems)])
@@ -204,13 +214,21 @@ class Model:
         return out
 
     def hits(self, words: pa.Array) -> np.ndarray:
-        """Which of the different tokens hold an insult or threat."""
+        """Which of the different tokens hold an insult or threat.
+
+        Their runs of letters are looked up in Arrow, in the same way for a lexicon of any size;
+        the tokens that are left are read whole.
+        """
         out = np.zeros(len(words), bool)
-        maybe = np.arange(len(words))
-        if self._any is not None:
-            maybe = np.flatnonzero(pc.match_substring_regex(pc.utf8_lower(words), self._any).to_numpy(zero_copy_only=False))
-        some = words.take(pa.array(maybe)).to_pylist()
-        out[maybe] = [any(s in "IH" for s, _ in self.symbol(w)) for w in some]
+        low = folded(words)
+        runs = pc.split_pattern_regex(low, _BETWEEN)
+        each, of = runs.flatten(), np.asarray(pc.list_parent_indices(runs))
+        found = pc.is_in(each, self._whole).to_numpy(zero_copy_only=False)
+        for k, starts in self._starts.items():
+            found |= pc.is_in(pc.utf8_slice_codeunits(each, 0, k), starts).to_numpy(zero_copy_only=False)
+        maybe = np.unique(of[found])
+        at = pa.array(maybe, pa.int64())
+        out[maybe] = [any(s in "IH" for s, _ in self.symbol(w, x)) for w, x in zip(words.take(at).to_pylist(), low.take(at).to_pylist(), strict=True)]
         return out
 
 
@@ -251,7 +269,7 @@ def features(model: Model, texts: pa.Array) -> np.ndarray:
         own = codes[start : stop + 1].tolist()
         for k in own:
             if k not in symbols:
-                symbols[k] = model.symbol(words[k].as_py())
+                symbols[k] = model.symbol(words[k].as_py(), folded(words.slice(k, 1))[0].as_py())
         if found := clause_match([s for k in own for s in symbols[k]]):
             out[row, found[0]] += found[1]
     out[:, -1] = out[:, :-1] @ PRIOR
@@ -290,7 +308,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def _plain(codes: np.ndarray, at: np.ndarray, words: pa.Array) -> np.ndarray:
     """Which tokens stand outside the reach of a negation, a reporting word and quotes, in their clause."""
     own = words.to_pylist()
-    cores = [[c for c in _CORE.findall(w.lower()) if c in _MARKS] for w in own]
+    cores = [[c for c in _CORE.findall(w) if c in _MARKS] for w in folded(words).to_pylist()]
     negates = np.array([any(_MARKS[c] == "N" for c in x) for x in cores] or [False])[codes]
     reports = np.array([any(_MARKS[c] == "R" for c in x) for x in cores] or [False])[codes]
     quotes = np.array([sum(w.count(q) for q in QUOTES) for w in own] or [0], np.int64)
@@ -312,7 +330,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in slices(batch):
             codes, at, words = tokens_of(rows.column("text"))
-            cores = [set(_CORE.findall(w.lower())) for w in words.to_pylist()]
+            cores = [set(_CORE.findall(w)) for w in folded(words).to_pylist()]
             names: dict[str, int] = {}
             flat = np.array([names.setdefault(c, len(names)) for x in cores for c in x], np.int64)
             sizes = np.array([len(x) for x in cores], np.int64)

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from helpers import AWKWARD, docs
 
-from ledgerloom.llm.toxicity import PATTERNS, WIDTH, Model, Settings, clause_match, features, learn, scored, toxicity_scores, without_toxic
+from ledgerloom.llm.toxicity import PATTERNS, WIDTH, Model, Settings, _count_words, clause_match, features, folded, learn, scored, toxicity_scores, without_toxic
 
 
 def match(*symbols):
@@ -138,3 +138,35 @@ def test_awkward_rows(spark):
         assert {r.held_out for r in got if r.doc_id is None} == {False}
     assert toxicity_scores(docs(spark, []), known).count() == 0
     assert scored(docs(spark, AWKWARD), model()).count() == len(AWKWARD)
+
+
+def test_scores_do_not_depend_on_the_size_of_the_lexicon():
+    """Entries that a text doesn't hold change nothing, whatever the case of its letters."""
+    few = {"μαλάκας": 2.0, "istanbullu": 1.5, "ışık": 1.0, "l'idiot": 2.5, "fôl": 1.0}
+    stems = {"trott": 1.2, "d'imbéc": 0.8}
+    many = few | {f"zz{chr(97 + i % 26)}{chr(97 + i // 26)}q": 1.0 for i in range(600)}
+    texts = ["ΜΑΛΆΚΑΣ!", "μαλάκας", "you are İSTANBULLU", "ISTANBULLU", "IŞIK ışık", "L'Idiot.", "“l’idiot”", "TROTTEL, trotten", "d'imbécile", "not fôl", "clean text", "", "idiot's", "x-fôl-y 5fôl"]
+    small, large = (Model(w, stems, np.ones(WIDTH), 0.0) for w in (few, many))
+    got = features(small, pa.array(texts))
+    assert (got == features(large, pa.array(texts))).all()
+    assert (got[:2, -1] > 0).all() and got[0].tolist() == got[1].tolist() and got[3, -1] > 0 and (got[10:12] == 0).all() and got[5, -1] > 0 and got[7, -1] > 0
+    none = Model(few, stems, np.ones(WIDTH), 0.0)
+    words = pa.array([t for x in texts for t in x.split()])
+    want = [any(s in "IH" for s, _ in none.symbol(w, f)) for w, f in zip(words.to_pylist(), folded(words).to_pylist(), strict=True)]
+    assert none.hits(words).tolist() == want
+
+
+def test_learned_counts_against_plain_ones(spark):
+    """Documents by label in which a word stands outside negation, report and quotes in its clause."""
+    rows = [
+        ("you are an Idiot. fine day", 1), ("idiot idiot, day", 1), ("he said idiot. day", 0), ("not an idiot. Day!", 0), ('"idiot" day', 0), ("nice day\nidiot", 1),
+        ("no. idiot day", 0), ("", 0), ("IDIOT", 1), ("idiot's day", 0),
+    ]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([x for _, x in rows])], names=["text", "toxic"])
+    got = {}
+    for b in _count_words(iter([batch])):
+        for r in b.to_pylist():
+            old = got.get(r["word"], (0, 0))
+            got[r["word"]] = (old[0] + r["toxic_docs"], old[1] + r["other_docs"])
+    assert got["idiot"] == (4, 1) and got["idiot's"] == (0, 1)
+    assert got["day"] == (3, 5)
