@@ -71,13 +71,14 @@ def text_of(column: str = "text") -> Column:
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Adds `out`: a gapless number from 0 for the rows of each key.
 
-    Each key's rows are dealt to salted buckets, numbered there, and shifted by the
-    sizes of the buckets before, so that a key with a third of all rows is no task's
-    work alone. `df` is read twice and should be a written table. The sizes are
-    (keys x buckets) rows and are joined back by an ordinary shuffle or broadcast.
+    Rows are dealt to salted buckets in the order in which they are read, whatever they hold, and
+    written with their bucket; each key's buckets are numbered for themselves and shifted by the
+    sizes of those before, so that neither a key with a third of all rows nor a third of equal rows is
+    one task's work. The sizes are (keys x buckets) rows and are joined back by an ordinary
+    shuffle or broadcast.
     """
     n = partitions(df.sparkSession)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    salted = written(df.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")), "salted")
     sizes = salted.groupBy(*keys, "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(*keys, "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))

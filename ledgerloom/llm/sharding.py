@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import free_names, numbered, written
+from ledgerloom.llm.common import free_names, numbered
 
 
 @dataclass(frozen=True)
@@ -97,6 +97,5 @@ def sharded(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     crc = F.crc32(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8"))
     rows = df.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"))
     rows = assign_shards(assign_shards(rows, tree), tree.grown(), out="grown_shard")
-    rows = written(rows, "shards")
     rows = numbered(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -6,6 +6,7 @@ from collections import Counter
 from helpers import AWKWARD, docs
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import numbered
 from ledgerloom.llm.sharding import Tree, assign_shards, sharded
 
 
@@ -77,3 +78,14 @@ def test_zero_weight_and_empty(spark):
     got = {r.s for r in assign_shards(ids, Tree((((0, 1), (0,)), ((0,),))), out="s").collect()}
     assert got == {1}
     assert sharded(docs(spark, [])).count() == 0
+
+
+def test_equal_rows_are_numbered_in_many_buckets(spark):
+    """Of rows a third of which are the same, with a null id, no bucket holds much more than its part."""
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id", "CAST(1 AS INT) AS shard").repartition(4)
+    out = numbered(df, ["shard"], ["doc_id"], "slot")
+    assert sorted(r.slot for r in out.collect()) == list(range(3000))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    path = next(f for f in out.inputFiles()).rsplit("/", 1)[0]
+    most = spark.read.parquet(path).groupBy("__salt").count().agg({"count": "max"}).first()[0]
+    assert most < 3 * 3000 / 8 and "__salt" in plan
