@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import js_round
 from ledgerloom.operators.predicates import evidence_text, filtered, flag, LedgerQuery, matches_kind, matches_review, named, removed
+from ledgerloom.operators.ranges import at_positions, ranked
 
 
 def _cents(c: Column) -> Column:
@@ -43,20 +44,15 @@ def counters(df: DataFrame, q: LedgerQuery) -> DataFrame:
 
 
 def merchant_groups(df: DataFrame, basis: str = "category") -> DataFrame:
-    """Spending by category and merchant: totals, counts, rows to review, both levels largest first."""
+    """Spending by category and merchant: totals, counts, rows to review, both levels largest first.
+
+    Merchants are ranked in ranges of their totals, so that no category is one task's work.
+    """
     rows = spend(df)
     flat = rows.groupBy(named(basis).alias("category"), "merchant").agg(F.sum("amount_cents").cast("long").alias("total_cents"), F.count(F.lit(1)).alias("rows"), F.count_if(matches_review(rows, "unresolved")).alias("review_rows"))
-    inside = Window.partitionBy("category")
-    return flat.select(
-        "category",
-        F.sum("total_cents").over(inside).cast("long").alias("category_cents"),
-        F.sum("rows").over(inside).cast("long").alias("category_rows"),
-        "merchant",
-        "total_cents",
-        "rows",
-        "review_rows",
-        F.row_number().over(inside.orderBy(F.col("total_cents").desc(), "merchant")).alias("place"),
-    )
+    own = flat.groupBy("category").agg(F.sum("total_cents").cast("long").alias("category_cents"), F.sum("rows").cast("long").alias("category_rows")).withColumnRenamed("category", "__of")
+    whole = ranked(flat, "category", "total_cents", "merchant", "place").join(own, F.col("category") == F.col("__of"))
+    return whole.select("category", "category_cents", "category_rows", "merchant", "total_cents", "rows", "review_rows", "place")
 
 
 def nested_merchant_groups(df: DataFrame, basis: str = "category") -> DataFrame:
@@ -97,11 +93,14 @@ def month_drill(df: DataFrame, q: LedgerQuery) -> DataFrame:
     return rows.groupBy("month_idx").agg(F.sum("amount_cents").cast("long").alias("total_cents"), F.count(F.lit(1)).alias("rows")).orderBy(F.col("month_idx").desc())
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int = 30) -> DataFrame:
-    """Page `number` from 1 of the sorted rows; past the end, the last page."""
+def page(df: DataFrame, order: list[Column], number: int, size: int = 30, parts: list[tuple[Column, bool]] | None = None, most: int = 100_000) -> DataFrame:
+    """Page `number` from 1 of the sorted rows; past the end, the last page.
+
+    With `parts`, coarse columns that follow the order, a page costs the same at any depth (`ranges.at_positions`).
+    """
     n = df.count()
     last = max(1, -(-n // size))
-    return df.orderBy(*order).offset((min(max(number, 1), last) - 1) * size).limit(size)
+    return at_positions(df, order, parts or [], (min(max(number, 1), last) - 1) * size, size, most)
 
 
 def top_and_other(totals: DataFrame, n: int, other: str = "All other categories") -> DataFrame:

@@ -91,6 +91,12 @@ _add(
       SELECT *, row_number() OVER (ORDER BY date DESC, id, merchant, category, kind, amount_cents) - 1 AS place, greatest(1, (count(*) OVER () + 29) // 30) AS pages FROM ledger WHERE month_idx = {JUNE}
     ) WHERE place // 30 = least(3, pages) - 1""",
 )
+_add(
+    "ledger_last_page",
+    """SELECT id, date, merchant, category, kind, amount_cents FROM (
+      SELECT *, row_number() OVER (ORDER BY date DESC, id, merchant, category, kind, amount_cents) - 1 AS place, count(*) OVER () AS n FROM ledger
+    ) WHERE place >= ((n - 1) // 30) * 30""",
+)
 _add(
     "status_counts",
     """SELECT CASE WHEN kind = 'spend' AND reimbursement THEN 'Scenario exclusion' WHEN open_category THEN 'Category unresolved' WHEN open_item THEN 'Items / use to review' ELSE 'Category supported' END AS status, count(*) AS rows

@@ -111,11 +111,25 @@ def kind_excluded(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount_cents").cast("long").alias("total_cents"))
 
 
+PAGE_COLUMNS = ["id", "date", "merchant", "category", "kind", "amount_cents"]
+
+
+def _page(rows: DataFrame, number: int) -> DataFrame:
+    """A page, latest first; it is looked up by dates, then by ever longer beginnings of ids."""
+    order = [F.col("date").desc(), *map(F.col, ("id", "merchant", "category", "kind", "amount_cents"))]
+    parts = [(F.col("date"), True), *[(F.substring("id", 1, n), False) for n in (2, 4, 6, 8)]]
+    return totals.page(rows, order, number, parts=parts)
+
+
 @query
 def ledger_page(spark: SparkSession, d: str) -> DataFrame:
-    rows = _month(spark, d, ["id", "date", "merchant", "category", "kind", "amount_cents"])
-    order = [F.col("date").desc(), *map(F.col, ("id", "merchant", "category", "kind", "amount_cents"))]
-    return totals.page(rows, order, 3)
+    return _page(_month(spark, d, PAGE_COLUMNS), 3)
+
+
+@query
+def ledger_last_page(spark: SparkSession, d: str) -> DataFrame:
+    """The last page of all rows."""
+    return _page(ledger(spark, d, PAGE_COLUMNS), 10**9)
 
 
 @query

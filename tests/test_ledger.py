@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import compare, quality, rollup, totals
+from ledgerloom.operators import compare, quality, ranges, rollup, totals
 from ledgerloom.operators.predicates import LedgerQuery, evidence_text, filtered, matches_review, signed_amount, status
 from ledgerloom.sources import sample
 
@@ -188,3 +188,34 @@ def test_empty_ledger(spark):
     assert totals.summary(df, LedgerQuery()).first().spending_cents == 0
     assert compare.compare_month(df, covered(spark, *SUMMER), "2031-09", 3).count() == 0
     assert totals.page(df, [F.col("id")], 1).count() == 0
+
+
+def test_pages_at_any_depth(spark):
+    """Every page equals that of a plain sort, over hot dates and ids of one beginning; the last reads few rows."""
+    dates = [date(2031, 9, 1)] * 60 + [date(2031, 9, d) for d in range(2, 12)] * 3 + [None] * 5
+    rows = [(f"a{k % 7}{k:03}", x) for k, x in enumerate(dates)]
+    df = spark.createDataFrame(rows, "id string, date date").repartition(5)
+    order = [F.col("date").desc(), F.col("id").asc()]
+    parts = [(F.col("date"), True), (F.substring("id", 1, 2), False), (F.substring("id", 1, 3), False)]
+    want = [tuple(r) for r in df.orderBy(*order).collect()]
+    for most in (3, 1000):
+        got = [[tuple(r) for r in totals.page(df, order, n, 7, parts, most).collect()] for n in range(1, 16)]
+        assert got == [want[i : i + 7] for i in range(0, 95, 7)] + [want[91:]]
+    plan = totals.page(df, order, 99, 7, parts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "date" in plan and "<=>" in plan or "isnull" in plan  # of the last range alone
+
+
+def test_places_in_ranges_are_those_of_one_window(spark):
+    """A category with most merchants, many of them equal, and negative totals."""
+    from pyspark.sql import Window
+
+    rows = [("hot", f"m{k:04}", (k * 7919) % 500 - 50 if k % 3 else 25) for k in range(900)] + [("cold", "x", -3), (None, "y", 0), (None, "z", 5), ("hot", "big", 10**13)]
+    df = spark.createDataFrame(rows, "category string, merchant string, total_cents long")
+    got = sorted(map(tuple, ranges.ranked(df, "category", "total_cents", "merchant", "place").collect()), key=str)
+    plain = F.row_number().over(Window.partitionBy("category").orderBy(F.col("total_cents").desc(), "merchant"))
+    assert got == sorted(map(tuple, df.withColumn("place", plain).collect()), key=str)
+    plan = ranges.ranked(df, "category", "total_cents", "merchant", "place")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [row_number" in x]
+    assert windows and all("__part" in x for x in windows)
+    spread = df.select(ranges.log_range(F.col("total_cents")).alias("p"), "total_cents").orderBy("total_cents").collect()
+    assert [r.p for r in spread] == sorted(r.p for r in spread)
