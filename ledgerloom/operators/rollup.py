@@ -13,11 +13,11 @@ def _when(c: Column, sign: int = 1) -> Column:
     return F.coalesce(F.sum(F.when(c, F.col("amount_cents") * sign)), F.lit(0)).cast("long")
 
 
-#: Every measure of a month, in one pass; the last is spending straight from the bank.
-def _measures(card: str, bank: str) -> dict[str, Column]:
+def _measures(card: str, bank: str, counted: bool = False) -> dict[str, Column]:
+    """Every measure of a month, in one pass. counted: rows are partial sums and say of how many rows."""
     own = F.col("kind") == "spend"
     return {
-        "transaction_count": F.count(F.lit(1)),
+        "transaction_count": F.sum("rows").cast("long") if counted else F.count(F.lit(1)),
         "spending_cents": _when(own),
         "payroll_cents": _when(F.col("kind") == "income"),
         "debt_payments_cents": _when(F.col("kind") == "debt_payment"),
@@ -31,8 +31,8 @@ def _measures(card: str, bank: str) -> dict[str, Column]:
 
 
 def monthly(df: DataFrame, card: str, bank: str) -> DataFrame:
-    """One row a month with its measures."""
-    return df.groupBy("month_idx").agg(*[c.alias(n) for n, c in _measures(card, bank).items()]).orderBy("month_idx")
+    """One row a month with its measures, of ledger rows or of a kept rollup's."""
+    return df.groupBy("month_idx").agg(*[c.alias(n) for n, c in _measures(card, bank, "rows" in df.columns).items()]).orderBy("month_idx")
 
 
 def monthly_with_maps(df: DataFrame, card: str, bank: str) -> DataFrame:

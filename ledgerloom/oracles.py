@@ -261,6 +261,12 @@ def _compared(lookback: int) -> tuple[str, str]:
 
 for _n in (3, 6, 12):
     _add(f"compare_{_n}m", "\n".join(_compared(_n)))
+ORACLES["kept_compare"] = ORACLES["compare_12m"]
+_add(
+    "kept_monthly",
+    "SELECT month_idx, count(*) AS transaction_count, " + ", ".join(f"{_if(c)} AS {n}" for n, c in _MEASURES.items()) + f""", -{_if("kind = 'spend' AND amount_cents < 0")} AS refunds_cents,
+    CAST(sum(amount_cents) FILTER (WHERE kind = 'spend') AS BIGINT) AS categories_cents FROM ledger GROUP BY month_idx""",
+)
 _add(
     "compare_summary",
     f"""{_window(12, "NOT reimbursement")}

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom import session
 from ledgerloom.functions.scalars import first_day, js_round, money, month_from_index, month_index, month_label, month_text, percent_text, pretty
-from ledgerloom.operators import compare, quality, rollup, totals
+from ledgerloom.operators import compare, kept, quality, rollup, totals
 from ledgerloom.operators.predicates import LedgerQuery, evidence_text, filtered, matches_kind, matches_review, signed_amount, status
 from ledgerloom.plans import layers, plan, project
 from ledgerloom.scenarios import FORECAST_START, PLAN_TARGETS, documents, scenarios
 from ledgerloom.sources.driver_tables import coverage, ledger, sources, table
+from ledgerloom.sources.shared import shared_path
 from ledgerloom.streaming.windows import windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -389,12 +390,39 @@ def merged_states(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+KEPT_COLUMNS = [*CORE, "month_idx", "source", "category", "source_category"]
+
+
+def _kept(spark: SparkSession, d: str, cuts: tuple[date, ...] = (START, date(1998, 6, 16))) -> DataFrame:
+    """The kept rollup of the ledger, which arrives in parts cut at some days."""
+    path = shared_path(spark, "rollup")
+    for start, end in zip((None, *cuts), (*cuts, None), strict=True):
+        kept.append(ledger(spark, d, KEPT_COLUMNS, start, end), path)
+    return kept.read(spark, path)
+
+
+@query
+def kept_monthly(spark: SparkSession, d: str) -> DataFrame:
+    whole = rollup.monthly_with_maps(_kept(spark, d), "F", "O")
+    return whole.drop("categories_cents", "source_categories_cents").join(whole.select("month_idx", rollup.map_total("categories_cents").alias("categories_cents")), "month_idx")
+
+
+@query
+def kept_compare(spark: SparkSession, d: str) -> DataFrame:
+    """The month against its usual, of partial sums instead of rows."""
+    rows = _kept(spark, d)
+    months = rows.select("month_idx").distinct().withColumn("covered", F.col("month_idx") % 7 != 0)
+    return compare.compare_month(rows, months, MONTH, 12)
+
+
 @query
 def dq_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger's rows against its kept rollup."""
     rows = ledger(spark, d, [*CORE, "id", "merchant", "source", "category", "month_idx", "needs_category_review", "needs_item_review", "evidence_basis"])
-    counted = rows.groupBy("month_idx").agg(F.count(F.lit(1)).alias("transaction_count"))
-    stored = counted.join(quality.category_map(rows, ["month_idx"]), "month_idx", "left").withColumn("covered", F.col("month_idx") % 7 != 0)
-    recent = _baseline(spark, d, [*CORE, "category"])
+    held = _kept(spark, d, ())
+    counted = held.groupBy("month_idx").agg(F.sum("rows").alias("transaction_count"))
+    stored = counted.join(quality.category_map(held, ["month_idx"]), "month_idx", "left").withColumn("covered", F.col("month_idx") % 7 != 0)
+    recent = held.filter(F.col("month_idx").isin(BASELINE))
     episode = recent.agg(F.coalesce(F.sum(F.when(F.array_contains("flags", "nonroutine_dental_episode"), F.col("amount_cents"))), F.lit(0)).alias("episode_cents"))
     quarter = quality.category_map(recent, []).crossJoin(episode)  # a row each
     return quality.checks(rows, stored, ("spend", "income", "card_payment"), ("O", "F"), BASELINE, quarter, "Supplier")

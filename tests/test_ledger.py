@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import compare, quality, ranges, rollup, totals
+from ledgerloom.operators import compare, kept, quality, ranges, rollup, totals
 from ledgerloom.operators.predicates import LedgerQuery, evidence_text, filtered, matches_review, signed_amount, status
 from ledgerloom.sources import sample
 
@@ -219,3 +219,37 @@ def test_places_in_ranges_are_those_of_one_window(spark):
     assert windows and all("__part" in x for x in windows)
     spread = df.select(ranges.log_range(F.col("total_cents")).alias("p"), "total_cents").orderBy("total_cents").collect()
     assert [r.p for r in spread] == sorted(r.p for r in spread)
+
+
+def test_checks_read_the_ledger_once(spark, ledger, tmp_path):
+    ledger.withColumn("evidence_basis", F.lit("synthetic_fixture")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    stored = spark.createDataFrame([(1, 1, 1, {"a": 1}, True)], "month_idx int, transaction_count long, spending_cents long, categories_cents map<string,long>, covered boolean")
+    quarter = spark.createDataFrame([(1, {"a": 1}, 0)], "spending_cents long, categories_cents map<string,long>, episode_cents long")
+    plan = quality.checks(rows, stored, ("spend",), ("sample-bank",), [], quarter)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_a_kept_rollup_follows_its_ledger(spark, ledger, tmp_path):
+    """Appended in parts, in any order, it is that of all rows at once; months without new rows stay as written."""
+    path, whole = str(tmp_path / "kept"), str(tmp_path / "whole")
+    last = sample.FIRST_MONTH + 23
+    files = lambda m: sorted(p.name for p in (tmp_path / "kept" / f"month_idx={m}").glob("*.parquet"))
+    assert len(kept.append(ledger.filter("day(date) > 9"), path)) == 24
+    before = files(last - 5), files(last)
+    assert kept.append(ledger.filter(f"day(date) <= 9 AND month_idx = {last}"), path) == [last]
+    assert (files(last - 5), files(last) != before[1]) == (before[0], True)
+    assert len(kept.append(ledger.filter(f"day(date) <= 9 AND month_idx < {last}"), path)) == 23
+    assert kept.append(ledger.limit(0), path) == []
+    kept.append(ledger, whole)
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(kept.read(spark, path)) == rows(kept.read(spark, whole))
+    held = kept.read(spark, path)
+    for of in (lambda df: rollup.monthly(df, "sample-card", "sample-bank"), lambda df: compare.compare_month(df, sample.months(spark), "2031-09", 3), lambda df: totals.summary(df, LedgerQuery(airfare=True)).drop("rows")):
+        assert rows(of(held)) == rows(of(ledger))
+    broken = held.withColumn("amount_cents", F.col("amount_cents") + (F.col("month_idx") == last).cast("int"))
+    assert rows(rollup.monthly(broken, "sample-card", "sample-bank")) != rows(rollup.monthly(ledger, "sample-card", "sample-bank"))
+    bad = ledger.withColumn("amount_cents", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        kept.append(bad, path)
+    assert rows(kept.read(spark, path)) == rows(kept.read(spark, whole))
