@@ -420,8 +420,15 @@ for _mode in ("household", "joint"):
     FROM rooms WHERE plan_mode = '{_mode}'"""
 ORACLES["months_to_goal"] = f"""WITH {PLANS}
     SELECT scenario_id, CASE WHEN current_cash >= cash_goal THEN 0 WHEN emergency_fund > 0 THEN CAST(ceil((cash_goal - current_cash) / CAST(emergency_fund AS DOUBLE)) AS BIGINT) END AS months_to_goal FROM rooms"""
-_LINES = [("Income", "income"), ("Expenses", "expense"), ("Planned savings", "savings"), ("Room now", "current_room"), ("Baby costs", "baby"), ("Leave reduction", "reduction"), ("Room later", "future_room")]
-ORACLES["plan_breakdown"] = f"WITH {PLANS}\n" + " UNION ALL ".join(f"SELECT scenario_id, CAST({i} AS INTEGER) AS line, '{label}' AS label, {c} AS cents FROM rooms" for i, (label, c) in enumerate(_LINES))
+_LINES = [
+    ("CASE WHEN whole THEN 'Household take-home' ELSE 'Joint funding' END", "income"), ("'Spending + debt targets'", "expense"), ("'Savings allocations'", "savings"), ("'Current unassigned'", "current_room"),
+    ("'Childcare + baby costs entered'", "baby"), ("'Leave income reduction entered'", "reduction"), ("'Baby + leave what-if, before timing'", "future_room"),
+]
+ORACLES["plan_breakdown"] = f"WITH {PLANS}\n" + " UNION ALL ".join(f"SELECT scenario_id, CAST({i} AS INTEGER) AS line, {label} AS label, {c} AS cents FROM rooms" for i, (label, c) in enumerate(_LINES))
+ORACLES["goal_status"] = f"""WITH {PLANS}
+    SELECT scenario_id, CASE WHEN months IS NOT NULL AND months = 0 THEN 'covered' WHEN months > 0 THEN 'reached' WHEN gap IS NULL THEN 'inputs_open' ELSE 'no_contribution' END AS status, months,
+           CASE WHEN months > 0 THEN gap END AS remaining_cents, CASE WHEN months > 0 THEN emergency_fund END AS contribution_cents
+    FROM (SELECT *, cash_goal - current_cash AS gap, CASE WHEN cash_goal - current_cash <= 0 THEN 0 WHEN emergency_fund > 0 THEN CAST(ceil((cash_goal - current_cash) / CAST(emergency_fund AS DOUBLE)) AS BIGINT) END AS months FROM rooms)"""
 
 _AT = "(start_idx + i)"
 _LEAVE = f"CASE WHEN {_AT} >= leave_idx AND {_AT} < leave_idx + leave_months THEN reduction ELSE 0 END"
@@ -465,17 +472,19 @@ SELECT scenario_id, nullif(last, -9999999999) AS end_cash, first_deficit, first_
 FROM ends JOIN plans USING (scenario_id)"""
 
 _WARNINGS = [
-    ("health_mode = 'combined'", "'Your medical + dental target is still combined and may include the unusual dental episode. Use the split control to separate it without changing the total.'"),
-    ("health_mode <> 'combined'", "'The Dental’s observed average is a historical comparison, not a recurring bill. Its future reserve starts unset. Review your target against future dental needs; the unusual episode remains in actual spending.'"),
-    ("NOT whole AND known_times IS NULL", "'Illustrative joint month: two checks for Person A are assumed only for this scenario. The actual pay frequency remains unconfirmed.'"),
-    ("NOT whole", f"concat('Person B’s joint contribution is entered as ', {_money('person_b_contribution')}, '/month. This is a fictitious contribution input, not full take-home pay.')"),
-    (f"{_count([*_MISSING, *_BLANK, *_MORE])} > 0", f"concat('Still to set or verify: ', replace({_labels([*_MISSING, *_BLANK, *_MORE])}, '|', '; '), '.')"),
-    ("allocation_deficit > 0", f"concat('The personal allocation falls ', {_money('allocation_deficit')}, ' short of the entered vehicle and education-loan payments.')"),
-    (f"{_known('person_a_allocation')} > {_known('person_a_pay')}", "'Personal allocation cannot exceed net pay per check.'"),
-    ("income_basis = 'average'", "'Annual monthly averages include extra-paycheck months. Ordinary months may have less cash.'"),
-    ("future_room < 0", f"concat('The untimed baby + leave what-if is short by ', {_money('-future_room')}, ' per month, before missing costs.')"),
+    ("health_mode = 'combined'", "health_target_combined", "NULL", "NULL"),
+    ("health_mode <> 'combined'", "dental_average_is_history", "NULL", "NULL"),
+    ("NOT whole AND known_times IS NULL", "two_checks_assumed", "NULL", "NULL"),
+    ("NOT whole", "contribution_entered", "person_b_contribution", "NULL"),
+    (f"{_count([*_MISSING, *_BLANK, *_MORE])} > 0", "inputs_open", "NULL", f"replace({_labels([*_MISSING, *_BLANK, *_MORE])}, '|', '; ')"),
+    ("allocation_deficit > 0", "allocation_short_of_debts", "allocation_deficit", "NULL"),
+    (f"{_known('person_a_allocation')} > {_known('person_a_pay')}", "allocation_above_pay", "NULL", "NULL"),
+    ("income_basis = 'average'", "average_has_extra_checks", "NULL", "NULL"),
+    ("future_room < 0", "later_room_short", "-future_room", "NULL"),
 ]
-ORACLES["plan_warnings"] = f"WITH {PLANS}\n" + " UNION ALL ".join(f"SELECT scenario_id, CAST({i} AS INTEGER) AS ord, {text} AS warning FROM rooms WHERE {c}" for i, (c, text) in enumerate(_WARNINGS))
+ORACLES["plan_warnings"] = f"WITH {PLANS}\n" + " UNION ALL ".join(
+    f"SELECT scenario_id, CAST({i} AS INTEGER) AS ord, '{code}' AS code, CAST({cents} AS BIGINT) AS cents, CAST({detail} AS VARCHAR) AS detail FROM rooms WHERE {c}" for i, (c, code, cents, detail) in enumerate(_WARNINGS)
+)
 ORACLES["visible_targets"] = f"WITH {PLANS}\n" + " UNION ALL ".join(f"SELECT scenario_id, CAST({i} AS INTEGER) AS ord, '{k}' AS key, '{label}' AS label, t_{k} AS cents FROM rooms WHERE {_SCOPE.get(k, 'true')}" for i, (k, label) in enumerate(_LABELS.items()))
 ORACLES["flexible_total"] = f"WITH {PLANS}\nSELECT scenario_id, {_known('t_groceries')} AS flexible_cents, {js_round(f'({_known("t_groceries")} * CAST(0.1 AS DOUBLE))')} AS tenth_cents FROM rooms"
 ORACLES["projected_bounds"] = f"""WITH RECURSIVE {PROJECTION}

@@ -462,6 +462,11 @@ def plan_warnings(spark: SparkSession, d: str) -> DataFrame:
     return plan.warnings(plan.evaluate(scenarios(spark, d), PLAN_TARGETS))
 
 
+@query
+def goal_status(spark: SparkSession, d: str) -> DataFrame:
+    return plan.goal_status(plan.evaluate(scenarios(spark, d), PLAN_TARGETS))
+
+
 @query
 def visible_targets(spark: SparkSession, d: str) -> DataFrame:
     return plan.visible_targets(plan.evaluate(scenarios(spark, d), PLAN_TARGETS), PLAN_TARGETS)

@@ -54,6 +54,9 @@ def test_plans(spark):
     assert got[7].blank_targets == ["Groceries & meal kits"] and got[7].incomplete[-1] == "Groceries & meal kits" and got[7].expense == 126500
     lines = plan.breakdown(plan.evaluate(many(spark, {}), PLAN_TARGETS)).orderBy("line").collect()
     assert [r.cents for r in lines] == [730000, 176500, 35000, 518500, 0, 0, 518500]
+    assert lines[0].label == "Joint funding"
+    goals = plan.goal_status(plan.evaluate(many(spark, {}, {"cash_goal": 1}, {"cash_goal": None}, {"emergency_fund": 0}), PLAN_TARGETS)).orderBy("scenario_id").collect()
+    assert [r.status for r in goals] == ["reached", "covered", "inputs_open", "no_contribution"] and goals[0].months == 15
 
 
 def test_projections(spark):
