@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,37 +93,75 @@ def scenario(spark: SparkSession, scenario_id: int = 0, **inputs) -> DataFrame:
     return spark.createDataFrame([tuple(row.values())], SCHEMA)
 
 
-def _versions(spark: SparkSession, path: str) -> tuple[object, object, list[int]]:
-    """The store, the folder and its complete versions, in order."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return fs, folder, []
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    names = [x.getPath().getName() for x in fs.listStatus(folder)]
-    return fs, folder, sorted(int(n[2:]) for n in names if n.startswith("v-") and fs.exists(done(f"{path}/{n}/_SUCCESS")))
+def _store(spark: SparkSession, path: str) -> tuple[object, object, list[int]]:
+    """The file system, paths on it, and the store's committed versions in order."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at(path))] if fs.exists(at(path)) else []
+    return fs, at, sorted(int(n[2:]) for n in names if n.startswith("v-"))
+
+
+def _read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """The rows that a version's pointer names."""
+    folder = spark.read.text(f"{path}/v-{version}").first()
+    if folder is None:
+        raise FileNotFoundError(f"version {version} of {path} names no rows")
+    return spark.read.parquet(f"{path}/{folder.value}")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The scenarios as last saved."""
-    _, _, versions = _versions(spark, path)
+    _, _, versions = _store(spark, path)
     if not versions:
         raise FileNotFoundError(path)
-    return spark.read.parquet(f"{path}/v-{versions[-1]}")
+    return _read_version(spark, path, versions[-1])
 
 
-def save(df: DataFrame, path: str) -> None:
-    """Scenarios as Parquet; those of the same id are replaced.
+def save(df: DataFrame, path: str, attempts: int = 20) -> int:
+    """Scenarios as Parquet; those of the same id are replaced. Returns the version that they are.
 
-    Each save writes a version of its own beside the one before, which goes only once the
-    next is complete; so a save that fails leaves the last one whole.
+    A commit is optimistic. The rows of the next version, made of the last one, are written in a folder
+    of their own; then the version is claimed by moving a pointer to that folder into its place,
+    which fails if another writer was there first. The loser starts again from what the
+    winner committed, so neither loses rows. A save that fails leaves the last version whole. The version
+    before stays for those who read it; older ones go.
     """
     spark = df.sparkSession
-    fs, _, versions = _versions(spark, path)
-    new = df
-    if versions:
-        old = spark.read.parquet(f"{path}/v-{versions[-1]}")
-        new = old.join(df.select("scenario_id"), "scenario_id", "left_anti").select(*df.columns).unionByName(df)
-    new.write.mode("overwrite").parquet(f"{path}/v-{(versions[-1] if versions else 0) + 1}")
-    for v in versions[:-1]:
-        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v-{v}"), True)
+    for _ in range(attempts):
+        fs, at, versions = _store(spark, path)
+        folder, version = f"rows-{uuid.uuid4().hex}", versions[-1] + 1 if versions else 1
+        new = df
+        if versions:
+            old = _read_version(spark, path, versions[-1])
+            new = old.join(df.select("scenario_id"), "scenario_id", "left_anti").select(*df.columns).unionByName(df)
+        new.write.parquet(f"{path}/{folder}")
+        if _claimed(spark, path, version, folder):
+            for v in versions[:-1]:
+                dropped = spark.read.text(f"{path}/v-{v}").first()
+                fs.delete(at(f"{path}/{dropped.value}"), True)
+                fs.delete(at(f"{path}/v-{v}"), False)
+            return version
+        fs.delete(at(f"{path}/{folder}"), True)
+    raise RuntimeError(f"{path} changed {attempts} times while scenarios were saved")
+
+
+def _claimed(spark: SparkSession, path: str, version: int, folder: str) -> bool:
+    """Whether the version is ours: its pointer, whole before it is seen, is linked in if no other is there."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(path).toUri(), conf)
+    fs = at(path).getFileSystem(conf)
+    mine = at(f"{path}/.{folder}")
+    out = fs.create(mine, False)
+    out.write(folder.encode())
+    out.close()
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(mine, at(f"{path}/v-{version}"), none)  # unlike FileSystem's, it never replaces
+        return True
+    except Py4JJavaError as e:
+        fs.delete(mine, False)
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise

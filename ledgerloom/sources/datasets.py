@@ -5,9 +5,11 @@ from __future__ import annotations
 import glob
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import shared_path
+
 REQUIRED = ("transactions", "sources", "monthly", "quarter", "defaultPeriod", "recurring")
 
 #: Document fields and the ledger's names for them; fixed values.
@@ -85,17 +87,51 @@ def read_tables(spark: SparkSession, path: str, names: tuple[str, ...] = ("ledge
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+def _safe(df: DataFrame) -> Column:
+    return F.replace(F.to_json(F.struct(*df.columns)), F.lit("<"), F.lit("\\u003c"))
+
+
 def safe_json(df: DataFrame) -> DataFrame:
     """Each row as JSON text that may stand in a script tag: every < is escaped."""
-    return df.select(F.replace(F.to_json(F.struct(*df.columns)), F.lit("<"), F.lit("\\u003c")).alias("json"))
+    return df.select(_safe(df).alias("json"))
 
 
 def write_document(tables: dict[str, DataFrame], path: str) -> None:
-    """One JSON document with an array for each table, every < escaped; for ledgers that one task can hold."""
-    parts = [df.agg(F.to_json(F.coalesce(F.collect_list(F.struct(*df.columns)), F.array())).alias("j")).select(F.lit(i).alias("i"), F.concat(F.lit(f'"{name}":'), "j").alias("j")) for i, (name, df) in enumerate(tables.items())]
-    whole = parts[0]
-    for p in parts[1:]:
+    """A JSON document with an array for each table, every < escaped, as ordered fragments.
+
+    The part files at the path, in the order of their names, are the document; `join_document`
+    puts them together. Rows are turned to text where they are and sorted by table and place; none is gathered.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    pieces = []
+    for i, (name, df) in enumerate(tables.items()):
+        staged = shared_path(spark, "rows")
+        df.select(F.monotonically_increasing_id().alias("at"), _safe(df).alias("text")).write.parquet(staged)
+        rows = spark.read.schema("at long, text string").parquet(staged)
+        first = rows.agg(F.min("at")).first()[0]
+        # what stands before the rows, between them and behind them
+        ends = spark.createDataFrame([(-1, ("{" if i == 0 else ",") + f'"{name}":['), (2**62, "]" + "}" * (i == len(tables) - 1))], "at long, text string")
+        told = F.when(F.col("at") == F.lit(first), F.col("text")).otherwise(F.concat(F.lit(","), "text"))
+        pieces.append(rows.select("at", told.alias("text")).unionByName(ends).select(F.lit(i).alias("table"), "at", "text"))
+    whole = pieces[0]
+    for p in pieces[1:]:
         whole = whole.unionByName(p)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "j"))), lambda x: x["j"])
-    text = F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}"))
-    whole.agg(F.replace(text, F.lit("<"), F.lit("\\u003c")).alias("json")).coalesce(1).write.mode("overwrite").text(path)
+    whole.orderBy("table", "at").select("text").write.mode("overwrite").text(path)
+
+
+def join_document(spark: SparkSession, path: str, target: str) -> None:
+    """The fragments at a path as one file: copied in turn, a buffer at a time."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, file = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(target)
+    fs = folder.getFileSystem(conf)
+    parts = sorted((x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    out = file.getFileSystem(conf).create(file, True)
+    try:
+        for p in parts:
+            source = fs.open(p)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()

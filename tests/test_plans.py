@@ -225,3 +225,30 @@ def test_session(spark):
     assert len(fresh.cashes) == 36 and fresh.forecast.start == "2031-10" and fresh.targets["student"] == 220.0
     rows = spark.createDataFrame([(2040 * 12 + 11,)], "month_idx int")
     assert session.PlanSession(spark, {"ledger": rows}).get_state().first().forecast.start == "2041-01"
+
+
+def test_two_writers_both_survive(spark, tmp_path):
+    """Writers that start from the same version: the later one starts again from what the other committed."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "s")
+    state.save(many(spark, {}), path)
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda n: state.save(state.scenario(spark, n, person_a_pay=n), path), range(10, 14)))
+    assert sorted(versions) == [2, 3, 4, 5]
+    assert {r.scenario_id for r in state.load(spark, path).collect()} == {0, 10, 11, 12, 13}
+    assert state._claimed(spark, path, 5, "rows-late") is False
+    assert {r.scenario_id for r in state.load(spark, path).collect()} == {0, 10, 11, 12, 13}
+
+
+def test_rules_in_plain_sql(spark):
+    from ledgerloom.functions import sql
+
+    assert set(sql.register(spark)) >= {"round_half_up", "months_between_names"}
+    r = spark.sql("SELECT round_half_up(-2.5D) AS a, dollars_to_cents(1.23D) AS b, dollars_to_cents(NULL) AS c, paychecks_a_month('biweekly', 'average') AS d, month_number('2031-09') AS e, month_name(24380) AS f").first()
+    assert tuple(r) == (-2, 123, None, 26 / 12, 2031 * 12 + 8, "2031-09")
+    reviews = spark.sql("SELECT needs_review(NULL, NULL, NULL, NULL, 'provisional', NULL) AS a, needs_review(false, NULL, NULL, true, 'provisional', NULL) AS b, needs_review(NULL, NULL, NULL, NULL, 'high', array('Mixed_Retail')) AS c").first()
+    assert tuple(reviews) == (True, False, True)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM months_between_names('2031-11', '2032-02') ORDER BY month_idx").collect()] == [(24382, "2031-11"), (24383, "2031-12"), (24384, "2032-01"), (24385, "2032-02")]
+    with pytest.raises(PySparkException):
+        spark.sql("SELECT dollars_to_cents(-1D)").collect()
