@@ -325,6 +325,10 @@ _add(
 )
 
 ORACLES["events_by_day"] = f"SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS events, CAST(sum({js_round('(value * 100)')}) AS BIGINT) AS value_cents FROM events GROUP BY 1, 2"
+ORACLES["event_sessions"] = f"""SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS events, CAST(sum({js_round('(value * 100)')}) AS BIGINT) AS value_cents FROM (
+  SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM events)
+) GROUP BY user_id, number"""
 
 # ---- plans and projections
 

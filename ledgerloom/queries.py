@@ -16,7 +16,7 @@ from ledgerloom.plans import layers, plan, project
 from ledgerloom.scenarios import FORECAST_START, PLAN_TARGETS, documents, scenarios
 from ledgerloom.sources.driver_tables import coverage, ledger, sources, table
 from ledgerloom.sources.shared import shared_path
-from ledgerloom.streaming.windows import windowed
+from ledgerloom.streaming.windows import sessions, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
 MONTH = "1998-06"
@@ -496,6 +496,11 @@ def events_by_day(spark: SparkSession, d: str) -> DataFrame:
     return windowed(table(spark, d, "events"))
 
 
+@query
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return sessions(table(spark, d, "events"), "6 hours")
+
+
 @query
 def money_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = totals.category_totals(_month(spark, d, [*CORE, "category"]), LedgerQuery())
