@@ -1,8 +1,11 @@
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
+import public_tokenizers
 import pytest
 from helpers import docs
+from tokenizers import Tokenizer
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -48,8 +51,18 @@ def test_stages(spark, tables):
     assert set(steps[1].values()) == set(steps[2].values()) == {1}
     caught = {i for i, _ in near} - set(steps[2])
     assert caught == {i for i, _ in near} and set(steps[2]) == set(steps[1]) - caught
-    assert set(steps[3]) == set(steps[2])
+    assert set(steps[3]) == set(steps[2]) and set(steps[3].values()) <= {1, 2, 3, 4}
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/near_dedup").collect()}
+    assert all(before[r.doc_id] == r.text for r in at.collect())  # copies are whole rows
     out = pipeline.STAGES[-1][1](spark, at, path)
     assert ids(out.filter("piece = 0")) == steps[3]
+    # each copy's pieces, put together, are the library's own ids and the end
+    pieces = defaultdict(list)
+    for r in out.collect():
+        pieces[r.doc_id].append((r.piece, bytes(r.ids)))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for i, own in pieces.items():
+        whole = np.array([*tokenizer.encode(before[i] or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+        assert sorted(own) == sorted((k, whole[a : a + 8192]) for _ in range(steps[3][i]) for k, a in enumerate(range(0, len(whole), 8192)))
     whole = pipeline.run(spark, path)
     assert ids(whole.filter("piece = 0")) == steps[3] and out.columns == whole.columns
