@@ -9,7 +9,7 @@ the months that it has rows of, and no other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.shared import shared_path
@@ -56,3 +56,32 @@ def append(df: DataFrame, path: str) -> list[int]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The partial sums, as rows of a ledger with a count."""
     return spark.read.parquet(path)
+
+
+#: Registers of a sketch, as a power of two: its relative error is about 1.04 / sqrt(4096), 1.6 %, two times of three.
+SKETCH = 12
+
+
+def merchant_months(df: DataFrame) -> DataFrame:
+    """(month_idx, merchant, rows, changed_rows) of spending: the exact form, from which distinct merchants of any months follow."""
+    own = df.filter(F.col("kind") == "spend")
+    changed = F.count_if(F.coalesce("classification_changed", F.lit(False)))
+    return own.groupBy("month_idx", "merchant").agg(F.count(F.lit(1)).alias("rows"), changed.alias("changed_rows"))
+
+
+def merchant_sketches(pairs: DataFrame) -> DataFrame:
+    """(month_idx, merchants, changed_merchants): a sketch of each month's merchants, of fixed size; sketches of months merge."""
+    changed = F.when(F.col("changed_rows") > 0, F.col("merchant"))
+    return pairs.groupBy("month_idx").agg(F.hll_sketch_agg("merchant", SKETCH).alias("merchants"), F.hll_sketch_agg(changed, SKETCH).alias("changed_merchants"))
+
+
+def distinct_merchants(pairs: DataFrame, group: Column) -> DataFrame:
+    """Distinct merchants, and those with changed rows, of each group of months, exactly."""
+    by = pairs.groupBy(group.alias("months"), "merchant").agg(F.sum("changed_rows").alias("changed"))
+    return by.groupBy("months").agg(F.count("merchant").alias("merchants"), F.count_if(F.col("merchant").isNotNull() & (F.col("changed") > 0)).alias("changed_merchants"))
+
+
+def estimated_merchants(sketches: DataFrame, group: Column) -> DataFrame:
+    """The same from sketches, by estimate: reads a row a month, whatever the number of merchants."""
+    merged = [F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("merchants", "changed_merchants")]
+    return sketches.groupBy(group.alias("months")).agg(*merged)

@@ -194,6 +194,10 @@ _add(
     """SELECT count(*) AS all_rows, count(*) FILTER (WHERE kind = 'spend') AS expense_rows, count(DISTINCT merchant) FILTER (WHERE kind = 'spend') AS expense_merchants, count(*) FILTER (WHERE kind <> 'spend') AS other_rows,
     min(date) AS earliest, max(date) AS latest, count(*) FILTER (WHERE kind = 'spend' AND reclassified) AS changed_rows, count(DISTINCT merchant) FILTER (WHERE kind = 'spend' AND reclassified) AS changed_merchants FROM ledger""",
 )
+_add(
+    "merchants_by_year",
+    "SELECT CAST(month_idx // 12 AS INTEGER) AS months, count(DISTINCT merchant) AS merchants, count(DISTINCT merchant) FILTER (WHERE reclassified) AS changed_merchants FROM own GROUP BY 1",
+)
 _add("confidence_counts", "SELECT confidence, count(*) AS rows FROM own GROUP BY confidence")
 _add("changed_row_ids", "SELECT id FROM ledger WHERE reclassified")
 _add(

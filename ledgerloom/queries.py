@@ -415,6 +415,12 @@ def kept_compare(spark: SparkSession, d: str) -> DataFrame:
     return compare.compare_month(rows, months, MONTH, 12)
 
 
+@query
+def merchants_by_year(spark: SparkSession, d: str) -> DataFrame:
+    pairs = kept.merchant_months(ledger(spark, d, ["kind", "month_idx", "merchant", "classification_changed"]))
+    return kept.distinct_merchants(pairs, F.floor(F.col("month_idx") / 12).cast("int"))
+
+
 @query
 def dq_checks(spark: SparkSession, d: str) -> DataFrame:
     """The ledger's rows against its kept rollup."""

@@ -253,3 +253,19 @@ def test_a_kept_rollup_follows_its_ledger(spark, ledger, tmp_path):
     with pytest.raises(Exception, match="lost"):
         kept.append(bad, path)
     assert rows(kept.read(spark, path)) == rows(kept.read(spark, whole))
+
+
+def test_distinct_merchants_of_any_months(spark):
+    """Exact counts merge over months; estimates from merged sketches stay within five times the stated error."""
+    rows = spark.range(60_000).selectExpr(
+        "'spend' AS kind", "CAST(24000 + id % 6 AS INT) AS month_idx", "concat('m', (id * 7919) % 9001) AS merchant", "id % 11 = 0 AS classification_changed"
+    )
+    pairs = kept.merchant_months(rows.union(rows.limit(5).withColumn("merchant", F.lit(None).cast("string"))))
+    for group in (F.lit(0), F.col("month_idx"), F.col("month_idx") % 2):
+        exact = {r.months: (r.merchants, r.changed_merchants) for r in kept.distinct_merchants(pairs, group).collect()}
+        plain = {r.months: (r.a, r.b) for r in rows.groupBy(group.alias("months")).agg(F.countDistinct("merchant").alias("a"), F.countDistinct(F.when(F.col("classification_changed"), F.col("merchant"))).alias("b")).collect()}
+        assert exact == plain
+        near = {r.months: (r.merchants, r.changed_merchants) for r in kept.estimated_merchants(kept.merchant_sketches(pairs), group).collect()}
+        assert near.keys() == exact.keys()
+        for k, found in exact.items():
+            assert all(abs(a - b) <= 5 * 1.04 / 4096**0.5 * b for a, b in zip(near[k], found, strict=True))
