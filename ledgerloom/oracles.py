@@ -499,6 +499,9 @@ ORACLES["projected_bounds"] = f"""WITH RECURSIVE {PROJECTION}
 SELECT scenario_id, least(0, min(cash), any_value(current_cash)) AS least_cents, greatest(0, max(cash), any_value(current_cash)) AS largest_cents FROM steps GROUP BY scenario_id"""
 
 
+ORACLES["project_events"] = f"""WITH RECURSIVE {PROJECTION}
+SELECT scenario_id, CAST(i AS INTEGER) AS i, CAST(start_idx + i AS INTEGER) AS month_idx, CAST(debt_reduction AS BIGINT) AS debt_reduction, CAST(oneoff AS BIGINT) AS oneoff, CAST(coalesce(leave_now, 0) AS BIGINT) AS leave_reduction FROM flows"""
+
 # ---- layers of saved documents
 
 

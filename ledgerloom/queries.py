@@ -12,7 +12,7 @@ from ledgerloom import session
 from ledgerloom.functions.scalars import first_day, js_round, money, month_from_index, month_index, month_label, month_text, percent_text, pretty
 from ledgerloom.operators import compare, kept, quality, rollup, totals
 from ledgerloom.operators.predicates import LedgerQuery, evidence_text, filtered, matches_kind, matches_review, signed_amount, status
-from ledgerloom.plans import layers, plan, project
+from ledgerloom.plans import events, layers, plan, project
 from ledgerloom.scenarios import FORECAST_START, PLAN_TARGETS, documents, scenarios
 from ledgerloom.sources.driver_tables import coverage, ledger, sources, table
 from ledgerloom.sources.shared import shared_path
@@ -366,6 +366,12 @@ def project_no_yield_window(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("scenario_id", "month", F.when(known, F.col("current_cash_cents") + F.sum("net").over(running)).cast("long").alias("cash"))
 
 
+@query
+def project_events(spark: SparkSession, d: str) -> DataFrame:
+    """Debts that end, one-off costs and leaves of every projected month, by an interval join."""
+    return events.projected_events(scenarios(spark, d), PLAN_TARGETS)
+
+
 @query
 def project_milestones(spark: SparkSession, d: str) -> DataFrame:
     return project.milestones(_projected(spark, d))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom import session
 from ledgerloom.functions import scalars
 from ledgerloom.functions.periods import period
-from ledgerloom.plans import definitions, layers, plan, project, state
+from ledgerloom.plans import events, definitions, layers, plan, project, state
 from ledgerloom.scenarios import PLAN_TARGETS
 
 TARGETS = {"mortgage": 1100, "groceries": 500, "medical": 50, "dental": 75, "vehicleA": 180, "student": 220, "vehicleB": 300, "storeCard": 40}
@@ -252,3 +252,16 @@ def test_rules_in_plain_sql(spark):
     assert [tuple(r) for r in spark.sql("SELECT * FROM months_between_names('2031-11', '2032-02') ORDER BY month_idx").collect()] == [(24382, "2031-11"), (24383, "2031-12"), (24384, "2032-01"), (24385, "2032-02")]
     with pytest.raises(PySparkException):
         spark.sql("SELECT dollars_to_cents(-1D)").collect()
+
+
+def test_events_by_intervals_equal_the_arrays(spark):
+    """Of every scenario and month the interval join has what the arrays have; a match on a bucket's edge counts once."""
+    once = [{"label": f"c{k}", "amount": 10.0 * k, "month": f"203{2 + k // 12}-{k % 12 + 1:02}"} for k in range(24)]
+    df = many(
+        spark, {"forecast": {"oneoffs": once, "months": 60}}, {"leave_reduction": 1000, "forecast": {"leave_start": "2031-12", "leave_months": 14, "months": 40}}, {"forecast": {"debt_ends": {"student": "2032-12", "vehicleA": "2031-09"}, "months": 120}},
+    )
+    want = {(r.scenario_id, r.i): (r.debt_reduction, r.oneoff, r.leave_reduction or 0) for r in project.rows(project.project(df, PLAN_TARGETS)).collect()}
+    for width in (1, 5, 12, 500):
+        prepared = project._prepared(df, PLAN_TARGETS)
+        got = events.event_sums(events.calendar(prepared), events.long_events(prepared), width).collect()
+        assert {(r.scenario_id, r.i): (r.debt_reduction, r.oneoff, r.leave_reduction) for r in got} == want and len(got) == len(want)
