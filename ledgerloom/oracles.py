@@ -266,6 +266,12 @@ def _compared(lookback: int) -> tuple[str, str]:
 for _n in (3, 6, 12):
     _add(f"compare_{_n}m", "\n".join(_compared(_n)))
 ORACLES["kept_compare"] = ORACLES["compare_12m"]
+_add(
+    "document_round_trip",
+    """SELECT l.month_idx, covered, category, kind, count(*) AS rows, CAST(sum(amount_cents) AS BIGINT) AS total_cents, count(DISTINCT merchant) AS merchants,
+      CAST(sum(CAST(reimbursement AS INTEGER) + CAST(business AS INTEGER) + CAST(episode AS INTEGER) + CAST(revised AS INTEGER)) AS BIGINT) AS flags
+    FROM ledger l JOIN months m ON l.month_idx = m.month_idx GROUP BY ALL""",
+)
 _add(
     "kept_monthly",
     "SELECT month_idx, count(*) AS transaction_count, " + ", ".join(f"{_if(c)} AS {n}" for n, c in _MEASURES.items()) + f""", -{_if("kind = 'spend' AND amount_cents < 0")} AS refunds_cents,

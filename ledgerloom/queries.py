@@ -14,6 +14,7 @@ from ledgerloom.operators import compare, kept, quality, rollup, totals
 from ledgerloom.operators.predicates import LedgerQuery, evidence_text, filtered, matches_kind, matches_review, signed_amount, status
 from ledgerloom.plans import events, layers, plan, project
 from ledgerloom.scenarios import FORECAST_START, PLAN_TARGETS, documents, scenarios
+from ledgerloom.sources import datasets
 from ledgerloom.sources.driver_tables import coverage, ledger, sources, table
 from ledgerloom.sources.shared import shared_path
 from ledgerloom.streaming.windows import sessions, windowed
@@ -518,3 +519,18 @@ def money_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = totals.category_totals(_month(spark, d, [*CORE, "category"]), LedgerQuery())
     average = F.expr(js_round("(CAST(total_cents AS DOUBLE) / rows)"))
     return rows.select("category", money(F.col("total_cents")).alias("total"), money(average, 0).alias("average"), F.lit(month_from_index(AT)).alias("month"))
+
+
+@query
+def document_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The whole ledger written as a JSON document and read from its fragments: categories by month and kind."""
+    own = ["id", "date", "merchant", "amount_cents", "category", "kind", "source", "flags"]
+    rows = ledger(spark, d, own).withColumnsRenamed({"amount_cents": "amountCents"})
+    months = coverage(spark, d).select(F.expr(month_text("month_idx")).alias("month"), F.col("covered").alias("hasMainCardCoverage"))
+    empty = spark.createDataFrame([], "label string")
+    path = shared_path(spark, "document")
+    datasets.write_document({"transactions": rows, "sources": sources(spark), "monthly": months, **{k: empty for k in ("quarter", "defaultPeriod", "recurring")}}, path)
+    read = datasets.read_json(spark, path)
+    covered = read["monthly"].select(F.col("month_idx").alias("month"), "covered")
+    sums = read["ledger"].groupBy("month_idx", "category", "kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount_cents").alias("total_cents"), F.count_distinct("merchant").alias("merchants"), F.sum(F.size("flags")).alias("flags"))
+    return sums.join(covered, F.col("month_idx") == F.col("month")).drop("month")

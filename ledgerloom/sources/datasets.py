@@ -8,6 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources import pieces
 from ledgerloom.sources.shared import shared_path
 
 REQUIRED = ("transactions", "sources", "monthly", "quarter", "defaultPeriod", "recurring")
@@ -33,26 +34,30 @@ def choose(folder: str, sample: bool = False) -> str:
     return own[0] if own and not sample else os.path.join(folder, SAMPLE)
 
 
-def _lacking(documents: DataFrame) -> list[str]:
-    """The required fields that a document lacks; documents: (json), a row for each."""
-    have = {k for r in documents.select(F.json_object_keys("json").alias("k")).collect() for k in r.k or []}  # a row for each document
-    return [x for x in REQUIRED if x not in have]
+def _required(parts: DataFrame) -> DataFrame:
+    """A document's parts, written, with all their required fields."""
+    staged = shared_path(parts.sparkSession, "parts")
+    parts.write.parquet(staged)
+    parts = parts.sparkSession.read.schema("part long, opens boolean, json string").parquet(staged)
+    names = parts.filter("opens").select(F.explode(F.json_object_keys("json")).alias("k")).distinct()
+    have = {r.k for r in names.filter(F.col("k").isin(*REQUIRED)).collect()}  # at most the required ones
+    if lacking := [x for x in REQUIRED if x not in have]:
+        raise ValueError(f"the dataset lacks {', '.join(lacking)}")
+    return parts
 
 
 def check_required(spark: SparkSession, path: str) -> None:
     """Raise unless the document has all required fields."""
-    if lacking := _lacking(spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))):
-        raise ValueError(f"the dataset lacks {', '.join(lacking)}")
+    _required(pieces.parts(spark, path))
 
 
 def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A document's ledger, sources and monthly coverage. A document is one record, for one task;
-    larger ledgers come as tables (`read_tables`)."""
-    check_required(spark, path)
-    return _tables(spark.read.schema(_SCHEMA).option("multiLine", True).json(path))
+    """A document's ledger, sources and monthly coverage, read by as many tasks as its file, or the fragments of a folder, have splits."""
+    return _tables(_required(pieces.parts(spark, path)))
 
 
-def _tables(whole: DataFrame) -> dict[str, DataFrame]:
+def _tables(parts: DataFrame) -> dict[str, DataFrame]:
+    whole = parts.select(F.from_json("json", _SCHEMA).alias("d")).select("d.*")
     rows = whole.select(F.inline("transactions"))
     ledger = rows.select(*[F.col(name).cast(kind).alias(own) for own, (name, kind) in _FIELDS.items()], F.col("classificationEvidence.summary").alias("evidence_summary"))
     index = (F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int") - 1).alias("month_idx")
@@ -69,11 +74,8 @@ def read_embedded(spark: SparkSession, path: str, element: str) -> DataFrame:
 
 
 def embedded_tables(spark: SparkSession, path: str, element: str) -> dict[str, DataFrame]:
-    """The tables of a document that a page carries."""
-    whole = read_embedded(spark, path, element)
-    if lacking := _lacking(whole):
-        raise ValueError(f"the dataset lacks {', '.join(lacking)}")
-    return _tables(whole.select(F.from_json("json", _SCHEMA).alias("d")).select("d.*"))
+    """The tables of a document that a page carries, read like the document's own file."""
+    return _tables(_required(pieces.parts(spark, path, element)))
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
@@ -99,11 +101,11 @@ def safe_json(df: DataFrame) -> DataFrame:
 def write_document(tables: dict[str, DataFrame], path: str) -> None:
     """A JSON document with an array for each table, every < escaped, as ordered fragments.
 
-    The part files at the path, in the order of their names, are the document; `join_document`
-    puts them together. Rows are turned to text where they are and sorted by table and place; none is gathered.
+    The part files at the path, in the order of their numbers, are the document; `read_json` reads them as
+    they are, and `join_document` puts them together. Rows are turned to text where they are and sorted by table and place; none is gathered.
     """
     spark = next(iter(tables.values())).sparkSession
-    pieces = []
+    listed = []
     for i, (name, df) in enumerate(tables.items()):
         staged = shared_path(spark, "rows")
         df.select(F.monotonically_increasing_id().alias("at"), _safe(df).alias("text")).write.parquet(staged)
@@ -112,9 +114,9 @@ def write_document(tables: dict[str, DataFrame], path: str) -> None:
         # what stands before the rows, between them and behind them
         ends = spark.createDataFrame([(-1, ("{" if i == 0 else ",") + f'"{name}":['), (2**62, "]" + "}" * (i == len(tables) - 1))], "at long, text string")
         told = F.when(F.col("at") == F.lit(first), F.col("text")).otherwise(F.concat(F.lit(","), "text"))
-        pieces.append(rows.select("at", told.alias("text")).unionByName(ends).select(F.lit(i).alias("table"), "at", "text"))
-    whole = pieces[0]
-    for p in pieces[1:]:
+        listed.append(rows.select("at", told.alias("text")).unionByName(ends).select(F.lit(i).alias("table"), "at", "text"))
+    whole = listed[0]
+    for p in listed[1:]:
         whole = whole.unionByName(p)
     whole.orderBy("table", "at").select("text").write.mode("overwrite").text(path)
 
@@ -124,7 +126,7 @@ def join_document(spark: SparkSession, path: str, target: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder, file = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(target)
     fs = folder.getFileSystem(conf)
-    parts = sorted((x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    parts = sorted((x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")), key=lambda p: (len(p.getName()), p.getName()))
     out = file.getFileSystem(conf).create(file, True)
     try:
         for p in parts:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.sources import datasets
+from ledgerloom.sources import datasets, pieces
 from ledgerloom.streaming import windows
 
 DOCUMENT = {
@@ -82,6 +82,73 @@ def test_documents_of_many_fragments(spark, tmp_path):
     assert [r["id"] for r in whole["a"]] == list(range(5000)) and whole["none"] == [] and [r["t"] for r in whole["b"]] == [f'<{i}>"' for i in range(0, 5000, 2)]
 
 
+def _put_together(rows):
+    out = {}
+    for r in sorted(rows):
+        for k, v in json.loads(r.json).items():
+            if isinstance(v, list):
+                out.setdefault(k, []).extend(v)
+            else:
+                assert k not in out
+                out[k] = v
+    return out
+
+
+NESTED = {
+    "n": 3, "transactions": [{"id": i, "t": 'x}"{[\\' * (i % 5), "e": {"s": [1, {"q": "]"}]}} for i in range(900)],
+    "quarter": {"a": {"b": 1}, "m": [{"z": 1}]}, 'odd "name"': [{"x": {}}, {"x": 2}], "empty": [], "sources": [{"id": "a"}], "last": "}",
+}
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_documents_are_read_in_splits(spark, tmp_path, indent):
+    """Cut anywhere, in strings, escapes and nested values, the parts put together are the document, in its order."""
+    path = tmp_path / "d.json"
+    path.write_text(json.dumps(NESTED, indent=indent) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        splits = spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions()
+        got = pieces.parts(spark, str(path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert splits > 5 and _put_together(got) == NESTED
+    page = tmp_path / "p.html"
+    page.write_text("<style>a { b: 'c' }</style>\n<script id='data'>" + json.dumps(NESTED, indent=indent) + "\n</script><script>if (a) { b(\"}\") }</script>")
+    assert _put_together(pieces.parts(spark, str(page), "data").collect()) == NESTED
+    assert pieces.parts(spark, str(page), "other").collect() == []
+
+
+def test_documents_that_are_no_documents(spark, tmp_path):
+    path = tmp_path / "d.json"
+    for text, says in (('{"a": [{"b": 1}', "does not end"), ('{"a": "}', "does not end"), ('{"a": [{"b": 1}, 5, {"b": 2}]}', "mixes"), ("no {} json }", "no JSON")):
+        path.write_text(text)
+        with pytest.raises(Exception, match=says):
+            pieces.parts(spark, str(path)).collect()
+    path.write_text('{} {"a": [{"b": 1}]}')  # what follows is left out
+    assert _put_together(pieces.parts(spark, str(path)).collect()) == {}
+    path.write_text("")
+    assert pieces.parts(spark, str(path)).collect() == []
+
+
+def test_fragments_are_read_as_they_are(spark, tmp_path):
+    """The files of a folder are one document, wherever its rows and arrays are cut."""
+    rows = spark.range(0, 3000, 1, 7).selectExpr("id", "struct(id % 7 AS m, concat('}', id, '\"') AS t) AS e")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        datasets.write_document({"a": rows, "none": rows.limit(0), "b": rows.filter("id % 2 = 0")}, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = _put_together(pieces.parts(spark, str(tmp_path / "out")).collect())
+    assert len(list((tmp_path / "out").glob("part-*.txt"))) > 1
+    assert got == {"a": [{"id": i, "e": {"m": i % 7, "t": f'}}{i}"'}} for i in range(3000)], "none": [], "b": [{"id": i, "e": {"m": i % 7, "t": f'}}{i}"'}} for i in range(0, 3000, 2)]}
+    folder = tmp_path / "cut"
+    folder.mkdir()
+    whole = '{"a":[{"x":1},|{"x":2}|,\n{"x":|3}\n|],"b":[|{"y":[{"z":1}|]}],"c":4}'
+    for i, text in enumerate(whole.split("|")):
+        (folder / f"part-{i}").write_text(text)
+    assert _put_together(pieces.parts(spark, str(folder)).collect()) == json.loads(whole.replace("|", ""))
+
+
 def test_stream_gives_the_batch_sums(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(3).write.parquet(str(tmp_path / "in"))
