@@ -1,16 +1,17 @@
 """One document of each group of near copies: MinHash candidates, verified exactly.
 
 Two texts are near copies if the Jaccard similarity of their sets of shingles (so many
-words in a row, A to Z in lower case) reaches a bound. SimHash can't find these: at 0.8
-its 64 bits differ in about ten, and multi-index tables of so wide a radius have keys so
-short that the candidates grow with the square of the documents.
+words in a row, A to Z in lower case) reaches a bound.
 
-Candidates are documents that agree in one of 32 bands of six minima. A pair at 0.8 has
-none in common with probability (1 - 0.8^6)^32 = 6e-5, one above it with less. Each pair
+Candidates are documents whose SimHash fingerprints are linked: those within three bits are found by multi-index
+tables, as `simhash` does, and their components are groups of candidates. At 0.8 many pairs differ in
+four to fourteen bits, and tables of so wide a radius have keys so short that the candidates grow with the
+square of the documents. So documents that agree in one of 32 bands of six minima are groups of
+candidates as well. A pair at 0.8 has no band in common with probability (1 - 0.8^6)^32 = 6e-5, one above it with less. Each pair
 counts only if the similarity of its shingles, compared as they are, reaches the bound.
 
-A band's documents are first compared with one of them alone, the one that shares most bands
-with others, so likely what the others were copied from. Where a band's documents aren't
+A group's documents are first compared with one of them alone, the one that shares most groups
+with others, so likely what the others were copied from. Where a group's documents aren't
 in one component then, they are joined by their rarest shingles: two sets at the bound
 share one among the first (1 - bound) of each, in order of how many documents have them,
 and what stands before it limits their overlap. So documents that are alike below the bound
@@ -33,12 +34,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import free_names, text_of, written
 from ledgerloom.llm.components import components
+from ledgerloom.llm.simhash import SEED, links, majority
 from ledgerloom.llm.tokens import slices
 
-SEED = 42
 BANDS, ROWS = 32, 6
 _BLOCK = 1024
-_random = np.random.default_rng(SEED)
+_random = np.random.default_rng(42)
 _XOR = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
 _ODD = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 
@@ -51,11 +52,17 @@ def _shingles(own: list[bytes], words: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False)) if len(own) >= words else iter([b" ".join(own)])
 
 
-def bands(own: list[bytes], words: int) -> np.ndarray:
-    """The keys of the bands."""
+def _hashes(own: list[bytes], words: int) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    hashes = np.unique(np.fromiter(map(xxh64_intdigest, _shingles(own, words), repeat(SEED)), np.uint64))
+    return np.fromiter(map(xxh64_intdigest, _shingles(own, words), repeat(SEED)), np.uint64)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """The keys of the bands of shingles' hashes."""
+    from xxhash import xxh64_intdigest
+
+    hashes = np.unique(hashes)
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for s in range(0, len(hashes), _BLOCK):
         np.minimum(least, ((hashes[s : s + _BLOCK] ^ _XOR) * _ODD).min(axis=1), out=least)
@@ -71,23 +78,33 @@ def similarity(a: bytes, b: bytes, words: int) -> float:
 
 
 def _prints(rows: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, print, text) as doc_id, print, digest of the words and bands."""
+    """Rows (doc_id, print, text) as doc_id, print, digest of the words, SimHash fingerprint and bands."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             for s in slices(batch):
-                same, keys = [], []
+                same, marks, keys = [], [], []
                 for t in s.column("text").cast(pa.binary()).to_pylist():
                     own = _words(t)
                     same.append(xxh3_128_digest(b" ".join(own)))
-                    keys.append(bands(own, words))
+                    hashes = _hashes(own, words)
+                    marks.append(majority(hashes) if own else 0)
+                    keys.append(bands(hashes))
                 ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
                 listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("print"), pa.array(same, pa.binary()), listed], names=["doc_id", "print", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("print"), pa.array(same, pa.binary()), pa.array(np.array(marks, np.uint64).view(np.int64)), listed], names=["doc_id", "print", "same", "fp", "bands"])
+
+    return rows.mapInArrow(add, "doc_id long, print long, same binary, fp long, bands array<long>")
+
 
-    return rows.mapInArrow(add, "doc_id long, print long, same binary, bands array<long>")
+def _linked(nodes: DataFrame) -> DataFrame:
+    """(node, key): nodes of one component of fingerprints within three bits have the same key."""
+    prints = written(nodes.select("fp").distinct(), "prints")
+    roots = components(links(prints)).select(F.col("node").alias("__fp"), F.col("root").alias("__root"))
+    placed = nodes.select("node", "fp").join(roots, F.col("fp") == F.col("__fp"), "left")
+    return placed.select("node", F.xxhash64(F.lit("fingerprints"), F.coalesce("__root", "fp")).alias("key"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, bound: float) -> DataFrame:
@@ -161,12 +178,12 @@ def drop_near_copies(df: DataFrame, words: int = 5, bound: float = 0.8, id_col:
     prints = written(_prints(rows, words), "bands")
     # of rows with the same words that of the smallest id stands for all; null ids last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("print"))).alias("f")
-    nodes = prints.groupBy("same").agg(first, F.first("bands").alias("bands")).select("f.*", "bands")
+    nodes = prints.groupBy("same").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("f.*", "fp", "bands")
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = nodes.select("node", F.explode("bands").alias("key"))
+    keys = nodes.select("node", F.explode("bands").alias("key")).union(_linked(nodes))
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("key").alias("__key"), "size")
     agreed = written(keys.join(several, F.col("key") == F.col("__key")).select("key", "node", "size"), "agreed")
-    # of a band's documents the first is the one that agrees most often with others
+    # of a group's documents the first is the one that agrees most often with others
     fame = agreed.groupBy("node").agg(F.sum("size").alias("fame")).select(F.col("node").alias("__n"), "fame")
     firsts = agreed.join(fame, F.col("node") == F.col("__n")).groupBy("key").agg(F.max(F.struct("fame", "node")).alias("f")).select(F.col("key").alias("__key"), F.col("f.node").alias("first"))
     shared = written(agreed.join(firsts, F.col("key") == F.col("__key")).select("key", "node", "first"), "shared")

@@ -46,7 +46,11 @@ def fingerprint(text: bytes, words: int) -> int:
     if not own:
         return 0
     shingles = map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False)) if len(own) >= words else [b" ".join(own)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    return majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     bits = np.zeros(64, np.int64)
     for s in range(0, len(hashes), _BLOCK):
         bits += np.unpackbits(hashes[s : s + _BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -1,8 +1,10 @@
 import random
 
 from helpers import AWKWARD, docs
+from pyspark.sql import functions as F
 
-from ledgerloom.llm.near_copies import _rare_pairs, drop_near_copies, similarity
+from ledgerloom.llm import near_copies, simhash
+from ledgerloom.llm.near_copies import _linked, _rare_pairs, drop_near_copies, similarity
 
 
 def shingles(text):
@@ -84,6 +86,28 @@ def test_a_large_group_below_the_bound_gives_few_pairs(spark):
     assert sorted(r.doc_id for r in drop_near_copies(docs(spark, rows)).collect()) == brute(rows)[0]
 
 
+def test_fingerprints_within_three_bits_are_one_group(spark):
+    rows = edited_copies()
+    prints = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    nodes = spark.createDataFrame([(i, p - (p >> 63 << 64)) for i, p in prints.items()], "node long, fp long")
+    keys = {r.node: r.key for r in _linked(nodes).collect()}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    assert len(near) > 10 and all(keys[a] == keys[b] for a, b in near)
+    assert len(keys) == len(rows) and len(set(keys.values())) > len(rows) - len(near) - 1
+
+
+def test_linked_fingerprints_are_candidates_without_a_band(spark, monkeypatch):
+    """Where bands don't agree, copies within three bits are found, and those below the bound stay."""
+    own = [f"w{i}" for i in range(400)]
+    changed = lambda k: " ".join("x" if i == k else w for i, w in enumerate(own))
+    rows = [(1, " ".join(own)), (2, changed(7)), (3, "a b c d e f"), (4, "a b c d e g")]
+    near = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    assert (near[1] ^ near[2]).bit_count() <= 3
+    made = near_copies._prints
+    monkeypatch.setattr(near_copies, "_prints", lambda r, w: made(r, w).withColumn("bands", F.array(F.col("doc_id"))))
+    assert sorted(r.doc_id for r in drop_near_copies(docs(spark, rows)).collect()) == [1, 3, 4]
+
+
 def test_the_stage_finds_them(spark):
     import corpus_pipeline
 
