@@ -63,8 +63,14 @@ _TEXT = {"plan_mode", "health_mode", "income_basis", "vehicle_b_funding", "perso
 
 
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scenario for each customer."""
+    """A scenario for each customer.
+
+    A scenario's months are far more work than its row's bytes show, and a table of many customers may be a
+    single row group: the keys are dealt to all tasks before anything is made of them. With a number given, these
+    parts aren't put together again for being small.
+    """
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
     own = [F.expr(sql).cast("long" if c == "scenario_id" else "string" if c in _TEXT else "double").alias(c) for c, sql in FIELD_SQL.items()]
     targets = F.create_map(*[x for k, sql in TARGET_SQL.items() for x in (F.lit(k), F.expr(sql).cast("double"))])
     kinds = {"months": "int", "leave_months": "int", "income_growth": "double", "expense_growth": "double", "cash_yield": "double"}

@@ -11,7 +11,7 @@ from ledgerloom import session
 from ledgerloom.functions import scalars
 from ledgerloom.functions.periods import period
 from ledgerloom.plans import events, definitions, layers, plan, project, state
-from ledgerloom.scenarios import PLAN_TARGETS
+from ledgerloom.scenarios import PLAN_TARGETS, scenarios
 
 TARGETS = {"mortgage": 1100, "groceries": 500, "medical": 50, "dental": 75, "vehicleA": 180, "student": 220, "vehicleB": 300, "storeCard": 40}
 INPUTS = {
@@ -265,3 +265,11 @@ def test_events_by_intervals_equal_the_arrays(spark):
         prepared = project._prepared(df, PLAN_TARGETS)
         got = events.event_sums(events.calendar(prepared), events.long_events(prepared), width).collect()
         assert {(r.scenario_id, r.i): (r.debt_reduction, r.oneoff, r.leave_reduction) for r in got} == want and len(got) == len(want)
+
+
+def test_projections_are_dealt_to_all_tasks(spark):
+    """Though the customers are one row group, every task has about as many scenarios to project."""
+    projected = project.project(scenarios(spark, "/root/testdata/sf0.01"), PLAN_TARGETS)
+    for df in (project.rows(projected).filter("i = 0"), project.milestones(projected), session.chart_bounds(projected)):
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * min(sizes)
