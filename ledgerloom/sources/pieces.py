@@ -50,7 +50,7 @@ def _raw(spark: SparkSession, path: str) -> DataFrame:
     files = pieces.groupBy("file").agg(F.min(place).alias("first"), F.max(place).alias("last"), uncut.alias("uncut"), F.max_by(F.col("value").rlike(r"\A\s*\z"), place).alias("blank"))
     goes_on = F.lag(F.col("uncut") & ~F.col("blank")).over(Window.orderBy("file"))  # a row for each file
     files = files.select(F.col("file").alias("__file"), "first", "last", "uncut", "blank", F.coalesce(goes_on, F.lit(False)).alias("goes_on"))
-    found = pieces.join(files, F.col("file") == F.col("__file"))
+    found = pieces.join(F.broadcast(files), F.col("file") == F.col("__file"))  # a row for each file: no piece moves
     last = F.col("uncut") & (place == F.col("last"))
     return found.filter(~(last & F.col("blank"))).select("file", "block", "at", "value", (~last).alias("cut"), (~((place == F.col("first")) & F.col("goes_on"))).alias("behind"))
 
@@ -72,15 +72,18 @@ def _begun(pieces: DataFrame) -> DataFrame:
     """Adds in which state each piece begins: `quoted`, and `braces` and `brackets` around it."""
     bare = F.regexp_replace("value", r"(?s)\\.", "")
     quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
-    rows = pieces.withColumn("quotes", quotes).withColumn("bare", bare)
+    own = {"quotes": quotes}
+    for begun in (0, 1):
+        # a piece's effects, begun outside of strings or in one
+        braces, brackets = _depths(F.concat(F.lit('"'), bare) if begun else bare)
+        own |= {f"own_b{begun}": braces - (F.col("cut") & ((quotes + begun) % 2 == 0)).cast("int"), f"own_k{begun}": brackets}
+    rows = pieces.withColumns(own)
     inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("odd", F.coalesce(F.sum("quotes").over(inside), F.lit(0)) % 2)
     for begun in (0, 1):
         # the split begins in a string or doesn't, and the piece likewise or not, by the quotes between
         quoted = (F.col("odd") + begun) % 2 == 1
-        braces, brackets = _depths(F.when(quoted, F.concat(F.lit('"'), "bare")).otherwise(F.col("bare")))
-        closes = (F.col("cut") & ((F.col("odd") + begun + F.col("quotes")) % 2 == 0)).cast("int")
-        rows = rows.withColumns({f"b{begun}": braces - closes, f"k{begun}": brackets})
+        rows = rows.withColumns({f"{c}{begun}": F.when(quoted, F.col(f"own_{c}1")).otherwise(F.col(f"own_{c}0")) for c in "bk"})
     sums = ["b0", "k0", "b1", "k1"]
     rows = rows.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
     blocks = rows.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), *[F.sum(c).alias(c) for c in sums])
@@ -88,7 +91,7 @@ def _begun(pieces: DataFrame) -> DataFrame:
     blocks = blocks.withColumn("p", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
     taken = blocks.select(F.col("file").alias("__file"), F.col("block").alias("__block"), "p", *[F.when(F.col("p") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1")).alias(c) for c in "bk"])
     starts = taken.select("__file", "__block", "p", *[F.coalesce(F.sum(c).over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(c) for c in "bk"])
-    joined = rows.join(starts, (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
+    joined = rows.join(F.broadcast(starts), (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
 
     def of(c: str) -> Column:
         return F.when(F.col("p") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))
@@ -104,7 +107,7 @@ def _running(rows: DataFrame, flags: list[str]) -> DataFrame:
     blocks = rows.groupBy("file", "block").agg(*[F.sum(F.col(f).cast("long")).alias(f) for f in flags])
     bases = blocks.select(F.col("file").alias("__file"), F.col("block").alias("__block"), *[F.coalesce(F.sum(f).over(earlier), F.lit(0)).alias(f"__{f}") for f in flags])
     counted = rows.withColumns({f"n_{f}": F.sum(F.col(f).cast("long")).over(own) for f in flags})
-    joined = counted.join(bases, (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
+    joined = counted.join(F.broadcast(bases), (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
     return joined.select(*rows.columns, *[(F.col(f"n_{f}") + F.col(f"__{f}")).alias(f"n_{f}") for f in flags])
 
 
@@ -145,6 +148,10 @@ def parts(spark: SparkSession, path: str, element: str | None = None) -> DataFra
         F.array_join(F.transform(F.array_sort(F.array_agg(F.struct("file", "block", "at", text.alias("text")))), lambda x: x["text"]), "").alias("text"),
         F.max_by(F.struct("braces_after", "brackets_after"), F.struct("file", "block", "at")).alias("end"),
     )
+    # the parts that open a field, those that go on and the fields' names are read from it: the pieces are put together once
+    staged = shared_path(spark, "grouped")
+    grouped.write.parquet(staged)
+    grouped = spark.read.schema(grouped.schema).parquet(staged)
     rest = F.regexp_replace("text", r"\A[\s\x{FEFF}]*(?:\{|\]?\s*,?)", "")
     close = F.when(F.col("end.braces_after") <= 0, F.lit("")).when(F.col("end.brackets_after") > 0, F.lit("]}")).otherwise(F.lit("}"))
     opened = grouped.filter("opens").select("part", "field", _checked(F.concat(F.lit("{"), rest, close)).alias("json"))

@@ -118,6 +118,14 @@ def test_documents_are_read_in_splits(spark, tmp_path, indent):
     assert pieces.parts(spark, str(page), "other").collect() == []
 
 
+def test_parts_are_put_together_once(spark, tmp_path):
+    """What is read of a document's parts numbers and groups no pieces again."""
+    path = tmp_path / "d.json"
+    path.write_text(json.dumps(NESTED))
+    plan = pieces.parts(spark, str(path))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "grouped" in plan
+
+
 def test_documents_that_are_no_documents(spark, tmp_path):
     path = tmp_path / "d.json"
     for text, says in (('{"a": [{"b": 1}', "does not end"), ('{"a": "}', "does not end"), ('{"a": [{"b": 1}, 5, {"b": 2}]}', "mixes"), ("no {} json }", "no JSON")):
