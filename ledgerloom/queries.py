@@ -529,8 +529,8 @@ def document_round_trip(spark: SparkSession, d: str) -> DataFrame:
     months = coverage(spark, d).select(F.expr(month_text("month_idx")).alias("month"), F.col("covered").alias("hasMainCardCoverage"))
     empty = spark.createDataFrame([], "label string")
     path = shared_path(spark, "document")
-    datasets.write_document({"transactions": rows, "sources": sources(spark), "monthly": months, **{k: empty for k in ("quarter", "defaultPeriod", "recurring")}}, path)
-    read = datasets.read_json(spark, path)
+    datasets.write_document({"transactions": rows, "sources": sources(spark), "monthly": months, **{k: empty for k in ("quarter", "defaultPeriod", "recurring")}}, path, "gzip")
+    read = datasets.read_json(spark, path, ["month_idx", "category", "kind", "amount_cents", "merchant", "flags"])
     covered = read["monthly"].select(F.col("month_idx").alias("month"), "covered")
     sums = read["ledger"].groupBy("month_idx", "category", "kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount_cents").alias("total_cents"), F.count_distinct("merchant").alias("merchants"), F.sum(F.size("flags")).alias("flags"))
     return sums.join(covered, F.col("month_idx") == F.col("month")).drop("month")

@@ -1,6 +1,9 @@
 """Documents, pages that carry them, tables, and the stream of events."""
 
+import glob
+import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +160,54 @@ def test_fragments_are_read_as_they_are(spark, tmp_path):
     assert _put_together(pieces.parts(spark, str(folder)).collect()) == json.loads(whole.replace("|", ""))
 
 
+def _begun(spark):
+    """How many pieces the last document read had summed and joined, with their texts."""
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    return spark.read.parquet(max(glob.glob(f"{root}/*-begun"), key=os.path.getmtime)).count()
+
+
+def test_whole_rows_stay_where_they_are_read(spark, tmp_path):
+    """Of rows without objects of their own no text is shuffled or staged again; rows with them, between, are put together."""
+    rows = [{"id": i, "t": 'a"\\[' * (i % 3), "f": ["x"] * (i % 2)} | ({"e": {"z": [{"y": i}, {"y": 1}, {"y": 2}]}} if i % 3000 == 7 else {}) for i in range(10_000)]
+    document = {"n": {"a": 1}, "rows": rows, "none": [], "more": rows[:5000], "last": {"b": [{"c": 1}, {"c": 2}, {"c": 3}]}}
+    path = tmp_path / "d.json"
+    path.write_text(json.dumps(document))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = pieces.parts(spark, str(path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert _put_together(got) == document and len(got) > 14_900
+    assert _begun(spark) < 100
+
+
+def test_strings_that_look_like_rows(spark, tmp_path):
+    document = {"t": [{"a": i, "b": "x},{1},{2},{[3},{4" * (i % 2)} for i in range(50)], "u": "},{5},{6}", "v": [{"a": 1}, {"a": 2}]}
+    path = tmp_path / "d.json"
+    path.write_text(json.dumps(document))
+    assert _put_together(pieces.parts(spark, str(path)).collect()) == document
+
+
+def test_packed_fragments(spark, tmp_path):
+    """Packed files are read as the same text unpacked, whatever they end in; a table's first partition may be empty."""
+    rows = spark.range(0, 3000, 1, 7).selectExpr("id", "concat('<}', id) AS t").filter("id >= 1000")
+    datasets.write_document({"a": rows, "none": rows.limit(0), "b": rows.filter("id < 1200")}, str(tmp_path / "out"), "gzip")
+    assert len(list((tmp_path / "out").glob("part-*.gz"))) > 5
+    want = {"a": [{"id": i, "t": f"<}}{i}"} for i in range(1000, 3000)], "none": [], "b": [{"id": i, "t": f"<}}{i}"} for i in range(1000, 1200)]}
+    assert _put_together(pieces.parts(spark, str(tmp_path / "out")).collect()) == want
+    datasets.join_document(spark, str(tmp_path / "out"), str(tmp_path / "whole.json"))
+    assert json.loads((tmp_path / "whole.json").read_text()) == want
+    folder = tmp_path / "cut"
+    folder.mkdir()
+    whole = '{"a":[{"x":1},|{"x":2}|,\n{"x":|3}\n|,{"x":|\n|4},{"x":5}|],"b":[|{"y":[{"z":1}|]}],"c":4}'
+    for i, text in enumerate(whole.split("|")):
+        (folder / f"part-{i}.gz").write_bytes(gzip.compress(text.encode()))
+    assert _put_together(pieces.parts(spark, str(folder)).collect()) == json.loads(whole.replace("|", ""))
+    (tmp_path / "short.gz").write_bytes(gzip.compress(b'{"a": [{"b": 1}, {"b": 2'))
+    with pytest.raises(ValueError, match="does not end"):
+        pieces.parts(spark, str(tmp_path / "short.gz"))
+
+
 def test_stream_gives_the_batch_sums(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(3).write.parquet(str(tmp_path / "in"))
